@@ -5,26 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dictspark.llm import decontam, shard
+from dictspark.llm import decontam, langid, linedup, minhash, packing, shard
+from dictspark.llm.common import OWN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HyperMinHash; links at a similarity of 0.85, confirmed on the full sets."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-parsing against suffix automata, one per language."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `bytes`, 16 shards, by sampled splitters."""
     return shard.shard_by_bytes(_table(spark, sf_dir, "documents"), 16)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_lines, n_dropped and the text without recurring templates."""
+    out = linedup.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col(f"{OWN}lines").alias("n_lines"), F.col(f"{OWN}dropped").alias("n_dropped"), "text")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 optimal length buckets; batches of 65,536 words."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of eight words; proximity within two positions as a further column."""
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=8, slop=2, min_items=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op2_near_duplicates, op4_language, op5_sharding, op6_line_dedup, op7_packing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
