@@ -68,14 +68,15 @@ class Postings:
         return left
 
     def near(self, window: tuple[int, ...], slop: int) -> np.ndarray:
-        """Places of the rarest term around which every other term lies within `slop` positions of its own place."""
+        """Starts from which every term of the window lies within `slop` positions of its own place. The rarest term's list gives the starts
+        to try; a start may lie up to slop positions before its document."""
         order = sorted(range(len(window)), key=lambda k: self.begin[window[k] + 1] - self.begin[window[k]])
-        left = self.list_of(window[order[0]]) - order[0]
+        reach = np.arange(-slop, slop + 1)
+        left = np.unique((self.list_of(window[order[0]])[:, None] - order[0] + reach[None, :]).ravel())
         for k in order[1:]:
             if not len(left):
                 break
-            around = left[:, None] + k + np.arange(-slop, slop + 1)[None, :]
-            left = left[(self.at[around] == window[k]).any(1)]
+            left = left[(self.at[(left + k)[:, None] + reach[None, :]] == window[k]).any(1)]
         return left
 
 
@@ -98,7 +99,7 @@ def _searched(batch: pa.RecordBatch, text_at: int, look: Windows, gap: int, slop
             for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
                 items[d] |= own
         if slop and len(at := index.near(window, slop)):
-            for d in np.unique(np.searchsorted(starts, at + slop, "right") - 1).tolist():
+            for d in np.unique(np.searchsorted(starts - gap // 2, at, "right") - 1).tolist():
                 near[d] |= own
     ends = np.concatenate([[0], np.cumsum(hit)])
     hits = [int(ends[s + c] - ends[s]) for s, c in zip(index.starts, index.counts, strict=True)]
@@ -125,7 +126,7 @@ def search(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: s
     kinds = [(f"{OWN}n_words", pa.int64()), (f"{OWN}n_hit", pa.int64()), (f"{OWN}items", pa.list_(pa.string())), (f"{OWN}near", pa.list_(pa.string()))][: 4 if slop else 3]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols = _searched(batch, at, look, 2 * (max(window, 8) + slop + 1), slop)
+        cols = _searched(batch, at, look, 2 * (window + 2 * slop + 1), slop)
         return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=False))], names=[*batch.schema.names, *(k for k, _ in kinds)])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -137,6 +138,7 @@ def _search_blocks(docs: DataFrame, items: DataFrame, text_col: str, item_id: st
     block = F.pmod(F.xxhash64(F.col(item_id).cast("string"), F.col(item_text)), F.lit(blocks))
     at, names = docs.columns.index(text_col), docs.columns
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    gap = 2 * (window + 2 * slop + 1)
     out = docs.withColumns({f"{OWN}n_words": F.lit(0).cast("long"), f"{OWN}mask": F.lit(b"").cast("binary"), f"{OWN}items": F.array().cast("array<string>"), f"{OWN}near": F.array().cast("array<string>")})
     for b in range(blocks):
         look = Windows()
@@ -145,7 +147,7 @@ def _search_blocks(docs: DataFrame, items: DataFrame, text_col: str, item_id: st
 
         def run(batch: pa.RecordBatch, look: Windows = look) -> pa.RecordBatch:
             rows = batch.select(names)
-            index, w = Postings(rows.column(at).to_pylist(), look.terms, 2 * (max(window, 8) + slop + 1)), len(names)
+            index, w = Postings(rows.column(at).to_pylist(), look.terms, gap), len(names)
             starts, hit = np.array(index.starts), np.zeros(len(index.at), bool)
             items_, near_ = [set(x) for x in batch.column(w + 2).to_pylist()], [set(x) for x in batch.column(w + 3).to_pylist()]
             for win, own in look.windows.items():
@@ -153,7 +155,7 @@ def _search_blocks(docs: DataFrame, items: DataFrame, text_col: str, item_id: st
                 if len(found):
                     hit[(found[:, None] + np.arange(len(win))[None, :]).ravel()] = True
                 for at_, sets in ((found, items_), (index.near(win, slop) if slop else found[:0], near_)):
-                    for d in np.unique(np.searchsorted(starts, at_ + slop, "right") - 1).tolist() if len(at_) else ():
+                    for d in np.unique(np.searchsorted(starts - gap // 2, at_, "right") - 1).tolist() if len(at_) else ():
                         sets[d] |= own
             masks = []
             for s, c, old in zip(index.starts, index.counts, batch.column(w + 1).to_pylist(), strict=True):

@@ -61,33 +61,42 @@ def histogram(lengths: DataFrame, column: str) -> list[tuple[int, int]]:
     return sorted((r[0], r[1]) for r in lengths.groupBy(rounded.alias("length")).count().collect())
 
 
+def _placed(docs: DataFrame, id_col: str, bins: list[tuple[int, int]], n_buckets: int, token_budget: int) -> DataFrame:
+    """docs (with their __ds_n_tokens) and __ds_bucket, __ds_bucket_len, __ds_batch_id and __ds_slot."""
+    uppers = optimal_boundaries([x for x, _ in bins], [c for _, c in bins], n_buckets) or [0]
+    fill = np.zeros(len(uppers), np.int64)
+    np.add.at(fill, np.searchsorted(uppers, [x for x, _ in bins]), [c for _, c in bins])
+    cells = [max(1, -(-int(c) // CELL_ROWS)) for c in fill]
+    tokens, bucket = F.col(f"{OWN}n_tokens"), F.lit(len(uppers) - 1)
+    for i in range(len(uppers) - 2, -1, -1):
+        bucket = F.when(tokens <= uppers[i], F.lit(i)).otherwise(bucket)
+    rows = docs.withColumn(f"{OWN}bucket", bucket).withColumn(f"{OWN}bucket_len", F.get(F.lit(uppers), F.col(f"{OWN}bucket")).cast("long"))
+    rows = rows.withColumn(f"{OWN}cell", F.pmod(F.col(f"{OWN}h"), F.get(F.lit(cells), F.col(f"{OWN}bucket"))).cast("int"))
+    each = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col(f"{OWN}bucket_len"), F.lit(1)))).cast("long")
+    order = (F.row_number().over(Window.partitionBy(f"{OWN}bucket", f"{OWN}cell").orderBy(f"{OWN}h", id_col)) - 1).cast("long")
+    rows = rows.withColumn(f"{OWN}order", order)
+    name = F.concat_ws("-", F.col(f"{OWN}bucket"), F.col(f"{OWN}cell"), F.floor(F.col(f"{OWN}order") / each))
+    return rows.withColumn(f"{OWN}batch_id", name).withColumn(f"{OWN}slot", F.col(f"{OWN}order") % each).drop(f"{OWN}cell", f"{OWN}order", f"{OWN}h")
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.withColumn(f"{OWN}n_tokens", n_tokens(F.col(text_col))).withColumn(f"{OWN}h", F.xxhash64(F.col(id_col), F.col(text_col)))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = 16, token_budget: int = 65_536) -> DataFrame:
     """One row per document: doc_id, n_tokens, bucket (from 0), bucket_len, batch_id, slot (from 0 in the batch), padding.
 
     Null and empty texts have length 0 and are packed like others. Repeated rows get a row each. A document longer than the budget is a
     batch of its own; nothing is cut or left out. An empty table gives no rows; further columns of any name are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), n_tokens(F.col(text_col)).alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    rows = _measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text").drop("text")
     rows = stored(rows, "pack-rows")
-    bins = histogram(rows, "n_tokens")
-    uppers = optimal_boundaries([x for x, _ in bins], [c for _, c in bins], n_buckets) or [0]
-    fill = np.zeros(len(uppers), np.int64)
-    np.add.at(fill, np.searchsorted(uppers, [x for x, _ in bins]), [c for _, c in bins])
-    cells = [max(1, -(-int(c) // CELL_ROWS)) for c in fill]
-    bucket = F.lit(len(uppers) - 1)
-    for i in range(len(uppers) - 2, -1, -1):
-        bucket = F.when(F.col("n_tokens") <= uppers[i], F.lit(i)).otherwise(bucket)
-    rows = rows.withColumn("bucket", bucket).withColumn("bucket_len", F.get(F.lit(uppers), "bucket").cast("long"))
-    rows = rows.withColumn("cell", F.pmod("h", F.get(F.lit(cells), "bucket")).cast("int"))
-    each = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_len"), F.lit(1)))).cast("long")
-    order = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("h", "doc_id")) - 1
-    rows = rows.withColumn("order", order).withColumn("each", each)
-    name = F.concat_ws("-", F.col("bucket"), F.col("cell"), F.floor(F.col("order") / F.col("each")))
-    return rows.select("doc_id", "n_tokens", "bucket", "bucket_len", name.alias("batch_id"), (F.col("order") % F.col("each")).alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"))
+    out = _placed(rows, "doc_id", histogram(rows, f"{OWN}n_tokens"), n_buckets, token_budget)
+    own = lambda *names: [F.col(f"{OWN}{n}").alias(n) for n in names]
+    return out.select("doc_id", *own("n_tokens", "bucket", "bucket_len", "batch_id", "slot"), (F.col(f"{OWN}bucket_len") - F.col(f"{OWN}n_tokens")).alias("padding"))
 
 
-def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = 16, token_budget: int = 65_536) -> DataFrame:
     """docs with __ds_n_tokens, __ds_bucket, __ds_bucket_len, __ds_batch_id and __ds_slot: the documents' own columns beside their place."""
-    place = pack(docs, id_col, text_col)
-    keep = [F.col(c).alias(f"{OWN}{c}") for c in ("n_tokens", "bucket", "bucket_len", "batch_id", "slot")]
-    return docs.join(place.select(F.col("doc_id").alias(f"{OWN}id"), *keep), docs[id_col].eqNullSafe(F.col(f"{OWN}id"))).drop(f"{OWN}id")
+    rows = _measured(docs, id_col, text_col)
+    return _placed(rows, id_col, histogram(rows, f"{OWN}n_tokens"), n_buckets, token_budget)

@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dictspark.llm import decontam, langid, linedup, minhash, packing, shard
-from dictspark.llm.common import OWN
+from dictspark.llm import chat, decontam, langid, license, linedup, minhash, oracles, packing, shard, topk, warc
+from dictspark.llm.common import OWN, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages as archives to the shared folder, reads them back and assembles the captures."""
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_pages(_table(spark, sf_dir, "pages"), path, least_bytes=0)
+    return warc.captures_of_pages(spark, path)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HyperMinHash; links at a similarity of 0.85, confirmed on the full sets."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases, and templates contained to 0.8 in a block."""
+    return license.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-parsing against suffix automata, one per language."""
     return langid.identify(_table(spark, sf_dir, "documents"))
@@ -41,14 +54,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best by integer inner product for the vectors whose id is divisible by 50."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations repaired at the least cost and rendered; long ones in parts."""
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of eight words; proximity within two positions as a further column."""
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=8, slop=2, min_items=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_duplicates, op4_language, op5_sharding, op6_line_dedup, op7_packing, op10_decontamination)}
+    every = (op1_warc, op2_near_duplicates, op3_license, op4_language, op5_sharding, op6_line_dedup, op7_packing, op8_topk, op9_chat, op10_decontamination)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": oracles.WARC, "op2_near_duplicates": oracles.NEAR, "op8_topk": oracles.TOP, "op10_decontamination": oracles.CONTAMINATION}
