@@ -9,7 +9,7 @@ corrected for registers that agree by chance, and what remains is confirmed on t
 Documents with the same set are one class from the start (copies are never expanded). In a bucket, every class is held against the
 smallest class. Components are formed from the confirmed links; then only buckets that still hold different components are searched
 in full, in blocks, for links between those components. So every two classes that share a band and are not yet connected are held
-against each other, and a group of n classes around one original costs n comparisons, not n * n.
+against each other (in their first common band only), and a block gives links, not pairs: at most one per class.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ BANDS, ROWS = 25, 5
 MANTISSA = 10
 #: Five standard errors of the estimate (sqrt(s (1 - s) / REGISTERS)) below the threshold: less is no candidate.
 _ERRORS = 5
-#: Classes of a bucket that are held against as many others at a time.
-BLOCK = 1024
+#: Classes of a bucket that are held against as many others at a time, and shingles of these.
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 
 _WORDS = WordHashes()
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # a fixed odd number: the order of words in a shingle matters
@@ -87,8 +87,12 @@ def sketch(h: np.ndarray) -> np.ndarray:
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard similarity from sketches (one row each), corrected for collisions. Two unlike registers agree if their leading zeros do
     (chance 1/3 for hashes of geometric length, summed over 2^-2k) and their mantissas do (2^-MANTISSA)."""
+    return estimate_of(a == b)
+
+
+def estimate_of(same: np.ndarray) -> np.ndarray:
     chance = 2.0**-MANTISSA / 3
-    return np.maximum((np.mean(a == b, axis=-1) - chance) / (1 - chance), 0)
+    return np.maximum((np.mean(same, axis=-1) - chance) / (1 - chance), 0)
 
 
 def _least(num: int, den: int) -> float:
@@ -112,44 +116,73 @@ def _near(batch: pa.RecordBatch, least: float) -> pa.RecordBatch:
     return batch.filter(pa.array(estimate(a, b) >= least)).select(["a", "b"])
 
 
+def _holds(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """den * intersection >= num * union, for sorted sets."""
+    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return den * common >= num * (len(x) + len(y) - common)
+
+
 def _confirmed(batch: pa.RecordBatch, num: int, den: int) -> pa.RecordBatch:
-    """Pairs whose full sets have den * intersection >= num * union: columns a, b, sa, sb."""
-    keep = []
-    for sa, sb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-        x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-        if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-            keep.append(False)
-            continue
-        both = np.concatenate([x, y])
-        both.sort()
-        common = int((both[1:] == both[:-1]).sum())
-        keep.append(den * common >= num * (len(x) + len(y) - common))
+    """Pairs that hold on the full sets: columns a, b, sa, sb."""
+    keep = [_holds(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
     return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _across(left, right, least: float):
-    """Of a block of a bucket (left: its rows as one side, right: as the other), pairs of different components that were not held
-    against each other as member and smallest member. left, right: pandas frames of node, label, regs, low."""
+def _candidates(pdf, least: float):
+    """(i, places of its candidates) within a block of a bucket: rows x with rows y of the other chunk (or later rows of the same one), in
+    different components, of which neither is the bucket's smallest class (those are held against all others before), near by estimate,
+    and sharing no earlier band, in whose bucket they meet too. pdf: b, x, y, chunk, node, label, regs, low."""
+    regs = np.frombuffer(b"".join(pdf.regs), np.uint16).reshape(-1, REGISTERS)
+    node, label, chunk = pdf.node.to_numpy(), pdf.label.to_numpy(), pdf.chunk.to_numpy()
+    b, x, y, able = int(pdf.b.iloc[0]), pdf.x.iloc[0], pdf.y.iloc[0], pdf.node.to_numpy() != pdf.low.to_numpy()
+    for i in np.flatnonzero(able & (chunk == x)):
+        other = np.flatnonzero(able & (chunk == y) & (label != label[i]) & ((node > node[i]) | (x != y)))
+        if len(other):
+            same = regs[other] == regs[i]
+            near = estimate_of(same) >= least
+            first = same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2).argmax(1) == b
+            if len(other := other[near & first]):
+                yield i, other
+
+
+def _with_candidates(pdf, least: float):
+    """The rows of a block that have a candidate in it."""
+    held = np.zeros(len(pdf), bool)
+    for i, other in _candidates(pdf, least):
+        held[i] = True
+        held[other] = True
+    return pdf[["band", "b", "x", "y", "chunk", "node", "label", "low", "regs"]][held]
+
+
+def _across(pdf, least: float, num: int, den: int):
+    """Links between components within a block, confirmed on the full sets; pairs that links found here connect already are passed over."""
     import pandas as pd
 
-    a, b = [], []
-    if len(left) and len(right):
-        x, y = (np.frombuffer(b"".join(f.regs), np.uint16).reshape(-1, REGISTERS) for f in (left, right))
-        n, m, p, q, low = left.node.to_numpy(), right.node.to_numpy(), left.label.to_numpy(), right.label.to_numpy(), left.low.iloc[0]
-        for i in range(len(n)):
-            if n[i] == low:
-                continue
-            other = np.flatnonzero((m > n[i]) & (q != p[i]) & (m != low))
-            if len(other):
-                near = other[estimate(y[other], x[i][None, :]) >= least]
-                a += m[near].tolist()
-                b += [n[i]] * len(near)
+    sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
+    node, root, a, b = pdf.node.tolist(), {x: x for x in pdf.label.tolist()}, [], []
+    label = pdf.label.tolist()
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, other in _candidates(pdf, least):
+        for k in other.tolist():
+            if (p := top(label[i])) != (q := top(label[k])) and _holds(sets[i], sets[k], num, den):
+                root[max(p, q)] = min(p, q)
+                a.append(max(node[i], node[k]))
+                b.append(min(node[i], node[k]))
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and its full set, for the classes in pairs; the text is that of the class's smallest document."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its full set, for the given nodes; the text is that of the class's smallest document."""
+    need = nodes.distinct()
     need = classes.join(need, "node", "left_semi").select("node", "key", F.col("first").alias("doc_id"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -168,7 +201,7 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int, name: str) -> DataFrame:
     """The pairs (a, b) that hold on the full sets."""
     pairs = stored(pairs, f"{name}-pairs")
-    sets = _sets(docs, classes, pairs)
+    sets = _sets(docs, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
     return stored(map_batches(both, lambda x: _confirmed(x, num, den), "a long, b long"), f"{name}-links")
 
@@ -183,10 +216,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) ->
     classes = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = stored(classes.withColumn("node", F.coalesce("first", F.xxhash64("key").bitwiseOR(F.lit(-(1 << 63))))), "near-classes")
     width = 2 * ROWS
-    bands = classes.select("node", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("regs", b * width + 1, width)) for b in range(BANDS)])).alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low <> high")
+    hashes = F.array(*[F.xxhash64(F.lit(b), F.substring("regs", b * width + 1, width)) for b in range(BANDS)])
+    bands = classes.select("node", "n", F.posexplode(hashes).alias("b", "band"))
+    buckets = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("low <> high")
     buckets = stored(buckets, "near-buckets")
-    members = stored(bands.join(buckets.select("band", "low", "size"), "band"), "near-members")
+    members = stored(bands.join(buckets.select("band", "low", "size", "shingles"), "band").drop("n"), "near-members")
     star = stored(members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "near-star")
     regs = classes.select("node", "regs")
     side = lambda pairs: pairs.join(regs.select(F.col("node").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("node").alias("b"), F.col("regs").alias("rb")), "b").select("a", "b", "ra", "rb")
@@ -196,16 +230,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) ->
     wide = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     wide = stored(wide, "near-wide")
     split = wide.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
+    chunks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     open_ = wide.join(split, "band", "left_semi").join(regs, "node").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
-    open_ = stored(open_, "near-open")
-    if not open_.isEmpty():
-        cols = ("band", "x", "y", "node", "label", "regs", "low")
-        others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        one = open_.withColumn("x", F.col("chunk")).withColumn("y", others).select(*cols)
-        two = open_.withColumn("y", F.col("chunk")).withColumn("x", others).select(*cols)
-        more = one.groupBy("band", "x", "y").cogroup(two.groupBy("band", "x", "y")).applyInPandas(lambda p, q: _across(p, q, least), "a long, b long").distinct()
-        links2 = _links(docs, classes, more, num, den, "near-more")
+    other = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = other.withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other")).select("band", "b", "x", "y", "chunk", "node", "label", "low", "regs")
+    near = blocks.groupBy("band", "x", "y").applyInPandas(lambda p: _with_candidates(p, least), "band long, b int, x int, y int, chunk int, node long, label long, low long, regs binary")
+    near = stored(near, "near-open")
+    if not near.isEmpty():
+        held = near.join(_sets(docs, classes, near.select("node")), "node")
+        links2 = stored(held.groupBy("band", "x", "y").applyInPandas(lambda p: _across(p, least, num, den), "a long, b long"), "near-more")
         if not links2.isEmpty():
             labels = components(links.union(links2), "near-cc2")
     linked = classes.join(labels, "node", "left").select("key", "first", F.coalesce("label", "node").alias("label"))

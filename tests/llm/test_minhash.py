@@ -1,0 +1,126 @@
+import re
+
+import numpy as np
+import pytest
+
+from dictspark.llm import minhash
+from dictspark.llm.common import components
+from tests.llm.helpers import clashing, docs, rng, sentence
+
+
+def shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def brute(given):
+    sets = [shingles(t) for _, t in given]
+    top = list(range(len(given)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(given)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(given):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    out = []
+    for i, (d, _) in enumerate(given):
+        c = least.get(find(i)) if sets[i] else d
+        out.append((d, len(sets[i]), c, c == d))
+    return sorted(out, key=repr)
+
+
+def edited(r, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[r.randrange(len(w))] = "x" + str(r.randrange(10**6))
+    return " ".join(w)
+
+
+def cases(seed):
+    r = rng(seed)
+    given, at = [], 0
+    for _ in range(25):
+        base = sentence(r, r.randint(1, 200))
+        for _ in range(r.choice([1, 1, 2, 6])):
+            given.append((at, r.choice([base, base.upper(), edited(r, base, r.randint(0, 3)), base + " " + sentence(r, 3)])))
+            at += 1
+    chain = sentence(r, 200).split()  # each near the next only
+    for k in range(12):
+        given.append((at, " ".join(chain)))
+        chain = chain[9:] + sentence(r, 9).split()
+        at += 1
+    r.shuffle(given)
+    return given
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_brute_force(spark, seed):
+    given = cases(seed)
+    assert sorted(map(tuple, minhash.near_duplicates(clashing(docs(spark, given))).collect()), key=repr) == brute(given)
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Many are near some others but few are near the first, so that links must be sought across the group, in several blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    r = rng(8)
+    base = sentence(r, 150)
+    given = [(i, edited(r, base, r.choice([1, 2, 3]))) for i in range(150)]
+    assert sorted(map(tuple, minhash.near_duplicates(docs(spark, given)).collect()), key=repr) == brute(given)
+
+
+def test_edge_cases(spark):
+    r = rng(4)
+    long = sentence(r, 20_000)
+    given = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "ONE  two"), (6, "one two three"), (7, long), (8, long + " more"), (9, "é ü a b c d e"), (10, "É ü a b c d e")]
+    given += [(11, "again and again and again"), (11, "again and again and again"), (None, "one two"), (None, "nobody has an id for this text"), (None, None)]
+    assert sorted(map(tuple, minhash.near_duplicates(docs(spark, given)).collect()), key=repr) == brute(given)
+    assert minhash.near_duplicates(docs(spark, [])).collect() == []
+    d = clashing(docs(spark, given))
+    left = minhash.drop_near_duplicates(d)
+    assert left.columns == d.columns
+    ids = sorted(((x["doc_id"], x["text"]) for x in left.collect()), key=repr)
+    assert [i for i, _ in ids if i is not None] == [1, 2, 3, 4, 6, 7, 9, 10, 11] or {i for i, _ in ids} == {1, 2, 3, 4, 6, 7, 9, 10, 11, None}
+    assert sum(t == "nobody has an id for this text" for _, t in ids) == 1 and not any(i is None and t == "one two" for i, t in ids)
+
+
+def test_sketch_estimates_similarity():
+    g = np.random.default_rng(1)
+    for share in (0.5, 0.85, 0.95):
+        errors = []
+        for _ in range(60):
+            n = 600
+            common = g.integers(0, 2**63, int(n * share), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([common, g.integers(0, 2**63, (n - len(common)) // 2, dtype=np.uint64)])) for _ in range(2))
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            errors.append(minhash.estimate(minhash.sketch(a), minhash.sketch(b)) - true)
+        assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+    assert minhash.estimate(minhash.sketch(np.array([5], np.uint64)), minhash.sketch(np.array([6], np.uint64))) < 0.05
+
+
+def test_components(spark):
+    r = rng(6)
+    edges = [(i, i + 1) for i in range(60)] + [(100 + r.randrange(50), 100 + r.randrange(50)) for _ in range(40)] + [(500, 500), (700, 701), (701, 700)]
+    top = {}
+
+    def find(x):
+        top.setdefault(x, x)
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            p, q = find(a), find(b)
+            top[max(p, q)] = min(p, q)
+    got = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in top}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
