@@ -49,13 +49,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow of a function of one batch; a batch has a bounded number of rows and bytes."""
+def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes, one row at least."""
+    rows = max(1, -(-batch.num_rows * most // max(most, batch.nbytes)))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, piece_bytes: int = 4 << 20) -> DataFrame:
+    """mapInArrow of a function of a few rows at a time. Spark's batches hold up to 64 MB; a worker that made Python objects of one, and of
+    what comes out of it, would hold several times that, so they are cut into pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None and out.num_rows:
-                yield out
+            for piece in pieces(batch, piece_bytes):
+                if (out := f(piece)) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
@@ -63,7 +72,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

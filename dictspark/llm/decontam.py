@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from dictspark.llm.common import OWN, alnum_words, map_batches
 
 
+#: Bytes of documents that share posting lists: all windows are looked up once per piece.
+PIECE = 32 << 20
+
+
 @dataclass
 class Windows:
     """The windows of a block of items, as term numbers; df: how many windows hold a term (the rarest is looked up first by the count
@@ -130,7 +134,7 @@ def search(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: s
         return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=False))], names=[*batch.schema.names, *(k for k, _ in kinds)])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, run, f"{kept}, {OWN}n_words long, {OWN}n_hit long, {OWN}items array<string>" + f", {OWN}near array<string>" * bool(slop))
+    return map_batches(docs, run, f"{kept}, {OWN}n_words long, {OWN}n_hit long, {OWN}items array<string>" + f", {OWN}near array<string>" * bool(slop), PIECE)
 
 
 def _search_blocks(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, slop: int, blocks: int) -> DataFrame:
@@ -163,7 +167,7 @@ def _search_blocks(docs: DataFrame, items: DataFrame, text_col: str, item_id: st
                 masks.append((bits | np.frombuffer(old, np.uint8) if old else bits).tobytes())
             return pa.RecordBatch.from_arrays([*rows.columns, pa.array(index.counts, pa.int64()), pa.array(masks, pa.binary()), pa.array([sorted(x) for x in items_], pa.list_(pa.string())), pa.array([sorted(x) for x in near_], pa.list_(pa.string()))], names=batch.schema.names)
 
-        out = map_batches(out, run, f"{kept}, {OWN}n_words long, {OWN}mask binary, {OWN}items array<string>, {OWN}near array<string>")
+        out = map_batches(out, run, f"{kept}, {OWN}n_words long, {OWN}mask binary, {OWN}items array<string>, {OWN}near array<string>", PIECE)
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = len(names)
