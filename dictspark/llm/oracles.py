@@ -42,3 +42,54 @@ near AS (SELECT cand.doc_id, cand.win_id FROM cand JOIN term USING (win_id) JOIN
 nears AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near JOIN num USING (win_id) JOIN win USING (g) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated, coalesce(n_near, 0) AS n_near
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN per USING (doc_id) LEFT JOIN nears USING (doc_id)"""
+
+#: CRC-32 byte by byte; the table follows from the polynomial's fixed value 0xEDB88320.
+SHARDS = """WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+d AS (SELECT doc_id, coalesce(text, '') AS s, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, strlen(s) + 1 AS size, md5(s) AS key, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(s)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, tab),
+o AS (SELECT *, sum(size) OVER (ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before, row_number() OVER (ORDER BY key, doc_id) AS place, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, least(floor(((2 * before + size) * 16)::DOUBLE / (2 * total)::DOUBLE)::INTEGER, 15) AS shard FROM o)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s"""
+
+_SPACE = "\\x20\\x09-\\x0D"
+LINES = f"""WITH l AS (SELECT doc_id, pos, lines[pos] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''))),
+k AS (SELECT *, regexp_extract_all(regexp_replace(line, '[^{_SPACE}]*[0-9][^{_SPACE}]*', '<*>', 'g'), '[^{_SPACE}]+') AS k FROM l),
+u AS (SELECT k, len(k) AS n, min(doc_id) AS first, count(DISTINCT doc_id) AS docs FROM k WHERE len(k) > 0 GROUP BY k),
+plain AS (SELECT k, first FROM u WHERE docs >= CASE WHEN n < 8 THEN 10 ELSE 2 END),
+leaf AS (SELECT n, k[1:3] AS lead, count(*) AS lines FROM u WHERE n BETWEEN 6 AND 200 GROUP BY ALL HAVING count(*) > 1 AND min(first) <> max(first)),
+tok AS (SELECT *, k[i] AS t FROM (SELECT k, u.n, lead, lines, first, docs, unnest(range(1, u.n + 1)) AS i FROM u JOIN leaf ON leaf.n = u.n AND leaf.lead = u.k[1:3])),
+often AS (SELECT n, lead, i, t FROM tok GROUP BY n, lead, lines, i, t HAVING count(*) >= 2 AND count(*) >= 0.3 * lines),
+made AS (SELECT k, n, lead, first, docs, list(CASE WHEN f THEN t END ORDER BY i) AS made, avg(f::INTEGER) AS fixed FROM (SELECT tok.*, often.t IS NOT NULL AS f FROM tok LEFT JOIN often ON often.n = tok.n AND often.lead = tok.lead AND often.i = tok.i AND often.t = tok.t) GROUP BY k, n, lead, first, docs HAVING avg(f::INTEGER) >= 0.7),
+grp AS (SELECT n, lead, made, min(first) AS least FROM made GROUP BY n, lead, made HAVING min(first) <> max(first) AND sum(docs) >= CASE WHEN n < 8 THEN 10 ELSE 2 END),
+firsts AS (SELECT k, min(first) AS first FROM (SELECT * FROM plain UNION ALL SELECT made.k, grp.least FROM made JOIN grp ON grp.n = made.n AND grp.lead = made.lead AND grp.made = made.made) GROUP BY k),
+gone AS (SELECT k.doc_id, k.pos, k.line, coalesce(firsts.first <> k.doc_id, false) AS gone FROM k LEFT JOIN firsts ON firsts.k = k.k),
+out AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(kept, d.text) AS text FROM documents d LEFT JOIN out USING (doc_id)"""
+
+
+def licenses(templates: list[tuple[str, str]], phrases: dict[str, str], threshold: float, block: int) -> str:
+    """The scan for the given templates and phrases, without the join's filters: every block against every template."""
+    from math import ceil
+
+    from dictspark.llm.common import alnum_words
+
+    def listed(words: list[bytes]) -> str:
+        return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+
+    sets = [(label, sorted(set(alnum_words(text)))) for label, text in templates]
+    t = ", ".join(f"('{label}', {listed(s)}, {ceil(threshold * len(s) - 1e-9)})" for label, s in sets)
+    p = ", ".join(f"('{label}', {listed(alnum_words(phrase))})" for phrase, label in phrases.items())
+    half = block // 2
+    line = _LOWER.replace("text", "line")
+    return f"""WITH t(label, s, need) AS (VALUES {t}), p(label, s) AS (VALUES {p}),
+d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, {_WORDS}), []) AS w FROM documents),
+place AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, label, s, unnest(range(1, len(w) - len(s) + 2)) AS i FROM d, p) WHERE w[i:i + len(s) - 1] = s),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word FROM place GROUP BY doc_id),
+l AS (SELECT doc_id, coalesce(regexp_extract_all({line}, {_WORDS}), []) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+b AS (SELECT doc_id, list_distinct(w[i + 1:i + {block}]) AS b FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) > {block} THEN range(0, len(w) - {half}, {half}) ELSE [0] END) AS i FROM l)),
+hit AS (SELECT doc_id, label, len(list_intersect(b, s)) / len(s) AS share FROM b, t WHERE len(list_intersect(b, s)) >= need),
+best AS (SELECT doc_id, max(share) AS share FROM hit GROUP BY doc_id),
+own AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(own.labels, '') AS base_labels, coalesce(every.labels, '') AS labels, CASE WHEN n_base IS NOT NULL THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN every USING (doc_id)"""

@@ -75,4 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": oracles.WARC, "op2_near_duplicates": oracles.NEAR, "op8_topk": oracles.TOP, "op10_decontamination": oracles.CONTAMINATION}
+    """None for language ID, packing and chat repair (suffix automata and dynamic programs)."""
+    scan = oracles.licenses(license.TEMPLATES, license.PHRASES, license.THRESHOLD, license.BLOCK)
+    return {"op1_warc": oracles.WARC, "op2_near_duplicates": oracles.NEAR, "op3_license": scan, "op5_sharding": oracles.SHARDS, "op6_line_dedup": oracles.LINES, "op8_topk": oracles.TOP, "op10_decontamination": oracles.CONTAMINATION}
