@@ -1,11 +1,267 @@
-"""The library's own queries with the SQL that gives the same rows."""
+"""The library's own queries with the SQL that gives the same rows.
+
+Dictionaries: V, the words of the documents and their counts; C, customers by name; P, parts by name (names recur); N, nations by name.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dictspark.functions import strings
+from dictspark.operators import batch, graph
+from dictspark.operators.dictionary import Dictionary, build_map, build_set, map_from_lines
+from dictspark.operators.linesort import place_lines
+from dictspark.operators.predicate import GreaterThan, LessThan, Lev, Osa, Predicate, Prefix, StartsWith, Str
+from dictspark.operators.query import Bounds, filtered, fuzzy, fuzzy_predicate, hit_count, match, prefix, range_, scan
+from dictspark.sources.text import line_report
+
+Query = Callable[[SparkSession, str], DataFrame]
+WORD = "([a-z]+)"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(lower, F.lit(WORD))).alias("key"))
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> Dictionary:
+    return Dictionary(_words(spark, sf_dir).groupBy("key").agg(F.count("*").alias("value")))
+
+
+def vocabulary_of(accepts: Predicate) -> Query:
+    """Of the vocabulary only what the predicate accepts: it is put before the counting, where it spares the shuffle."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        words = _words(spark, sf_dir).where(accepts.column(F.col("key")))
+        return Dictionary(words.groupBy("key").agg(F.count("*").alias("value"))).df.orderBy("key")
+
+    return query
+
+
+def customers(spark: SparkSession, sf_dir: str) -> Dictionary:
+    return build_map(_table(spark, sf_dir, "customer"), "c_name", "c_custkey")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> Dictionary:
+    line = F.concat(F.col("p_name"), F.lit(","), F.col("p_partkey").cast("string"))
+    return build_map(_table(spark, sf_dir, "part"), "p_name", "p_partkey", order=line)
+
+
+def nations(spark: SparkSession, sf_dir: str) -> Dictionary:
+    return build_map(_table(spark, sf_dir, "nation"), "n_name", "n_nationkey")
+
+
+def on_vocabulary(f: Callable[[Dictionary], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(vocabulary(spark, sf_dir))
+
+
+def on_customers(f: Callable[[Dictionary], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(customers(spark, sf_dir))
+
+
+def dict_map_presorted_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the order of their part keys, the last of a name wins."""
+    return build_map(_table(spark, sf_dir, "part"), "p_name", "p_retailprice", order=F.col("p_partkey")).df
+
+
+def _part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    return p.select(F.concat_ws(",", "p_name", F.col("p_partkey").cast("string"), "p_brand").alias("line"), F.col("p_partkey").alias("line_no"))
+
+
+def dict_map_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = map_from_lines(_part_lines(spark, sf_dir))
+    return d.df.select("key", F.col("value").cast("long").alias("value"))
+
+
+def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("line", F.struct("doc_id", "pos").alias("line_no"))
+
+
+def dict_line_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_document_lines(spark, sf_dir))
+
+
+def parse_uint64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers cut out of the events' properties, with signs, blanks and tails put around them."""
+    e = _table(spark, sf_dir, "events").select("event_id", F.regexp_extract("props", "([0-9]+)", 1).alias("n"))
+    forms = F.array(F.col("n"), F.concat(F.lit(" +"), "n"), F.concat("n", F.lit(".5x")), F.concat(F.lit("x"), "n"), F.concat("n", F.lit("99999999999999999999")))
+    rows = e.select("event_id", F.posexplode(forms).alias("form", "text"))
+    return rows.select("event_id", "form", strings.parse_uint64(F.col("text")).cast("string").alias("value"))
+
+
+def sort_lines_query(spark: SparkSession, sf_dir: str, keep_empty: bool) -> DataFrame:
+    """Lines with their places in the sorted file."""
+    placed = place_lines(_document_lines(spark, sf_dir), keep_empty)
+    return placed.select("line", F.col("line_no.doc_id").alias("doc_id"), F.col("line_no.pos").alias("pos"), F.col("place").cast("long").alias("place"))
+
+
+def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trim, split, characters and byte lengths of the customers' names put into blanks."""
+    c = _table(spark, sf_dir, "customer")
+    text = F.concat(F.lit(" \t"), F.col("c_name"), F.lit("#"), F.col("c_mktsegment"), F.lit(" \r"))
+    return c.select(
+        "c_custkey",
+        strings.trimmed(text).alias("trimmed"),
+        F.size(strings.split_fields(text, "#")).cast("long").alias("n_fields"),
+        F.array_join(strings.split_fields(strings.trimmed(text), "#", ignore_empty=True), "|").alias("fields"),
+        F.size(strings.characters(text)).cast("long").alias("n_chars"),
+        F.array_join(F.slice(strings.characters(strings.trimmed(text)), 1, 3), ".").alias("first_chars"),
+        strings.is_ascii(text).alias("ascii"),
+    )
+
+
+def graph_of_nations(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
+    g = graph.transducer(nations(spark, sf_dir))
+    if what == "nodes":
+        return g.nodes.select(F.col("node_id").cast("long").alias("node_id"), "is_final", F.col("final_output").cast("long").alias("final_output"))
+    if what == "edges":
+        return g.edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("byte").cast("long").alias("byte"), F.col("output").cast("long").alias("output"))
+    return graph.graph_stats(g)
+
+
+def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
+    return batch.lookup(p, parts(spark, sf_dir), "name").select("p_partkey", "name", "value")
+
+
+def _some_names(spark: SparkSession, sf_dir: str) -> Dictionary:
+    """Names of the customers in the building segment."""
+    c = _table(spark, sf_dir, "customer")
+    return build_set(c.where("c_mktsegment = 'BUILDING'"), "c_name")
+
+
+def member_query(spark: SparkSession, sf_dir: str, inside: bool) -> DataFrame:
+    c = _table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return (batch.members if inside else batch.strangers)(c, _some_names(spark, sf_dir), "c_name").select("c_custkey", "c_name")
+
+
+def fuzzy_join_d1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"))
+    r = _table(spark, sf_dir, "region").select(F.lower("r_name").alias("name"))
+    return batch.fuzzy_join(n.union(r), vocabulary(spark, sf_dir), "name", 1)
+
+
+_CNAME = "Customer#00000"
+_PREDICATES: dict[str, tuple[Predicate, str]] = {
+    "pred_and": (Prefix("the") & LessThan("theri", True), "starts_with(key, 'the') AND key <= 'theri'"),
+    "pred_or": (Str("there") | Prefix("thing"), "key = 'there' OR starts_with(key, 'thing')"),
+    "pred_not": (~Prefix("t"), "NOT starts_with(key, 't')"),
+    "pred_startswith_str": (StartsWith(Str("ther")), "starts_with(key, 'ther')"),
+    "pred_startswith_lev": (StartsWith(Lev("ther", 1)), "list_aggregate(list_transform(range(0, length(key) + 1), lambda i: levenshtein(substr(key, 1, i), 'ther') <= 1), 'bool_or')"),
+    "pred_startswith_osa": (StartsWith(Osa("ten", 1)), "list_aggregate(list_transform(range(0, length(key) + 1), lambda i: levenshtein(substr(key, 1, i), 'ten') <= 1 OR substr(key, 1, i) IN ('etn', 'tne')), 'bool_or')"),
+    "pred_gt_incl": (GreaterThan("th", True), "key >= 'th'"),
+    "pred_gt_excl": (GreaterThan("the"), "key > 'the'"),
+    "pred_lt_excl": (LessThan("and"), "key < 'and'"),
+    "pred_lt_incl": (LessThan("and", True), "key <= 'and'"),
+    "pred_nested": ((Prefix("th") | Lev("ing", 1)) & ~Prefix("the"), "(starts_with(key, 'th') OR levenshtein(key, 'ing') <= 1) AND NOT starts_with(key, 'the')"),
+}
+
+_V = "SELECT w AS key, count(*) AS value FROM (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')) AS w FROM documents) GROUP BY w"
+_C = "SELECT c_name AS key, max(c_custkey) AS value FROM customer GROUP BY c_name"
+
+
+def _v(where: str) -> str:
+    return f"SELECT key, value FROM ({_V}) WHERE {where}"
+
+
+def _c(where: str) -> str:
+    return f"SELECT key, value FROM ({_C}) WHERE {where}"
+
+
+def _osa(q: str, d: int, where: str = "true") -> str:
+    """The distance's rows as lists, one character of the key at a time."""
+    n = len(q)
+    cols, prev = [], "i"
+    for j in range(1, n + 1):
+        swap = f"CASE WHEN i > 1 AND c = '{q[j - 2]}' AND p = '{q[j - 1]}' THEN b[{j - 1}] + 1 ELSE 1000000 END" if j > 1 else "1000000"
+        cols.append((f"x{j}", f"least(r[{j + 1}] + 1, {prev} + 1, r[{j}] + CASE WHEN c = '{q[j - 1]}' THEN 0 ELSE 1 END, {swap})"))
+        prev = f"x{j}"
+    inner = "SELECT key, value, i + 1 AS i, r, b, key[i + 1] AS c, key[i] AS p FROM s WHERE i < length(key)"
+    inner = f"SELECT key, value, i, r, b, c, p FROM ({inner})"
+    for name, expr in cols:
+        inner = f"SELECT *, {expr} AS {name} FROM ({inner})"
+    step = f"SELECT key, value, i, [{', '.join(['i', *(c for c, _ in cols)])}] AS r, r AS b FROM ({inner})"
+    first = "[" + ", ".join(str(i) for i in range(n + 1)) + "]"
+    return f"WITH RECURSIVE v AS (SELECT * FROM ({_V}) WHERE length(key) BETWEEN {max(0, n - d)} AND {n + d} AND {where}), s AS (SELECT key, value, 0::BIGINT AS i, {first}::BIGINT[] AS r, {first}::BIGINT[] AS b FROM v UNION ALL SELECT key, value, i, r, b FROM ({step})) SELECT key, value FROM s WHERE i = length(key) AND r[{n + 1}] <= {d}"
+
+
+_LINES = "SELECT doc_id, pos - 1 AS pos, lines[pos] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))"
+_TRIM = "trim(line, concat(' ', chr(9), chr(13), chr(10)))"
+_GRAPH = """WITH keys AS (SELECT n_name AS key, max(n_nationkey)::BIGINT AS value FROM nation GROUP BY n_name),
+below AS (SELECT substr(key, 1, n) AS prefix, substr(key, n + 1) AS suffix, value FROM (SELECT key, value, unnest(range(0, length(key) + 1)) AS n FROM keys)),
+acc AS (SELECT prefix, CASE WHEN prefix = '' THEN 0 ELSE min(value) END AS acc FROM below GROUP BY prefix),
+kinds AS (SELECT prefix, any_value(acc) AS acc, string_agg(concat(suffix, '>', value - acc), '|' ORDER BY suffix) AS kind, max(CASE WHEN suffix = '' THEN value - acc END) AS own FROM below JOIN acc USING (prefix) GROUP BY prefix),
+nodes AS (SELECT kind, row_number() OVER (ORDER BY min(prefix)) - 1 AS node_id, bool_or(own IS NOT NULL) AS is_final, max(coalesce(own, 0)) AS final_output, min(prefix) AS rep FROM kinds GROUP BY kind),
+edges AS (SELECT n.node_id AS src, m.node_id AS dst, ord(right(k.prefix, 1))::BIGINT AS byte, k.acc - u.acc AS output FROM kinds k JOIN kinds u ON u.prefix = left(k.prefix, length(k.prefix) - 1) AND k.prefix <> '' JOIN nodes n ON n.rep = u.prefix JOIN nodes m ON m.kind = k.kind)"""
+_BUILDING = "(SELECT DISTINCT c_name FROM customer WHERE c_mktsegment = 'BUILDING')"
+
+
+def _uint64_sql() -> str:
+    forms = ["n", "concat(' +', n)", "concat(n, '.5x')", "concat('x', n)", "concat(n, '99999999999999999999')"]
+    rows = " UNION ALL ".join(f"SELECT event_id, {i} AS form, {f} AS t FROM e" for i, f in enumerate(forms))
+    return f"WITH e AS (SELECT event_id, regexp_extract(props, '([0-9]+)', 1) AS n FROM events), t AS ({rows}), d AS (SELECT event_id, form, regexp_extract(t, '^\\s*\\+?([0-9]+)', 1) AS d FROM t) SELECT event_id, form::INTEGER AS form, CASE WHEN d = '' THEN '0' ELSE least(try_cast(d AS HUGEINT), 18446744073709551615::HUGEINT)::VARCHAR END AS value FROM d"
+
+
+_ALL: dict[str, tuple[Query, str]] = {
+    "dict_set_build": (lambda spark, d: build_set(_words(spark, d)).df, f"SELECT key FROM ({_V})"),
+    "dict_map_build": (lambda spark, d: vocabulary(spark, d).df, _V),
+    "dict_map_last_wins": (lambda spark, d: parts(spark, d).df, "SELECT p_name AS key, arg_max(p_partkey, concat(p_name, ',', p_partkey)) AS value FROM part GROUP BY 1"),
+    "dict_map_presorted_last": (dict_map_presorted_last, "SELECT p_name AS key, arg_max(p_retailprice, p_partkey) AS value FROM part GROUP BY 1"),
+    "dict_map_from_lines": (dict_map_from_lines, "SELECT p_name AS key, arg_max(p_partkey, concat(p_name, ',', p_partkey, ',', p_brand)) AS value FROM part GROUP BY 1"),
+    "dict_line_validation": (dict_line_validation, f"SELECT count(*) AS n_lines, count(*) FILTER (line = '') AS n_empty, count(*) FILTER (line <> '' AND NOT contains(line, ',')) AS n_short, count(*) FILTER (contains(line, ',')) AS n_map, count(*) FILTER (line <> '') AS n_set FROM ({_LINES})"),
+    "parse_uint64": (parse_uint64, _uint64_sql()),
+    "string_functions": (string_functions, "WITH t AS (SELECT c_custkey, concat(' ', chr(9), c_name, '#', c_mktsegment, ' ', chr(13)) AS t, trim(concat(' ', chr(9), c_name, '#', c_mktsegment, ' ', chr(13)), concat(' ', chr(9), chr(13), chr(10))) AS s FROM customer) SELECT c_custkey, s AS trimmed, len(string_split(t, '#')) AS n_fields, array_to_string(list_filter(string_split(s, '#'), lambda x: x <> ''), '|') AS fields, length(t) AS n_chars, array_to_string([s[1], s[2], s[3]], '.') AS first_chars, strlen(t) = length(t) AS ascii FROM t"),
+    "match_hit": (on_customers(lambda d: match(d, "Customer#000000042")), _c("key = 'Customer#000000042'")),
+    "match_miss": (on_customers(lambda d: match(d, "Customer#x")), _c("key = 'Customer#x'")),
+    "match_bounded_in": (on_customers(lambda d: match(d, "Customer#000000042", Bounds(ge="Customer#00000004", lt="Customer#00000005"))), _c("key = 'Customer#000000042'")),
+    "match_bounded_out": (on_customers(lambda d: match(d, "Customer#000000042", Bounds(gt="Customer#000000042"))), _c("false")),
+    "prefix_scan": (vocabulary_of(Prefix("ther")), _v("starts_with(key, 'ther')")),
+    "prefix_bounded": (on_customers(lambda d: prefix(d, f"{_CNAME}00", Bounds(gt=f"{_CNAME}0010", le=f"{_CNAME}0050"))), _c(f"starts_with(key, '{_CNAME}00') AND key > '{_CNAME}0010' AND key <= '{_CNAME}0050'")),
+    "prefix_set": (lambda spark, d: prefix(build_set(_table(spark, d, "part"), "p_name"), "b"), "SELECT DISTINCT p_name AS key FROM part WHERE starts_with(p_name, 'b')"),
+    "range_ge_lt": (on_customers(lambda d: range_(d, Bounds(ge=f"{_CNAME}0020", lt=f"{_CNAME}0030"))), _c(f"key >= '{_CNAME}0020' AND key < '{_CNAME}0030'")),
+    "range_gt_le": (on_customers(lambda d: range_(d, Bounds(gt=f"{_CNAME}0020", le=f"{_CNAME}0030"))), _c(f"key > '{_CNAME}0020' AND key <= '{_CNAME}0030'")),
+    "range_unbounded": (on_customers(lambda d: range_(d, Bounds(ge=""))), _c("true")),
+    "range_ge_beats_gt": (on_customers(lambda d: range_(d, Bounds(ge=f"{_CNAME}0020", gt=f"{_CNAME}0090"))), _c(f"key >= '{_CNAME}0020'")),
+    "range_le_beats_lt": (on_customers(lambda d: range_(d, Bounds(le=f"{_CNAME}0090", lt=f"{_CNAME}0020"))), _c(f"key <= '{_CNAME}0090'")),
+    "range_vocabulary": (vocabulary_of(GreaterThan("tha", True) & LessThan("thf")), _v("key >= 'tha' AND key < 'thf'")),
+    "scan_generic": (lambda spark, d: scan(customers(spark, d), ~Prefix(f"{_CNAME}000"), Bounds(lt=f"{_CNAME}0100")), _c(f"NOT starts_with(key, '{_CNAME}000') AND key < '{_CNAME}0100'")),
+    "fuzzy_lev_d0": (vocabulary_of(fuzzy_predicate("there", 0)), _v("levenshtein(key, 'there') <= 0")),
+    "fuzzy_lev_d1": (vocabulary_of(fuzzy_predicate("there", 1)), _v("levenshtein(key, 'there') <= 1")),
+    "fuzzy_lev_d2": (vocabulary_of(fuzzy_predicate("there", 2)), _v("levenshtein(key, 'there') <= 2")),
+    "fuzzy_lev_prefix": (vocabulary_of(fuzzy_predicate("there", 2, same_prefix=3)), _v("starts_with(key, 'the') AND levenshtein(key, 'there') <= 2")),
+    "fuzzy_lev_prefix_long": (vocabulary_of(fuzzy_predicate("the", 2, same_prefix=9)), _v("starts_with(key, 'the') AND levenshtein(key, 'the') <= 2")),
+    "fuzzy_empty_pattern": (vocabulary_of(fuzzy_predicate("", 2)), _v("length(key) <= 2")),
+    "fuzzy_osa_d1": (vocabulary_of(fuzzy_predicate("there", 1, damerau=True)), _osa("there", 1)),
+    "fuzzy_osa_d2": (vocabulary_of(fuzzy_predicate("there", 2, damerau=True)), _osa("there", 2)),
+    "fuzzy_osa_prefix": (vocabulary_of(fuzzy_predicate("there", 2, same_prefix=1, damerau=True)), _osa("there", 2, "starts_with(key, 't')")),
+    "fuzzy_customers": (on_customers(lambda d: fuzzy(d, "Customer#000000042", 1)), _c("levenshtein(key, 'Customer#000000042') <= 1")),
+    **{name: (vocabulary_of(p), _v(sql)) for name, (p, sql) in _PREDICATES.items()},
+    "hit_count": (lambda spark, d: hit_count(filtered(vocabulary(spark, d), Prefix("the"))), f"SELECT count(*) AS hits FROM ({_v("starts_with(key, 'the')")})"),
+    "sort_lines_keep": (partial(sort_lines_query, keep_empty=True), f"SELECT line, doc_id, pos::INTEGER AS pos, row_number() OVER (ORDER BY {_TRIM}, doc_id, pos) AS place FROM ({_LINES})"),
+    "sort_lines_ignore_empty": (partial(sort_lines_query, keep_empty=False), f"SELECT line, doc_id, pos::INTEGER AS pos, row_number() OVER (ORDER BY {_TRIM}, doc_id, pos) AS place FROM ({_LINES}) WHERE {_TRIM} <> ''"),
+    "graph_nodes": (partial(graph_of_nations, what="nodes"), f"{_GRAPH} SELECT node_id, is_final, final_output FROM nodes"),
+    "graph_edges": (partial(graph_of_nations, what="edges"), f"{_GRAPH} SELECT src, dst, byte, output FROM edges"),
+    "graph_stats": (partial(graph_of_nations, what="stats"), f"{_GRAPH} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM nodes WHERE is_final) AS n_final, (SELECT count(*) FROM edges) AS n_edges"),
+    "lookup_join": (lookup_join, "SELECT p_partkey, p_name AS name, arg_max(p_partkey, concat(p_name, ',', p_partkey)) OVER (PARTITION BY p_name) AS value FROM part"),
+    "member_semi": (partial(member_query, inside=True), f"SELECT c_custkey, c_name FROM customer WHERE c_name IN {_BUILDING}"),
+    "member_anti": (partial(member_query, inside=False), f"SELECT c_custkey, c_name FROM customer WHERE c_name NOT IN {_BUILDING}"),
+    "fuzzy_join_d1": (fuzzy_join_d1, f"SELECT name, key AS dict_key, levenshtein(name, key)::INTEGER AS distance FROM (SELECT lower(n_name) AS name FROM nation UNION SELECT lower(r_name) FROM region) JOIN ({_V}) ON levenshtein(name, key) <= 1"),
+}
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items()}
