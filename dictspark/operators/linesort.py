@@ -20,13 +20,13 @@ def sort_lines(lines: DataFrame, keep_empty: bool = True, line_col: str = "line"
 def place_lines(lines: DataFrame, keep_empty: bool = True, line_col: str = "line", order_col: str = "line_no", ranges: int = 64, sample: int = 4_096) -> DataFrame:
     """lines with place (from 1), their place in the sorted file, without ordering everything in one task.
 
-    A sample of sort keys (about `sample` rows, drawn by hash, cut to 40 characters and paired with the given order) gives boundaries; rows
-    are numbered within the ranges between them, and each range begins after those before it. One number per range goes to the driver."""
+    A sample of sort keys with the given order (about `sample` rows, drawn by hash, none of over 1,000 characters) gives boundaries; rows are
+    numbered within the ranges between them, and each range begins after those before it. One number per range goes to the driver."""
     key = trimmed(F.col(line_col))
     rows = lines if keep_empty else lines.where(key != "")
-    rows = rows.withColumn("sort_key", F.struct(F.substring(key, 1, 40).alias("k"), F.col(order_col).alias("o")))
+    rows = rows.withColumn("sort_key", F.struct(key.alias("k"), F.col(order_col).alias("o")))
     every = max(1, rows.count() // sample)
-    drawn = rows.where(F.pmod(F.xxhash64("sort_key"), F.lit(every)) == 0).groupBy().agg(F.array_sort(F.collect_list("sort_key")).alias("s"))
+    drawn = rows.where((F.pmod(F.xxhash64("sort_key"), F.lit(every)) == 0) & (F.length(key) <= 1_000)).groupBy().agg(F.array_sort(F.collect_list("sort_key")).alias("s"))
     cuts = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / ranges).cast("int")))
     bounds = F.broadcast(drawn.select(F.filter(F.array_distinct(cuts), lambda x: x.isNotNull()).alias("bounds")))  # one row of at most `ranges` keys
     ranged = rows.join(bounds, how="cross").withColumn("range", F.size(F.filter("bounds", lambda b: b <= F.col("sort_key")))).drop("bounds")
