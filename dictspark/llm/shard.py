@@ -30,19 +30,15 @@ def _range_of(bounds: list[tuple[str, int]]) -> Column:
     boundaries that lie before the cell and the few within it; both tables are constants of at most the number of boundaries."""
     cells = [f"{i:0{_CELL}x}" for i in range(16**_CELL)]
     starts = [bisect_right(bounds, (c, -(1 << 63))) for c in cells] + [len(bounds)]
-    before = F.lit(starts[:-1])
-    inside = sorted({i for i in range(len(cells)) if starts[i] < starts[i + 1]})
+    listed = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")  # noqa: E731  folded into one constant
     cell = F.conv(F.substring("key", 1, _CELL), 16, 10).cast("int")
-    n = F.get(before, cell)
-    if not inside:
+    n = F.get(listed(starts, "int"), cell)
+    if not bounds:
         return n
-    slot = {i: k for k, i in enumerate(inside)}
-    where = F.lit([slot.get(i, -1) for i in range(len(cells))])
-    keys = F.array(*[F.array(*[F.lit(k) for k, _ in bounds[starts[i] : starts[i + 1]]]) for i in inside])
-    ids = F.array(*[F.array(*[F.lit(d).cast("long") for _, d in bounds[starts[i] : starts[i + 1]]]) for i in inside])
-    at = F.get(where, cell)
-    own = F.zip_with(F.get(keys, at), F.get(ids, at), lambda k, d: (k < F.col("key")) | ((k == F.col("key")) & (d <= F.col("order_id"))))
-    return F.when(at < 0, n).otherwise(n + F.size(F.filter(own, lambda x: x)))
+    m = F.get(listed(starts, "int"), cell + 1) - n
+    keys, ids = F.slice(listed([k for k, _ in bounds], "string"), n + 1, m), F.slice(listed([d for _, d in bounds], "bigint"), n + 1, m)
+    own = F.zip_with(keys, ids, lambda k, d: (k < F.col("key")) | ((k == F.col("key")) & (d <= F.col("order_id"))))
+    return n + F.size(F.filter(own, lambda x: x))
 
 
 def _sample(rows: DataFrame, want: int, n_rows: int, n_bytes: int, seed: int) -> list[tuple[str, int, float]]:
