@@ -69,23 +69,6 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept up to a bound."""
-
-    LIMIT = 1 << 18
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.array([self[w] for w in words], dtype=np.uint64)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit integers (the multiply and shift constants are splitmix64's fixed values)."""
     with np.errstate(over="ignore"):
@@ -94,6 +77,55 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)  # a fixed odd number
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: A 64-bit value per byte, after lower-casing A-Z.
+_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_VALUES[0x41:0x5B] = _VALUES[0x61:0x7B]
+_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Bytes that are hashed at a time, if a white space lies within them.
+_STRETCH = 1 << 16
+
+
+class _Powers:
+    """Powers of the base and of its inverse, as many as were asked for."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, _STRETCH + 1)
+            with np.errstate(over="ignore"):
+                cls.up, cls.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b)]), dtype=np.uint64) for b in (_BASE, _INVERSE))
+        return cls.up[:n], cls.down[:n]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words that space_words gives, in order: polynomials over the bytes, taken from running sums of the whole
+    stretch, so that no word becomes a Python object."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if text else np.empty(0, np.uint8)
+    out, at = [], 0
+    while at < len(data):
+        end = at + _STRETCH
+        if end < len(data):
+            cut = np.flatnonzero(_WHITE[data[at:end]])
+            while not len(cut) and end < len(data):  # a longer word than the stretch
+                end = min(len(data), at + 2 * (end - at))
+                cut = np.flatnonzero(_WHITE[data[at:end]])
+            end = at + int(cut[-1]) + 1 if len(cut) and end < len(data) else min(end, len(data))
+        part = data[at:end]
+        black = np.concatenate([[False], ~_WHITE[part], [False]])
+        turns = np.flatnonzero(black[1:] != black[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        up, down = _Powers.to(len(part) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[part] * up[: len(part)], dtype=np.uint64)])
+            out.append(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of the undirected edges (a long, b long): one row (node, label) for each node of an edge, label being
     the smallest node of its component.

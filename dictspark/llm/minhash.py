@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import WordHashes, components, map_batches, mixed, space_words, stored
+from dictspark.llm.common import components, map_batches, mixed, stored, word_hashes
 
 REGISTERS = 128
 #: 25 bands of 5 registers: two sets at similarity 0.85 miss each other in all bands with a chance of 4e-7, at 0.9 of 1e-10.
@@ -32,7 +32,6 @@ _ERRORS = 5
 #: Classes of a bucket that are held against as many others at a time, and shingles of these.
 BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 
-_WORDS = WordHashes()
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # a fixed odd number: the order of words in a shingle matters
 
 
@@ -47,10 +46,9 @@ _PROBES = _probes()
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
     """The text's distinct shingles as sorted 64-bit hashes; a text of fewer words is one shingle, one without words has none."""
-    words = space_words(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = _WORDS.of(words)
+    h = word_hashes(text)
+    if not len(h):
+        return h
     n = min(size, len(h))
     with np.errstate(over="ignore"):
         out = h[: len(h) - n + 1].copy()
@@ -66,12 +64,7 @@ def sketch(h: np.ndarray) -> np.ndarray:
     np.minimum.at(low, (g % np.uint64(REGISTERS)).astype(np.int64), g >> np.uint64(7))
     full = low != np.iinfo(np.uint64).max
     value = np.where(full, low, 0).astype(np.uint64)
-    bits = np.zeros(REGISTERS, np.int64)  # length of the value in bits, out of 57
-    v = value.copy()
-    for s in (32, 16, 8, 4, 2, 1):
-        big = v >= (np.uint64(1) << np.uint64(s))
-        bits += np.where(big, s, 0)
-        v = np.where(big, v >> np.uint64(s), v)
+    bits = np.frexp((value >> np.uint64(4)).astype(np.float64))[1].astype(np.int64) + 4  # length in bits, of 57; the upper 53 are exact
     shift = np.maximum(bits - MANTISSA, 0).astype(np.uint64)
     mantissa = (value >> shift) & np.uint64((1 << MANTISSA) - 1)
     reg = (((57 - bits) << MANTISSA) | mantissa.astype(np.int64)).astype(np.uint16)
