@@ -27,7 +27,11 @@ SEGMENT = 512
 CLASSES = 64
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and numerals such as superscripts
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int = 48, chars_per_doc: int = 1_000) -> dict[str, list[str]]:
@@ -90,11 +94,11 @@ def phrases_of(s: list[int], step: np.ndarray) -> int:
 class Model:
     """Built on each worker from the samples, which are small; the tables are not sent about."""
 
-    def __init__(self, samples: dict[str, list[str]], max_chars: int = 1_500_000):
+    def __init__(self, samples: dict[str, list[str]], max_chars: int = 500_000):
         self.langs = sorted(samples)
         share = max(1_000, max_chars // max(1, len(samples)))
         texts = {lang: self.folded("\n".join(samples[lang]))[:share] for lang in self.langs}
-        counts = Counter(c for t in texts.values() for c in t if _LETTER.match(c))
+        counts = Counter(c for t in texts.values() for c in t if c.isalpha())
         letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 2]]
         self.classes = len(letters) + 2
         self.table = np.zeros(0x110000, np.uint8)
@@ -140,7 +144,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
         """lang, score (how much fewer normalised phrases than the second best language, 0 to 1) and bits per character."""
-        able = [i for i, t in enumerate(texts) if self.langs and t and _LETTER.search(t)]
+        able = [i for i, t in enumerate(texts) if self.langs and t and has_letter(t)]
         langs, scores, bits = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
         if able:
             coded = [self.coded(self.folded(texts[i])) for i in able]

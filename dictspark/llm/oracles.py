@@ -93,3 +93,20 @@ own AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(own.labels, '') AS base_labels, coalesce(every.labels, '') AS labels, CASE WHEN n_base IS NOT NULL THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN every USING (doc_id)"""
+
+
+def packing(n_buckets: int, token_budget: int, cell_rows: int) -> str:
+    """The dynamic program bucket by bucket, for at most as many distinct lengths as the histogram has bins. A state's cost and the place where
+    its last bucket begins are one number, so that the least is the cheapest and, of these, the earliest."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, len(coalesce(regexp_extract_all(text, '[^{_SPACE}]+'), []))::BIGINT AS n, md5(concat(doc_id, ':', coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT row_number() OVER (ORDER BY n) AS j, n, sum(c) OVER (ORDER BY n)::BIGINT AS number, sum(c * n) OVER (ORDER BY n)::BIGINT AS total FROM (SELECT n, count(*) AS c FROM d GROUP BY n)),
+z AS (SELECT 0::BIGINT AS j, 0::BIGINT AS n, 0::BIGINT AS number, 0::BIGINT AS total UNION ALL SELECT * FROM x),
+k AS (SELECT least({n_buckets}, count(*)) AS k FROM x),
+dp AS (SELECT 0::BIGINT AS b, 0::BIGINT AS j, 0::BIGINT AS code UNION ALL
+SELECT dp.b + 1, e.j, min((dp.code // 65536 + e.n * (e.number - s.number) - (e.total - s.total)) * 65536 + s.j) FROM dp JOIN z s ON s.j = dp.j JOIN x e ON e.j > dp.j WHERE dp.b < (SELECT k FROM k) GROUP BY dp.b, e.j),
+way AS (SELECT k AS b, (SELECT max(j) FROM x) AS j FROM k WHERE k > 0 UNION ALL SELECT way.b - 1, dp.code % 65536 FROM way JOIN dp ON dp.b = way.b AND dp.j = way.j WHERE way.b > 1),
+up AS (SELECT way.b - 1 AS bucket, n AS bucket_len FROM way JOIN x USING (j)),
+p AS (SELECT doc_id, n, h, min(bucket_len) AS bucket_len, min(bucket) AS bucket FROM d JOIN up ON up.bucket_len >= n GROUP BY doc_id, n, h),
+c AS (SELECT *, (('0x' || substr(h, 1, 8))::BIGINT) % greatest(1, (count(*) OVER (PARTITION BY bucket) + {cell_rows - 1}) // {cell_rows}) AS cell, greatest(1, {token_budget} // greatest(bucket_len, 1)) AS each FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY bucket, cell ORDER BY h, doc_id) - 1 AS place FROM c)
+SELECT doc_id, n AS n_tokens, bucket::INTEGER AS bucket, bucket_len, concat(bucket, '-', cell, '-', place // each) AS batch_id, place % each AS slot, bucket_len - n AS padding FROM o"""

@@ -71,7 +71,7 @@ def _placed(docs: DataFrame, id_col: str, bins: list[tuple[int, int]], n_buckets
     for i in range(len(uppers) - 2, -1, -1):
         bucket = F.when(tokens <= uppers[i], F.lit(i)).otherwise(bucket)
     rows = docs.withColumn(f"{OWN}bucket", bucket).withColumn(f"{OWN}bucket_len", F.get(F.lit(uppers), F.col(f"{OWN}bucket")).cast("long"))
-    rows = rows.withColumn(f"{OWN}cell", F.pmod(F.col(f"{OWN}h"), F.get(F.lit(cells), F.col(f"{OWN}bucket"))).cast("int"))
+    rows = rows.withColumn(f"{OWN}cell", F.pmod(F.conv(F.substring(f"{OWN}h", 1, 8), 16, 10).cast("long"), F.get(F.lit(cells), F.col(f"{OWN}bucket"))).cast("int"))
     each = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col(f"{OWN}bucket_len"), F.lit(1)))).cast("long")
     order = (F.row_number().over(Window.partitionBy(f"{OWN}bucket", f"{OWN}cell").orderBy(f"{OWN}h", id_col)) - 1).cast("long")
     rows = rows.withColumn(f"{OWN}order", order)
@@ -80,7 +80,8 @@ def _placed(docs: DataFrame, id_col: str, bins: list[tuple[int, int]], n_buckets
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumn(f"{OWN}n_tokens", n_tokens(F.col(text_col))).withColumn(f"{OWN}h", F.xxhash64(F.col(id_col), F.col(text_col)))
+    mark = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn(f"{OWN}n_tokens", n_tokens(F.col(text_col))).withColumn(f"{OWN}h", mark)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = 16, token_budget: int = 65_536) -> DataFrame:

@@ -75,6 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None for language ID, packing and chat repair (suffix automata and dynamic programs)."""
+    """None for language ID (suffix automata) and chat repair."""
     scan = oracles.licenses(license.TEMPLATES, license.PHRASES, license.THRESHOLD, license.BLOCK)
-    return {"op1_warc": oracles.WARC, "op2_near_duplicates": oracles.NEAR, "op3_license": scan, "op5_sharding": oracles.SHARDS, "op6_line_dedup": oracles.LINES, "op8_topk": oracles.TOP, "op10_decontamination": oracles.CONTAMINATION}
+    return {"op1_warc": oracles.WARC, "op2_near_duplicates": oracles.NEAR, "op3_license": scan, "op5_sharding": oracles.SHARDS, "op6_line_dedup": oracles.LINES, "op7_packing": oracles.packing(16, 65_536, packing.CELL_ROWS), "op8_topk": oracles.TOP, "op10_decontamination": oracles.CONTAMINATION}

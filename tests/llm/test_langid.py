@@ -78,7 +78,7 @@ def test_the_held_out_labels_are_not_seen(spark):
 def test_edge_cases(spark):
     r = rng(8)
     d, langs = labelled(spark, r, 60)
-    odd = docs(spark, [(1000, None), (1001, ""), (1002, "123 !? \n"), (1003, text(r, "bb", 30_000)), (None, text(r, "aa", 20)), (1004, "que dos nho lhe"), (1004, "que dos nho lhe")], lang=lambda i: None)
+    odd = docs(spark, [(1000, None), (1001, ""), (1002, "123 !? \n x² "[:8] + "²_½"), (1003, text(r, "bb", 30_000)), (None, text(r, "aa", 20)), (1004, "que dos nho lhe"), (1004, "que dos nho lhe")], lang=lambda i: None)
     rows = {(x["doc_id"]): x for x in langid.identify(d.union(odd)).collect()}
     assert [rows[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and rows[1000]["score"] == 0
     assert rows[1003]["lang_pred"] == "bb" and rows[None]["lang_pred"] == "aa"
