@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-f", "--file", required=True, help="text file or folder")
         p.add_argument("-o", "--out", required=True, help="folder of the dictionary; must not exist")
         p.add_argument("-s", "--sorted", action="store_true", help="the lines are in the order of insertion")
+        p.add_argument("--strict", action="store_true", help="leave out keys that come after a greater one")
     p = sub.add_parser("dot", help="write the minimal transducer as Graphviz text")
     p.add_argument("-f", "--file", required=True, help="dictionary")
     p.add_argument("-o", "--out", required=True, help="text file")
@@ -79,7 +80,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     began = time.time()
     if args.command in ("map", "set"):
         lines = read_lines(spark, args.file)
-        d = map_from_lines(lines, args.sorted) if args.command == "map" else set_from_lines(lines)
+        d = (map_from_lines if args.command == "map" else set_from_lines)(lines, args.sorted, args.strict)
         d.save(args.out)
         return 0
     if args.command == "sort":

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dictspark.functions.strings import trimmed
+from dictspark.operators.linesort import greatest_before
 from dictspark.sources.text import parse_map_lines, parse_set_lines
 
 
@@ -46,23 +47,30 @@ def build_set(rows: DataFrame, key: str = "key") -> Dictionary:
     return Dictionary(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct())
 
 
-def map_from_lines(lines: DataFrame, presorted: bool = False) -> Dictionary:
-    """A map from text lines (line, line_no). Lines are inserted in the order of their trimmed text, so of lines with one key the textually
-    greatest wins; presorted lines are inserted as they come. Ties go to the later line."""
-    rows = parse_map_lines(lines)
-    order = F.col("line_no") if presorted else F.struct(trimmed(F.col("line")), F.col("line_no"))
-    return build_map(rows, order=order)
+def refused(rows: DataFrame, sort_key: Column, key: str = "key") -> DataFrame:
+    """rows with refused: whether a builder that takes keys in ascending order only would refuse the row, coming in the order of sort_key. It
+    refuses keys below the greatest before them, unless they are a prefix of that one; the empty key it takes only before all others."""
+    seen = greatest_before(rows, key, sort_key)
+    below = (F.col(key) < F.col("greatest")) & (~F.col("greatest").startswith(F.col(key)) | (F.col(key) == ""))
+    return seen.withColumn("refused", F.coalesce(below, F.lit(False))).drop("greatest")
+
 
+def _insertion(presorted: bool) -> Column:
+    return F.struct(F.col("line_no")) if presorted else F.struct(trimmed(F.col("line")), F.col("line_no"))
 
-def set_from_lines(lines: DataFrame) -> Dictionary:
-    return build_set(parse_set_lines(lines))
 
+def map_from_lines(lines: DataFrame, presorted: bool = False, strict: bool = False) -> Dictionary:
+    """A map from text lines (line, line_no). Lines are inserted in the order of their trimmed text, so of lines with one key the textually
+    greatest wins; presorted lines are inserted as they come. Ties go to the later line. strict leaves out what a builder of ascending
+    keys would refuse (keys with leading white space, mostly, whose lines are ordered without it)."""
+    rows, order = parse_map_lines(lines), _insertion(presorted)
+    if strict:
+        rows = refused(rows, order).where("NOT refused")
+    return build_map(rows, order=order)
 
-def out_of_order(rows: DataFrame, key: str = "key", order: str = "line_no") -> DataFrame:
-    """For input that claims to be sorted: the rows whose key is below the greatest key before them and no prefix of the key before it. A
-    strict builder would refuse them. The running maximum needs one order over all rows, so this check is for inputs of modest size."""
-    from pyspark.sql import Window
 
-    before = Window.orderBy(order)
-    seen = rows.withColumn("previous", F.lag(key).over(before)).withColumn("greatest", F.max(key).over(before.rowsBetween(Window.unboundedPreceding, -1)))
-    return seen.where((F.col(key) < F.col("greatest")) & ~F.col("previous").startswith(F.col(key))).select(*rows.columns)
+def set_from_lines(lines: DataFrame, presorted: bool = False, strict: bool = False) -> Dictionary:
+    rows = parse_set_lines(lines)
+    if strict:
+        rows = refused(rows, _insertion(presorted)).where("NOT refused")
+    return build_set(rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dictspark.functions.strings import trimmed
@@ -17,26 +17,45 @@ def sort_lines(lines: DataFrame, keep_empty: bool = True, line_col: str = "line"
     return rows.orderBy(key, order_col)
 
 
-def place_lines(lines: DataFrame, keep_empty: bool = True, line_col: str = "line", order_col: str = "line_no", ranges: int = 64, sample: int = 4_096) -> DataFrame:
-    """lines with place (from 1), their place in the sorted file, without ordering everything in one task.
+def in_ranges(rows: DataFrame, sort_key: Column, ranges: int, sample: int) -> DataFrame:
+    """rows with __key, the sort key, and __range: rows of a lower range come before those of a higher one. About `sample` keys, drawn by hash,
+    give the boundaries (those of over 1,000 characters as JSON are not drawn), so any run over the same rows deals them alike."""
+    rows = rows.withColumn("__key", sort_key)
+    every = max(1, rows.count() // sample)
+    drawn = rows.where((F.pmod(F.xxhash64("__key"), F.lit(every)) == 0) & (F.length(F.to_json(F.struct("__key"))) <= 1_000))
+    drawn = drawn.groupBy().agg(F.array_sort(F.collect_list("__key")).alias("s"))
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / ranges).cast("int")))
+    bounds = F.broadcast(drawn.select(F.filter(F.array_distinct(cuts), lambda x: x.isNotNull()).alias("__bounds")))  # one row of at most `ranges` keys
+    return rows.join(bounds, how="cross").withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= F.col("__key")))).drop("__bounds")
 
-    A sample of sort keys with the given order (about `sample` rows, drawn by hash, none of over 1,000 characters) gives boundaries; rows are
-    numbered within the ranges between them, and each range begins after those before it. One number per range goes to the driver."""
+
+def place_lines(lines: DataFrame, keep_empty: bool = True, line_col: str = "line", order_col: str = "line_no", ranges: int = 64, sample: int = 4_096) -> DataFrame:
+    """lines with place (from 1), their place in the sorted file, without ordering everything in one task: rows are numbered within ranges, and
+    each range begins after those before it. One number per range goes to the driver."""
     key = trimmed(F.col(line_col))
     rows = lines if keep_empty else lines.where(key != "")
-    rows = rows.withColumn("sort_key", F.struct(key.alias("k"), F.col(order_col).alias("o")))
-    every = max(1, rows.count() // sample)
-    drawn = rows.where((F.pmod(F.xxhash64("sort_key"), F.lit(every)) == 0) & (F.length(key) <= 1_000)).groupBy().agg(F.array_sort(F.collect_list("sort_key")).alias("s"))
-    cuts = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / ranges).cast("int")))
-    bounds = F.broadcast(drawn.select(F.filter(F.array_distinct(cuts), lambda x: x.isNotNull()).alias("bounds")))  # one row of at most `ranges` keys
-    ranged = rows.join(bounds, how="cross").withColumn("range", F.size(F.filter("bounds", lambda b: b <= F.col("sort_key")))).drop("bounds")
-    sizes = dict(ranged.groupBy("range").count().collect())
+    ranged = in_ranges(rows, F.struct(key.alias("k"), F.col(order_col).alias("o")), ranges, sample)
+    sizes = dict(ranged.groupBy("__range").count().collect())
     before, total = [], 0
     for r in range(ranges + 1):
         before.append(total)
         total += sizes.get(r, 0)
-    within = F.row_number().over(Window.partitionBy("range").orderBy(key, order_col))
-    return ranged.withColumn("place", within + F.get(F.lit(before), F.col("range"))).drop("range", "sort_key")
+    within = F.row_number().over(Window.partitionBy("__range").orderBy("__key"))
+    return ranged.withColumn("place", within + F.get(F.lit(before), F.col("__range"))).drop("__range", "__key")
+
+
+def greatest_before(rows: DataFrame, value: str, sort_key: Column, ranges: int = 64, sample: int = 4_096) -> DataFrame:
+    """rows with greatest: the greatest value of the rows before in the order of sort_key, null for the first. One value per range goes to
+    the driver."""
+    ranged = in_ranges(rows, sort_key, ranges, sample)
+    top = dict(ranged.groupBy("__range").agg(F.max(value)).collect())
+    before, most = [], None
+    for r in range(ranges + 1):
+        before.append(most)
+        most = max((x for x in (most, top.get(r)) if x is not None), key=lambda x: x.encode(), default=None)
+    within = F.max(value).over(Window.partitionBy("__range").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = F.get(F.array(*[F.lit(x).cast("string") for x in before]), F.col("__range"))
+    return ranged.withColumn("greatest", F.greatest(within, earlier)).drop("__range", "__key")
 
 
 def sort_file(spark: SparkSession, path: str, out: str, keep_empty: bool = True) -> None:

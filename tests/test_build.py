@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dictspark.cli import main
 from dictspark.functions.strings import characters, is_ascii, parse_uint64, split_fields, trimmed, utf8_lengths
 from dictspark.operators.batch import fuzzy_join, lookup, members, strangers
-from dictspark.operators.dictionary import Dictionary, build_set, map_from_lines, out_of_order, set_from_lines
+from dictspark.operators.dictionary import Dictionary, build_set, map_from_lines, refused, set_from_lines
 from dictspark.operators.graph import dot_lines, graph_stats, transducer
 from dictspark.operators.linesort import place_lines, sort_lines
 from dictspark.operators.query import scan
@@ -34,9 +34,35 @@ def test_map_lines(spark):
     assert line_report(rows).first().asDict() == {"n_lines": 8, "n_empty": 1, "n_short": 1, "n_map": 6, "n_set": 7}
 
 
-def test_out_of_order(spark):
-    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["b", "bc", "a", "b", "c"])], "key string, line_no long")
-    assert [r["line_no"] for r in out_of_order(rows).orderBy("line_no").collect()] == [2, 3]
+def strict_model(texts, presorted):
+    """Keys in the order of insertion against the greatest one taken so far."""
+    rows = list(enumerate(texts)) if presorted else sorted(enumerate(texts), key=lambda x: (x[1].strip(" \t\r\n").encode(), x[0]))
+    top, out = None, {}
+    for _, t in rows:
+        if not t or t.count(",") < 1:
+            continue
+        key, value = t.split(",")[:2]
+        k = key.encode()
+        if top is not None and k < top and (not top.startswith(k) or not k):
+            continue
+        out[key] = int(value)
+        top = k if top is None else max(top, k)
+    return out
+
+
+@pytest.mark.parametrize("presorted", [False, True])
+def test_strict_builds_leave_out_what_is_out_of_order(spark, presorted):
+    rng = random.Random(11)
+    for _ in range(3):
+        texts = ["".join(rng.choice(" ab中") for _ in range(rng.randint(0, 3))) + f",{rng.randint(0, 99)}" for _ in range(80)]
+        rows = lines(spark, *texts)
+        assert pairs(map_from_lines(rows, presorted, strict=True)) == strict_model(texts, presorted)
+        assert {r["key"] for r in set_from_lines(rows, presorted, strict=True).df.collect()} == set(strict_model(texts, presorted))
+
+
+def test_refused_rows(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["b", "bc", "a", "b", "", "c"])], "key string, line_no long")
+    assert [r["line_no"] for r in refused(rows, F.struct("line_no")).where("refused").orderBy("line_no").collect()] == [2, 4]
 
 
 @pytest.mark.parametrize(
