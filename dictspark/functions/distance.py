@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,12 +45,22 @@ def osa_distance(key: Column, pattern: str) -> Column:
     return F.aggregate(letters, start, step, lambda acc: F.element_at(acc.getField("now"), len(chars) + 1))
 
 
+def osa_near(key: Column, pattern: str, d: int) -> Column:
+    """What OSA distance at most d implies and compiled code can tell: a like length, and a Levenshtein distance of at most 2d."""
+    return _length_near(key, len(pattern), d) & (F.levenshtein(key, F.lit(pattern), 2 * d) >= 0)
+
+
 def osa_within(key: Column, pattern: str, d: int) -> Column:
     """OSA distance at most d. As OSA <= Levenshtein <= 2 * OSA, keys with Levenshtein at most d are in and those beyond 2d are out by compiled
-    code; only the band between pays for the row-by-row expression."""
+    code. Between, OSA can only be less where a swap is made, so the key must hold two neighbours of the pattern in reverse; only such
+    keys pay for the row-by-row expression."""
     if not pattern:
         return F.length(key) <= d
     if d == 0:
         return key == pattern
+    swaps = sorted({b + a for a, b in zip(pattern, pattern[1:], strict=False) if a != b})
+    if not swaps:
+        return lev_within(key, pattern, d)
+    swapped = reduce(lambda a, b: a | b, (key.contains(s) for s in swaps))
     lev = F.levenshtein(key, F.lit(pattern), 2 * d)
-    return _length_near(key, len(pattern), d) & (lev >= 0) & F.when(lev <= d, F.lit(True)).otherwise(osa_distance(key, pattern) <= d)
+    return osa_near(key, pattern, d) & F.when(lev <= d, F.lit(True)).when(swapped, osa_distance(key, pattern) <= d).otherwise(F.lit(False))

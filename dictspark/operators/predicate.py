@@ -12,13 +12,17 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dictspark.functions.distance import lev_within, osa_within
+from dictspark.functions.distance import lev_within, osa_near, osa_within
 
 
 class Predicate:
     def column(self, key: Column) -> Column:
         raise NotImplementedError
 
+    def coarse(self, key: Column) -> Column:
+        """A cheap condition that holds for every key accepted; for rows that have yet to be grouped by key."""
+        return self.column(key)
+
     def __and__(self, other: Predicate) -> Predicate:
         return And(self, other)
 
@@ -100,6 +104,9 @@ class Osa(Predicate):
     def column(self, key: Column) -> Column:
         return osa_within(key, self.text, self.distance)
 
+    def coarse(self, key: Column) -> Column:
+        return osa_near(key, self.text, self.distance) if self.text else self.column(key)
+
 
 @dataclass(frozen=True)
 class Where(Predicate):
@@ -122,6 +129,9 @@ class And(_Several):
     def column(self, key: Column) -> Column:
         return reduce(lambda a, b: a & b, (p.column(key) for p in self.parts), F.lit(True))
 
+    def coarse(self, key: Column) -> Column:
+        return reduce(lambda a, b: a & b, (p.coarse(key) for p in self.parts), F.lit(True))
+
 
 class Or(_Several):
     """Keys that some part accepts; none without parts."""
@@ -129,6 +139,9 @@ class Or(_Several):
     def column(self, key: Column) -> Column:
         return reduce(lambda a, b: a | b, (p.column(key) for p in self.parts), F.lit(False))
 
+    def coarse(self, key: Column) -> Column:
+        return reduce(lambda a, b: a | b, (p.coarse(key) for p in self.parts), F.lit(False))
+
 
 @dataclass(frozen=True)
 class Not(Predicate):
@@ -163,8 +176,14 @@ class StartsWith(Predicate):
             return p.column(key)
         if isinstance(p, Or):
             return Or(*(StartsWith(x) for x in p.parts)).column(key)
-        low, high = F.lit(0), F.length(key)
+        return self._some_prefix(key, p.column)
+
+    def coarse(self, key: Column) -> Column:
+        return self._some_prefix(key, self.inner.coarse) if isinstance(self.inner, Osa) else self.column(key)
+
+    def _some_prefix(self, key: Column, accepts: Callable[[Column], Column]) -> Column:
+        p, low, high = self.inner, F.lit(0), F.length(key)
         if isinstance(p, Lev | Osa):
             low, high = F.lit(max(0, len(p.text) - p.distance)), F.least(high, F.lit(len(p.text) + p.distance))
         sizes = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        return F.exists(F.transform(sizes, lambda n: F.substring(key, F.lit(1), n)), lambda s: p.column(s))
+        return F.exists(F.transform(sizes, lambda n: F.substring(key, F.lit(1), n)), accepts)

@@ -37,11 +37,13 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> Dictionary:
 
 
 def vocabulary_of(accepts: Predicate) -> Query:
-    """Of the vocabulary only what the predicate accepts: it is put before the counting, where it spares the shuffle."""
+    """Of the vocabulary only what the predicate accepts. Its cheap form is put before the counting, where it spares the shuffle; what is costly
+    comes after it, once per key (it is tied to the count, or the optimiser would put it before as well)."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        words = _words(spark, sf_dir).where(accepts.column(F.col("key")))
-        return Dictionary(words.groupBy("key").agg(F.count("*").alias("value"))).df.orderBy("key")
+        key = F.col("key")
+        counted = _words(spark, sf_dir).where(accepts.coarse(key)).groupBy("key").agg(F.count("*").alias("value"))
+        return counted.where(F.when(F.col("value") > 0, accepts.column(key))).orderBy("key")
 
     return query
 
