@@ -110,22 +110,22 @@ def _searched(batch: pa.RecordBatch, text_at: int, look: Windows, gap: int, slop
     return index.counts, hits, [sorted(x) for x in items], [sorted(x) for x in near]
 
 
-def search(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, slop: int = 0, block_items: int = 20_000) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, slop: int = 0, block_items: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
     """docs with three or four columns more: __ds_n_words, __ds_n_hit (words inside an exact match of a window), __ds_items (ids of the
     items with an exact match, sorted as strings) and, with a slop, __ds_near (ids with a proximity match).
 
     A window is `window` consecutive words of an item; an item of fewer words is one window, an item without words has none. Null and
     empty texts have no words. Items of the same id count as one item; a null id reads as the text 'null'. The items are the stated
-    test set: they are taken to the partitions in blocks of at most block_items, and a search over several blocks makes one pass per
+    test set: they are taken to the partitions in blocks of about block_items or block_bytes at most, and a search over several blocks makes one pass per
     block and adds up (hit words are joined as positions, so that overlaps between blocks count once).
     """
-    n_items = items.count()
-    blocks = max(1, -(-n_items // block_items))
+    n_items, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()
+    blocks = max(1, -(-n_items // block_items), -(-n_bytes // block_bytes))
     at = docs.columns.index(text_col)
     if blocks > 1:
         return _search_blocks(docs, items, text_col, item_id, item_text, window, slop, blocks)
     look = Windows()
-    for i, text in items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), F.col(item_text)).collect():  # at most block_items rows
+    for i, text in items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), F.col(item_text)).collect():  # at most block_items rows and block_bytes bytes
         look.add(i, text, window)
     kinds = [(f"{OWN}n_words", pa.int64()), (f"{OWN}n_hit", pa.int64()), (f"{OWN}items", pa.list_(pa.string())), (f"{OWN}near", pa.list_(pa.string()))][: 4 if slop else 3]
 

@@ -34,10 +34,15 @@ def has_letter(text: str) -> bool:
     return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int = 48, chars_per_doc: int = 1_000) -> dict[str, list[str]]:
-    """Of each language docs_per_lang documents (smallest hashes of their ids), of each its first chars_per_doc characters. Only documents
-    with text, a label and crc32(id as text) mod 3 <> 1. The ranking is cut to docs_per_lang rows in each task before the shuffle."""
-    able = docs.where(F.col(text_col).isNotNull() & (F.col(text_col) != "") & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int = 48, chars_per_doc: int = 1_000, max_langs: int = 400) -> dict[str, list[str]]:
+    """The labelled sample, bounded by its parameters: of each language docs_per_lang documents (smallest hashes of their ids and texts), of
+    each its first chars_per_doc characters; of more than max_langs labels, the most frequent are learned. Only documents with text, a
+    label and crc32(id as text) mod 3 <> 1. The ranking is cut to docs_per_lang rows in each task before the shuffle."""
+    labels = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(lang_col).alias("lang")).count()
+    most = [r["lang"] for r in labels.orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    if not most:
+        return {}
+    able = docs.where(F.col(lang_col).isin(most)).where(F.col(text_col).isNotNull() & (F.col(text_col) != "") & ~held_out(F.col(id_col)))
     able = able.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.substring(F.col(text_col), 1, chars_per_doc).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     out: dict[str, list[str]] = {}

@@ -110,3 +110,21 @@ p AS (SELECT doc_id, n, h, min(bucket_len) AS bucket_len, min(bucket) AS bucket
 c AS (SELECT *, (('0x' || substr(h, 1, 8))::BIGINT) % greatest(1, (count(*) OVER (PARTITION BY bucket) + {cell_rows - 1}) // {cell_rows}) AS cell, greatest(1, {token_budget} // greatest(bucket_len, 1)) AS each FROM p),
 o AS (SELECT *, row_number() OVER (PARTITION BY bucket, cell ORDER BY h, doc_id) - 1 AS place FROM c)
 SELECT doc_id, n AS n_tokens, bucket::INTEGER AS bucket, bucket_len, concat(bucket, '-', cell, '-', place // each) AS batch_id, place % each AS slot, bucket_len - n AS padding FROM o"""
+
+
+def chats(moves: dict, close: dict, roles: tuple, aliases: dict, part_turns: int, insert: int) -> str:
+    """Costs ahead from the last turn back, then the steps forward. moves, close, roles and aliases are the automaton's own tables."""
+    steps = ", ".join(f"({s}, {r}, {i}, {cost}, {to}, '{what}', {put})" for (s, r), own in moves.items() for i, (cost, to, what, put) in enumerate(own))
+    named = " ".join(f"WHEN '{name}' THEN {state}" for name, state in aliases.items())
+    role = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(roles))
+    ends = ", ".join(f"({s}, {insert * len(own)}, {len(own)}, '{''.join(f'<|end|>{chr(10)}<|{roles[x]}|>{chr(10)}' for x in own)}', '{''.join(f',close:{roles[x]}' for x in own)}')" for s, own in close.items())
+    return f"""WITH RECURSIVE m(s, role, i, cost, dst, what, put) AS (VALUES {steps}), e(s, cost, n, piece, acts) AS (VALUES {ends}),
+t AS (SELECT conv_id, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n, CASE lower(trim(coalesce(role, ''))) {named} ELSE 0 END AS role, replace(coalesce(text, ''), '<|', '<\\|') AS text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, md5(text) NULLS LAST)),
+g AS (SELECT DISTINCT conv_id, t.n + 1 AS pos, e.s, e.cost::BIGINT AS cost FROM t, e UNION ALL
+SELECT g.conv_id, t.pos, m.s, min(m.cost + g.cost) FROM g JOIN t ON t.conv_id IS NOT DISTINCT FROM g.conv_id AND t.pos = g.pos - 1 JOIN m ON m.role = t.role AND m.dst = g.s GROUP BY g.conv_id, t.pos, m.s),
+f AS (SELECT DISTINCT conv_id, 1::BIGINT AS pos, 0 AS s FROM t UNION ALL
+SELECT f.conv_id, f.pos + 1, arg_min(m.dst, (m.cost + g.cost) * 100 + m.i) FROM f JOIN t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.pos = f.pos JOIN m ON m.s = f.s AND m.role = t.role JOIN g ON g.conv_id IS NOT DISTINCT FROM f.conv_id AND g.pos = f.pos + 1 AND g.s = m.dst GROUP BY f.conv_id, f.pos),
+o AS (SELECT t.conv_id, t.pos, t.n, t.text, f.s, arg_min(struct_pack(cost := m.cost, dst := m.dst, what := m.what, put := m.put), (m.cost + g.cost) * 100 + m.i) AS x FROM f JOIN t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.pos = f.pos JOIN m ON m.s = f.s AND m.role = t.role JOIN g ON g.conv_id IS NOT DISTINCT FROM f.conv_id AND g.pos = f.pos + 1 AND g.s = m.dst GROUP BY t.conv_id, t.pos, t.n, t.text, f.s),
+p AS (SELECT conv_id, pos, pos = n AS last, x, CASE WHEN x.what = 'merge' THEN chr(10) || text ELSE CASE WHEN s <> 0 THEN '<|end|>' || chr(10) ELSE '' END || CASE WHEN x.put > 0 THEN '<|' || CASE x.put {role} END || '|>' || chr(10) || '<|end|>' || chr(10) ELSE '' END || '<|' || CASE x.dst {role} END || '|>' || chr(10) || text END AS piece, CASE WHEN x.what = 'merge' THEN 0 WHEN x.put > 0 THEN 2 ELSE 1 END AS n_out FROM o)
+SELECT conv_id, ((pos - 1) // {part_turns})::INTEGER AS part, count(*) AS n_turns, (sum(n_out) + sum(CASE WHEN last THEN e.n ELSE 0 END))::BIGINT AS n_out, (sum(x.cost) + sum(CASE WHEN last THEN e.cost ELSE 0 END))::BIGINT AS cost, string_agg(x.what || CASE WHEN last THEN e.acts ELSE '' END, ',' ORDER BY pos) AS actions, string_agg(p.piece || CASE WHEN last THEN e.piece || '<|end|>' || chr(10) ELSE '' END, '' ORDER BY pos) AS rendered
+FROM p JOIN e ON e.s = x.dst GROUP BY conv_id, (pos - 1) // {part_turns}"""

@@ -60,8 +60,8 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations repaired at the least cost and rendered; long ones in parts."""
-    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+    """Conversations repaired at the least cost and rendered; long ones in parts. Actions as a list with commas."""
+    return chat.format_chats(_table(spark, sf_dir, "conversations")).withColumn("actions", F.array_join("actions", ","))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None for language ID (suffix automata) and chat repair."""
+    """None for language ID, whose suffix automata are beyond SQL."""
     scan = oracles.licenses(license.TEMPLATES, license.PHRASES, license.THRESHOLD, license.BLOCK)
-    return {"op1_warc": oracles.WARC, "op2_near_duplicates": oracles.NEAR, "op3_license": scan, "op5_sharding": oracles.SHARDS, "op6_line_dedup": oracles.LINES, "op7_packing": oracles.packing(16, 65_536, packing.CELL_ROWS), "op8_topk": oracles.TOP, "op10_decontamination": oracles.CONTAMINATION}
+    return {"op1_warc": oracles.WARC, "op2_near_duplicates": oracles.NEAR, "op3_license": scan, "op5_sharding": oracles.SHARDS, "op6_line_dedup": oracles.LINES, "op7_packing": oracles.packing(16, 65_536, packing.CELL_ROWS), "op8_topk": oracles.TOP, "op9_chat": oracles.chats(chat.MOVES, chat.CLOSE, chat.ROLES, chat.ALIASES, chat.PART_TURNS, chat.INSERT), "op10_decontamination": oracles.CONTAMINATION}
