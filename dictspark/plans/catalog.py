@@ -189,7 +189,6 @@ def _osa(q: str, d: int, where: str = "true") -> str:
         cols.append((f"x{j}", f"least(r[{j + 1}] + 1, {prev} + 1, r[{j}] + CASE WHEN c = '{q[j - 1]}' THEN 0 ELSE 1 END, {swap})"))
         prev = f"x{j}"
     inner = "SELECT key, value, i + 1 AS i, r, b, key[i + 1] AS c, key[i] AS p FROM s WHERE i < length(key)"
-    inner = f"SELECT key, value, i, r, b, c, p FROM ({inner})"
     for name, expr in cols:
         inner = f"SELECT *, {expr} AS {name} FROM ({inner})"
     step = f"SELECT key, value, i, [{', '.join(['i', *(c for c, _ in cols)])}] AS r, r AS b FROM ({inner})"
