@@ -46,7 +46,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() made. Only for those that nothing yet to run reads: what was stored after them is complete by itself."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -138,14 +148,22 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     while labels is None or not left.isEmpty():
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
         tree = stored(both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("label")), f"{name}-hook")
-        while True:
+        moved = True
+        while moved:
             up = tree.select(F.col("node").alias("label"), F.col("label").alias("root"))
-            jumped = stored(tree.join(up, "label").select("node", F.col("root").alias("label"), (F.col("root") != F.col("label")).alias("moved")), f"{name}-jump")
-            tree, moved = jumped.select("node", "label"), not jumped.where("moved").isEmpty()
-            if not moved:
-                break
-        step = tree.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        labels = tree if labels is None else stored(labels.join(step, "label", "left").select("node", F.coalesce("root", "label").alias("label")), f"{name}-labels")
+            jumped = tree.select("node", "label").join(up, "label").select("node", F.col("root").alias("label"), (F.col("root") != F.col("label")).alias("moved"))
+            before, tree = tree, stored(jumped, f"{name}-jump")
+            discard(before)
+            moved = not tree.where("moved").isEmpty()
         ends = left.join(tree.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(tree.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-        left = stored(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"{name}-edges")
-    return labels
+        rest = stored(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"{name}-edges")
+        if labels is None:
+            labels = tree
+        else:
+            step = tree.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            before, labels = labels, stored(labels.join(step, "label", "left").select("node", F.coalesce("root", "label").alias("label")), f"{name}-labels")
+            discard(before, tree)
+        discard(left)
+        left = rest
+    discard(left)
+    return labels.select("node", "label")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import OWN, map_batches, stored
+from dictspark.llm.common import OWN, discard, map_batches, stored
 
 DEPTH = 3
 SIMILARITY = 0.7
@@ -92,7 +92,7 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> dict:
 
 
 def _firsts(keyed: DataFrame, lines: DataFrame, text_col: str, min_docs: int) -> DataFrame:
-    """k1, k2, first: the templates that recur and the document that keeps them."""
+    """k1, k2, first: the templates that recur and the document that keeps them, as a stored table."""
     once = lines.select("k1", "k2", "leaf", "n", "doc").distinct()
     each = stored(once.groupBy("k1", "k2", "leaf", "n").agg(F.min("doc").alias("first"), F.count("*").alias("docs")), "line-each")
     enough = lambda n: F.when(F.col("n") < SHORT, F.lit(max(MANY, min_docs))).otherwise(F.lit(min_docs)) <= n
@@ -101,7 +101,9 @@ def _firsts(keyed: DataFrame, lines: DataFrame, text_col: str, min_docs: int) ->
     leaves = general.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("first").alias("x"), F.max("first").alias("y")).where("lines > 1 AND x <> y").select("leaf", "lines")
     chosen = stored(general.join(leaves, "leaf").select("k1", "k2", "leaf", "n", "first", "docs", "lines"), "line-open")
     if chosen.isEmpty():
-        return plain
+        out = stored(plain, "line-first")
+        discard(each, chosen)
+        return out
     # Each such line once, in the text of its first document.
     where = lines.join(chosen.select("k1", "k2", F.col("first").alias("doc")), ["k1", "k2", "doc"]).groupBy("k1", "k2", "doc").agg(F.min("h").alias("h"), F.min("at").alias("at"))
     where = lines.join(where.select("k1", "k2", "doc", "h"), ["k1", "k2", "doc", "h"]).groupBy("k1", "k2", "doc", "h").agg(F.min("at").alias("at"))
@@ -115,7 +117,9 @@ def _firsts(keyed: DataFrame, lines: DataFrame, text_col: str, min_docs: int) ->
     made = stored(made.select("k1", "k2", "leaf", "t1", "t2").join(chosen.select("k1", "k2", "n", "first", "docs"), ["k1", "k2"]), "line-made")
     groups = made.groupBy("leaf", "n", "t1", "t2").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.sum("docs").alias("docs")).where(enough(F.col("docs"))).where("least <> most")
     wide = made.join(groups.select("leaf", "n", "t1", "t2", "least"), ["leaf", "n", "t1", "t2"]).select("k1", "k2", F.col("least").alias("first"))
-    return plain.union(wide).groupBy("k1", "k2").agg(F.min("first").alias("first"))
+    out = stored(plain.union(wide).groupBy("k1", "k2").agg(F.min("first").alias("first")), "line-first")
+    discard(each, chosen, tokens, made)
+    return out
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2) -> DataFrame:
@@ -126,7 +130,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     keyed = docs.withColumns(_keys(docs, id_col, text_col))
     lines = stored(map_batches(keyed.select(f"{OWN}doc", f"{OWN}h", text_col), _lines, "doc long, h long, k1 long, k2 long, leaf long, at int, n int"), "line-rows")
-    first = stored(_firsts(keyed, lines, text_col, min_docs), "line-first")
+    first = _firsts(keyed, lines, text_col, min_docs)
     gone = lines.join(first, ["k1", "k2"]).where("doc <> first").groupBy(F.col("doc").alias(f"{OWN}doc"), F.col("h").alias(f"{OWN}h")).agg(F.collect_set("at").alias(f"{OWN}gone"))
     rows = keyed.join(gone, [f"{OWN}doc", f"{OWN}h"], "left").select(*docs.columns, f"{OWN}gone")
     at, last = docs.columns.index(text_col), len(docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import components, map_batches, mixed, stored, word_hashes
+from dictspark.llm.common import components, discard, map_batches, mixed, stored, word_hashes
 
 REGISTERS = 128
 #: 25 bands of 5 registers: two sets at similarity 0.85 miss each other in all bands with a chance of 4e-7, at 0.9 of 1e-10.
@@ -196,7 +196,9 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den:
     pairs = stored(pairs, f"{name}-pairs")
     sets = _sets(docs, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return stored(map_batches(both, lambda x: _confirmed(x, num, den), "a long, b long"), f"{name}-links")
+    links = stored(map_batches(both, lambda x: _confirmed(x, num, den), "a long, b long"), f"{name}-links")
+    discard(pairs, sets)
+    return links
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -214,14 +216,17 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) ->
     buckets = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("low <> high")
     buckets = stored(buckets, "near-buckets")
     members = stored(bands.join(buckets.select("band", "low", "size", "shingles"), "band").drop("n"), "near-members")
+    discard(buckets)
     star = stored(members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "near-star")
     regs = classes.select("node", "regs")
     side = lambda pairs: pairs.join(regs.select(F.col("node").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("node").alias("b"), F.col("regs").alias("rb")), "b").select("a", "b", "ra", "rb")
     links = _links(docs, classes, map_batches(side(star), lambda x: _near(x, least), "a long, b long"), num, den, "near-star")
+    discard(star)
     labels = components(links, "near-cc")
     # Buckets of three and more classes that are not yet one component: what else may be linked there?
     wide = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     wide = stored(wide, "near-wide")
+    discard(members)
     split = wide.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
     chunks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     open_ = wide.join(split, "band", "left_semi").join(regs, "node").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
@@ -229,11 +234,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) ->
     blocks = other.withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other")).select("band", "b", "x", "y", "chunk", "node", "label", "low", "regs")
     near = blocks.groupBy("band", "x", "y").applyInPandas(lambda p: _with_candidates(p, least), "band long, b int, x int, y int, chunk int, node long, label long, low long, regs binary")
     near = stored(near, "near-open")
+    discard(wide)
     if not near.isEmpty():
-        held = near.join(_sets(docs, classes, near.select("node")), "node")
+        sets = _sets(docs, classes, near.select("node"))
+        held = near.join(sets, "node")
         links2 = stored(held.groupBy("band", "x", "y").applyInPandas(lambda p: _across(p, least, num, den), "a long, b long"), "near-more")
+        discard(sets)
         if not links2.isEmpty():
             labels = components(links.union(links2), "near-cc2")
+        discard(links2)
+    discard(links, near)
     linked = classes.join(labels, "node", "left").select("key", "first", F.coalesce("label", "node").alias("label"))
     smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     return rows, linked.join(smallest, "label").select("key", "label", "component_id")

@@ -1,6 +1,6 @@
 import pyarrow as pa
 
-from dictspark.llm.common import _STRETCH, alnum_words, map_batches, pieces, shared_folder, space_words, stored, word_hashes
+from dictspark.llm.common import _STRETCH, alnum_words, discard, map_batches, pieces, shared_folder, space_words, stored, word_hashes
 from tests.llm.helpers import rng
 
 
@@ -42,3 +42,12 @@ def test_map_and_store(spark):
     assert sorted(r["id"] for r in kept.collect()) == list(range(1_000))
     folder = shared_folder(spark).rstrip("/").rpartition("/")[2]
     assert kept.inputFiles() and all(folder in p for p in kept.inputFiles())
+
+
+def test_discarded_tables_are_gone(spark):
+    first = stored(spark.range(10).toDF("x"), "test")
+    second = stored(first.where("x > 4"), "test")
+    discard(first)
+    assert second.count() == 5
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(first._stored_at)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
