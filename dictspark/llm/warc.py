@@ -5,7 +5,8 @@ that one's response) and metadata. Request and metadata carry WARC-Concurrent-To
 record; assembly joins the records of a capture through these ids into one nested row.
 
 Archives are written by Spark's text writer and read by its binary reader, so any store that Spark knows will do and a lost task is
-simply run again. Each file holds at most RECORDS_PER_FILE captures, which bounds what a reading task holds.
+simply run again. A file holds as many captures as make about FILE_BYTES at the mean payload, RECORDS_PER_FILE at most, which bounds what a
+reading task holds: captures are dealt to files by their payloads' digests, so sizes mix.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORDS_PER_FILE = 20_000
+RECORDS_PER_FILE, FILE_BYTES = 20_000, 64 << 20
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
 
@@ -58,6 +59,8 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     text, url = F.coalesce(F.col(text_col), F.lit("")), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("about:blank")), r"[\r\n]", " ")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("digest", base32_sha1(F.col("text"))).withColumn("bytes", F.octet_length("text").cast("long"))
+    mean = rows.agg(F.avg("bytes")).first()[0] or 1
+    per_file = int(max(1, min(RECORDS_PER_FILE, FILE_BYTES // max(1, mean))))
     heads = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max(F.struct("id", "row")).alias("head"))
     rows = rows.join(heads, "digest", "left")
     name = lambda page, row, kind: F.concat(F.lit("<urn:dictspark:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(f":{kind}>"))
@@ -83,7 +86,7 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
         _record("metadata", name(F.col("id"), F.col("row"), "metadata"), [concurrent, uri, when, "Content-Type: application/warc-fields"], F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n"))),
     ]
     value = F.concat_ws(_END, *records)  # the writer ends the last record
-    rows.select(value.alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(value.alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 class _Unframed(ValueError):

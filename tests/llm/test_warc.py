@@ -52,6 +52,12 @@ def test_repeated_rows_and_no_ids(spark, tmp_path):
     assert round_trip(spark, rows, tmp_path) == brute(rows)
 
 
+def test_small_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 60_000)
+    assert round_trip(spark, ROWS, tmp_path) == brute(ROWS)
+    assert len(list((tmp_path / "w").glob("*.gz"))) >= 3
+
+
 def test_empty(spark, tmp_path):
     warc.write_pages(pages(spark, []), str(tmp_path / "w"))
     assert warc.captures_of_pages(spark, str(tmp_path / "w")).collect() == []
