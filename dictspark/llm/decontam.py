@@ -139,6 +139,7 @@ def search(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: s
 
 def _search_blocks(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, slop: int, blocks: int) -> DataFrame:
     """Several blocks of items: each block's pass adds its items and marks its hit words in a bit mask kept in the row."""
+    items = items.select(item_id, item_text).distinct()  # repeated rows would fill one block
     block = F.pmod(F.xxhash64(F.col(item_id).cast("string"), F.col(item_text)), F.lit(blocks))
     at, names = docs.columns.index(text_col), docs.columns
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -54,7 +54,7 @@ def cases():
 @pytest.mark.parametrize("size, slop, block", [(8, 2, 20_000), (8, 2, 3), (3, 1, 20_000), (8, 1, 1)])
 def test_brute_force(spark, size, slop, block):
     given, items = cases()
-    table = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame(items + items[:1] * 5, "item_id long, text string")
     out = contamination(docs(spark, given).repartition(3), table, window=size, slop=slop, block_items=block)
     assert sorted(map(tuple, out.collect()), key=repr) == brute(given, items, size, slop)
 
