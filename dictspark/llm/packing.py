@@ -4,8 +4,9 @@ The lengths of all documents make a global histogram. Dynamic programming over i
 (each document is padded to its bucket's upper boundary) is least. Within a bucket, documents form batches under a token budget: a batch
 holds as many rows as fit at the bucket's length, one at least.
 
-The histogram has at most BINS bins: beyond that many distinct lengths, lengths are rounded up to a grid, which bounds what reaches the
-driver by a parameter; the boundaries are then optimal on the grid. Batches are numbered inside cells (a bucket dealt by a hash into
+The histogram has a bin for each distinct length, at every size: what reaches the driver is at most about the square root of twice the
+number of all words. Up to BINS bins every start of a bucket is tried for every end; beyond that, divide and conquer finds the same
+boundaries in bins * log(bins) steps a bucket. Batches are numbered inside cells (a bucket dealt by a hash into
 parts of about CELL_ROWS rows), so that no bucket has to be ordered in one task; a cell's last batch may be part-filled.
 """
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from dictspark.llm.common import OWN, stored
 
 BINS = 2048
+#: More than any padding.
+_FAR = np.int64(1 << 62)
 CELL_ROWS = 20_000
 
 
@@ -26,24 +29,51 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _ends(best: np.ndarray, b: int, size: np.ndarray, number: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cost, first bin) of bucket b's best start for each end j: bucket b holds bins i..j-1 and is as long as bin j-1. best: the costs of
+    b - 1 buckets by end."""
+    m = len(size)
+    cost, back = np.full(m + 1, _FAR), np.zeros(m + 1, np.int64)
+    if m <= BINS:
+        for j in range(b, m + 1):
+            own = best[b - 1 : j] + size[j - 1] * (number[j] - number[b - 1 : j]) - (total[j] - total[b - 1 : j])
+            i = int(own.argmin())
+            cost[j], back[j] = own[i], i + b - 1
+        return cost, back
+    # The padding of a bucket is Monge, so the first best start never moves back as the end moves on: the ends halfway between those done
+    # look only between their neighbours' starts. A round does all ends at one depth, over at most 2 m starts.
+    left, right, low, high = (np.array([x], np.int64) for x in (b, m, b - 1, m - 1))
+    while len(left):
+        j = (left + right) // 2
+        top = np.minimum(high, j - 1)
+        n = top - low + 1
+        at = np.cumsum(n) - n
+        i = np.arange(n.sum()) + np.repeat(low - at, n)
+        ends = np.repeat(j, n)
+        own = best[i] + size[ends - 1] * (number[ends] - number[i]) - (total[ends] - total[i])
+        least = np.minimum.reduceat(own, at)
+        hit = np.flatnonzero(own == np.repeat(least, n))
+        first = i[hit[np.searchsorted(hit, at)]]
+        cost[j], back[j] = least, first
+        left, right, low, high = (np.concatenate(x) for x in ((left, j + 1), (j - 1, right), (low, first), (first, high)))
+        some = left <= right
+        left, right, low, high = (x[some] for x in (left, right, low, high))
+    return cost, back
+
+
 def optimal_boundaries(lengths: list[int], counts: list[int], n_buckets: int) -> list[int]:
     """Upper boundaries, ascending, of at most n_buckets buckets with the least padding. Of equal choices, the smaller boundary is taken."""
     m = len(lengths)
     if not m:
         return []
-    size, count = np.array(lengths, np.float64), np.array(counts, np.float64)
+    size, count = np.array(lengths, np.int64), np.array(counts, np.int64)
     number, total = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(size * count)])
     k = min(n_buckets, m)
-    best = np.full(m + 1, np.inf)
-    best[0] = 0.0
+    best = np.full(m + 1, _FAR)
+    best[0] = 0
     back = np.zeros((k + 1, m + 1), np.int64)
     for b in range(1, k + 1):
-        now = np.full(m + 1, np.inf)
-        for j in range(b, m + 1):  # bucket b holds bins i..j-1 and is as long as bin j-1
-            cost = best[:j] + size[j - 1] * (number[j] - number[:j]) - (total[j] - total[:j])
-            i = int(cost.argmin())
-            now[j], back[b, j] = cost[i], i
-        best = now
+        best, back[b] = _ends(best, b, size, number, total)
     out, j = [], m
     for b in range(k, 0, -1):
         out.append(int(size[j - 1]))
@@ -52,13 +82,8 @@ def optimal_boundaries(lengths: list[int], counts: list[int], n_buckets: int) ->
 
 
 def histogram(lengths: DataFrame, column: str) -> list[tuple[int, int]]:
-    """(length, rows), ascending, with at most BINS entries: lengths beyond are rounded up to multiples of a common step."""
-    most, kinds = lengths.agg(F.max(column), F.count_distinct(column)).first()
-    if most is None:
-        return []
-    step = 1 if kinds <= BINS else -(-most // (BINS - 1))
-    rounded = (F.ceil(F.col(column) / step) * step).cast("long")
-    return sorted((r[0], r[1]) for r in lengths.groupBy(rounded.alias("length")).count().collect())
+    """(length, rows), ascending, of all distinct lengths."""
+    return sorted((r[0], r[1]) for r in lengths.groupBy(F.col(column).alias("length")).count().collect())
 
 
 def _placed(docs: DataFrame, id_col: str, bins: list[tuple[int, int]], n_buckets: int, token_budget: int) -> DataFrame:

@@ -60,3 +60,22 @@ def test_many_lengths_go_on_a_grid(spark, monkeypatch):
     given = [(i, "w " * i) for i in range(100)]
     rows = packing.pack(docs(spark, given), n_buckets=4, token_budget=400).collect()
     assert len(rows) == 100 and all(r["bucket_len"] >= r["n_tokens"] for r in rows) and len({r["bucket_len"] for r in rows}) <= 4
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_many_lengths_are_packed_as_well_as_few(seed, monkeypatch):
+    """Divide and conquer gives the boundaries of the plain program, ties included."""
+    r = rng(seed)
+    lengths = sorted(r.sample(range(400), r.randint(1, 120)))
+    counts = [r.choice([1, 1, r.randint(1, 50)]) for _ in lengths]
+    plain = [packing.optimal_boundaries(lengths, counts, k) for k in range(1, 9)]
+    monkeypatch.setattr(packing, "BINS", 0)
+    assert [packing.optimal_boundaries(lengths, counts, k) for k in range(1, 9)] == plain
+
+
+def test_many_lengths_keep_the_least_padding(spark, monkeypatch):
+    given = [(i, "w " * i) for i in range(100)] + [(1000, "w " * 5_000)]
+    want = packing.optimal_boundaries([*range(100), 5_000], [1] * 101, 4)
+    monkeypatch.setattr(packing, "BINS", 8)
+    check(packing.pack(docs(spark, given), n_buckets=4, token_budget=400).collect(), given, 400, 4)
+    assert sorted({r["bucket_len"] for r in packing.pack(docs(spark, given), n_buckets=4).collect()}) == want
