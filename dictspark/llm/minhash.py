@@ -26,6 +26,8 @@ from dictspark.llm.common import components, discard, map_batches, mixed, stored
 REGISTERS = 128
 #: 25 bands of 5 registers: two sets at similarity 0.85 miss each other in all bands with a chance of 4e-7, at 0.9 of 1e-10.
 BANDS, ROWS = 25, 5
+#: For links from 0.8 on: all registers, in 32 bands of 4. Two sets at 0.8 miss each other with a chance of 5e-8 (25 bands of 5: 5e-5).
+WIDE = 32, 4
 MANTISSA = 10
 #: Five standard errors of the estimate (sqrt(s (1 - s) / REGISTERS)) below the threshold: less is no candidate.
 _ERRORS = 5
@@ -125,7 +127,7 @@ def _confirmed(batch: pa.RecordBatch, num: int, den: int) -> pa.RecordBatch:
     return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _candidates(pdf, least: float):
+def _candidates(pdf, least: float, bands: tuple[int, int]):
     """(i, places of its candidates) within a block of a bucket: rows x with rows y of the other chunk (or later rows of the same one), in
     different components, of which neither is the bucket's smallest class (those are held against all others before), near by estimate,
     and sharing no earlier band, in whose bucket they meet too. pdf: b, x, y, chunk, node, label, regs, low."""
@@ -137,21 +139,21 @@ def _candidates(pdf, least: float):
         if len(other):
             same = regs[other] == regs[i]
             near = estimate_of(same) >= least
-            first = same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2).argmax(1) == b
+            first = same[:, : bands[0] * bands[1]].reshape(-1, *bands).all(2).argmax(1) == b
             if len(other := other[near & first]):
                 yield i, other
 
 
-def _with_candidates(pdf, least: float):
+def _with_candidates(pdf, least: float, bands: tuple[int, int]):
     """The rows of a block that have a candidate in it."""
     held = np.zeros(len(pdf), bool)
-    for i, other in _candidates(pdf, least):
+    for i, other in _candidates(pdf, least, bands):
         held[i] = True
         held[other] = True
     return pdf[["band", "b", "x", "y", "chunk", "node", "label", "low", "regs"]][held]
 
 
-def _across(pdf, least: float, num: int, den: int):
+def _across(pdf, least: float, num: int, den: int, bands: tuple[int, int]):
     """Links between components within a block, confirmed on the full sets; pairs that links found here connect already are passed over."""
     import pandas as pd
 
@@ -164,7 +166,7 @@ def _across(pdf, least: float, num: int, den: int):
             root[x] = x = root[root[x]]
         return x
 
-    for i, other in _candidates(pdf, least):
+    for i, other in _candidates(pdf, least, bands):
         for k in other.tolist():
             if (p := top(label[i])) != (q := top(label[k])) and _holds(sets[i], sets[k], num, den):
                 root[max(p, q)] = min(p, q)
@@ -201,7 +203,7 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den:
     return links
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, bands: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h: a hash of the text, key: of the set, n, regs), and for each key its label (a node of the component) and component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     least = _least(num, den)
@@ -210,12 +212,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) ->
     held = rows.where("key IS NOT NULL")
     classes = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = stored(classes.withColumn("node", F.coalesce("first", F.xxhash64("key").bitwiseOR(F.lit(-(1 << 63))))), "near-classes")
-    width = 2 * ROWS
-    hashes = F.array(*[F.xxhash64(F.lit(b), F.substring("regs", b * width + 1, width)) for b in range(BANDS)])
-    bands = classes.select("node", "n", F.posexplode(hashes).alias("b", "band"))
-    buckets = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("low <> high")
+    width = 2 * bands[1]
+    hashes = F.array(*[F.xxhash64(F.lit(b), F.substring("regs", b * width + 1, width)) for b in range(bands[0])])
+    banded = classes.select("node", "n", F.posexplode(hashes).alias("b", "band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("low <> high")
     buckets = stored(buckets, "near-buckets")
-    members = stored(bands.join(buckets.select("band", "low", "size", "shingles"), "band").drop("n"), "near-members")
+    members = stored(banded.join(buckets.select("band", "low", "size", "shingles"), "band").drop("n"), "near-members")
     discard(buckets)
     star = stored(members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "near-star")
     regs = classes.select("node", "regs")
@@ -232,13 +234,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) ->
     open_ = wide.join(split, "band", "left_semi").join(regs, "node").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
     other = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = other.withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other")).select("band", "b", "x", "y", "chunk", "node", "label", "low", "regs")
-    near = blocks.groupBy("band", "x", "y").applyInPandas(lambda p: _with_candidates(p, least), "band long, b int, x int, y int, chunk int, node long, label long, low long, regs binary")
+    near = blocks.groupBy("band", "x", "y").applyInPandas(lambda p: _with_candidates(p, least, bands), "band long, b int, x int, y int, chunk int, node long, label long, low long, regs binary")
     near = stored(near, "near-open")
     discard(wide)
     if not near.isEmpty():
         sets = _sets(docs, classes, near.select("node"))
         held = near.join(sets, "node")
-        links2 = stored(held.groupBy("band", "x", "y").applyInPandas(lambda p: _across(p, least, num, den), "a long, b long"), "near-more")
+        links2 = stored(held.groupBy("band", "x", "y").applyInPandas(lambda p: _across(p, least, num, den, bands), "a long, b long"), "near-more")
         discard(sets)
         if not links2.isEmpty():
             labels = components(links.union(links2), "near-cc2")
@@ -249,7 +251,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) ->
     return rows, linked.join(smallest, "label").select("key", "label", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100, bands: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Documents are linked if den * |A & B| >= num * |A | B|; component_id
     is the smallest id reachable over links.
 
@@ -258,16 +260,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id take part in links; their component_id is the smallest id reachable, null if there is none, and they are kept only then.
     An empty table gives no rows; further columns of any name are not read.
     """
-    rows, by_key = _grouped(docs, id_col, text_col, num, den)
+    rows, by_key = _grouped(docs, id_col, text_col, num, den, bands)
     out = rows.select("doc_id", "n", "key").join(by_key.select("key", "component_id"), "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100, bands: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """The documents with their own columns, one row of each component: that with the smallest id (rows without one come last) and then the
-    smallest hash of the text. Documents without words are linked with nothing and all stay."""
-    rows, by_key = _grouped(docs, id_col, text_col, num, den)
+    smallest hash of the text. Documents without words are linked with nothing and all stay. bands: number of bands and registers in each."""
+    rows, by_key = _grouped(docs, id_col, text_col, num, den, bands)
     best = rows.join(by_key.select("key", "label"), "key").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x"))
     best = stored(best.select(F.col("x.doc_id").alias("__ds_id"), F.col("x.h").alias("__ds_h")), "near-best")
     empty = rows.where("key IS NULL").select(F.col("doc_id").alias("__ds_id"), F.col("h").alias("__ds_h")).distinct()

@@ -124,3 +124,16 @@ def test_components(spark):
     got = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in top}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_the_pipeline_links_from_four_fifths_on(spark):
+    """Pairs of 90 shingles of which 80 are shared (a similarity of exactly 0.8), and of 100 with 90 (0.818), leave one; 0.786 leaves both."""
+    import corpus_pipeline
+
+    given, kept = [], set()
+    for k in range(60):
+        n, tail = [(94, 10), (104, 10), (104, 12)][k % 3]
+        a = [f"w{k}x{i}" for i in range(n)]
+        given += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[: n - tail] + [f"v{k}x{i}" for i in range(tail)]))]
+        kept |= {2 * k, 2 * k + 1} if k % 3 == 2 else {2 * k}
+    assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs(spark, given), "").collect()} == kept
