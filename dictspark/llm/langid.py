@@ -5,8 +5,10 @@ a phrase runs as long as the automaton can follow (the longest match), then the
 by the size of the training sample as in the entropy estimate phrases * log2(sample) / length, is least for the language whose text
 the automaton knows best.
 
-The automata are dense tables (state x character class), so that many texts are parsed at once: a step moves all of a batch's texts by
-one character. Long texts are cut every SEGMENT characters into segments that are parsed on their own and added up; whole texts count.
+The alphabet is all letters of the samples, with one class for letters that no sample has and one for all that is no letter. An
+automaton's edges are a sorted array, searched by (state, letter); the most frequent letters have a dense table (state x class) besides, as
+wide as DENSE_BYTES allow for all languages, which changes the speed only. Many texts are parsed at once: a step moves all of a batch's
+texts by one character. Long texts are cut every SEGMENT characters into segments that are parsed on their own and added up; whole texts count.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from dictspark.llm.common import OWN, map_batches
 
 SEGMENT = 512
-#: The alphabet: the most frequent letters of the samples, one class for other letters, and one for all that is no letter.
-CLASSES = 64
+#: Classes (the most frequent ones) that may have dense tables, and the bytes of these tables over all languages.
+CLASSES, DENSE_BYTES = 64, 256_000_000
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")  # letters, and numerals such as superscripts
@@ -56,17 +58,51 @@ def held_out(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def suffix_automaton(s: list[int], classes: int) -> np.ndarray:
-    """Transitions (state x class, -1: none) of the suffix automaton of s: state 0 is the root, and a walk from it spells exactly the
-    substrings of s."""
+class Automaton:
+    """Transitions of a suffix automaton: state 0 is the root, and a walk from it spells exactly the substrings. Of classes below width,
+    dense has a column each; every edge is in keys (state * classes + class, ascending) and to."""
+
+    def __init__(self, step: list[dict[int, int]], classes: int):
+        keys = np.array([q * classes + c for q, own in enumerate(step) for c in own], np.int64)
+        to = np.array([x for own in step for x in own.values()], np.int32)
+        order = np.argsort(keys)
+        self.keys, self.to, self.classes, self.states = keys[order], to[order], classes, len(step)
+        self.widen(0)
+
+    def widen(self, width: int) -> None:
+        self.width = min(width, self.classes)
+        self.dense = np.full((self.states, self.width), -1, np.int32)
+        state, c = np.divmod(self.keys, self.classes)
+        own = c < self.width
+        self.dense[state[own], c[own]] = self.to[own]
+
+    def follow(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states after class c, -1 where there is no edge."""
+        rare = np.flatnonzero(c >= self.width)
+        if not len(rare):
+            return self.dense.ravel()[state * self.width + c]
+        out = self.dense.ravel()[state * self.width + np.minimum(c, self.width - 1)] if self.width else np.full(len(c), -1, np.int32)
+        out[rare] = -1
+        if len(self.keys):
+            key = state[rare] * self.classes + c[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[rare] = np.where(self.keys[at] == key, self.to[at], -1)
+        return out
+
+    def __getitem__(self, at: tuple[int, int]) -> int:
+        return int(self.follow(np.array([at[0]], np.int64), np.array([at[1]], np.int64))[0])
+
+
+def suffix_automaton(s: list[int], classes: int) -> Automaton:
+    """The suffix automaton of s, a string over the given number of classes."""
     most = 2 * len(s) + 1
-    step = [[-1] * classes]
+    step: list[dict[int, int]] = [{}]
     link, length, last = [-1] * most, [0] * most, 0
     for c in s:
         new = len(step)
-        step.append([-1] * classes)
+        step.append({})
         length[new], p, last = length[last] + 1, last, new
-        while p >= 0 and step[p][c] < 0:
+        while p >= 0 and c not in step[p]:
             step[p][c] = new
             p = link[p]
         if p < 0:
@@ -77,16 +113,16 @@ def suffix_automaton(s: list[int], classes: int) -> np.ndarray:
             link[new] = q
             continue
         copy = len(step)
-        step.append(step[q][:])
+        step.append(step[q].copy())
         length[copy], link[copy] = length[p] + 1, link[q]
-        while p >= 0 and step[p][c] == q:
+        while p >= 0 and step[p].get(c) == q:
             step[p][c] = copy
             p = link[p]
         link[q] = link[new] = copy
-    return np.array(step, np.int32)
+    return Automaton(step, classes)
 
 
-def phrases_of(s: list[int], step: np.ndarray) -> int:
+def phrases_of(s: list[int], step: Automaton) -> int:
     """Greedy phrases of s: the plain form of what Model.phrases does for many texts at once."""
     n, state = 0, 0
     for c in s:
@@ -99,17 +135,19 @@ def phrases_of(s: list[int], step: np.ndarray) -> int:
 class Model:
     """Built on each worker from the samples, which are small; the tables are not sent about."""
 
-    def __init__(self, samples: dict[str, list[str]], max_chars: int = 500_000):
+    def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
-        share = max(1_000, max_chars // max(1, len(samples)))
-        texts = {lang: self.folded("\n".join(samples[lang]))[:share] for lang in self.langs}
+        texts = {lang: self.folded("\n".join(samples[lang])) for lang in self.langs}
         counts = Counter(c for t in texts.values() for c in t if c.isalpha())
-        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 2]]
+        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
         self.classes = len(letters) + 2
-        self.table = np.zeros(0x110000, np.uint8)
+        self.table = np.zeros(0x110000, np.int32)
         self.table[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
         self.table[[ord(c) for c in letters]] = np.arange(2, self.classes)
         self.steps = [suffix_automaton(self.coded(texts[lang]).tolist(), self.classes) for lang in self.langs]
+        states = sum(step.states for step in self.steps)
+        for step in self.steps:
+            step.widen(min(CLASSES, DENSE_BYTES // (4 * max(1, states))))
         self.bits = [log2(max(2, len(texts[lang]))) for lang in self.langs]
 
     @staticmethod
@@ -125,7 +163,7 @@ class Model:
         cuts = [(t, i) for t, x in enumerate(texts) for i in range(0, len(x), SEGMENT)]
         sizes = np.array([min(SEGMENT, len(texts[t]) - i) for t, i in cuts], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        grid = np.zeros((SEGMENT, len(cuts)), np.uint8)
+        grid = np.zeros((SEGMENT, len(cuts)), np.int32)
         for k, o in enumerate(order.tolist()):
             t, i = cuts[o]
             part = texts[t][i : i + SEGMENT]
@@ -133,13 +171,13 @@ class Model:
         owner = np.array([t for t, _ in cuts], np.int64)[order]
         alive = np.searchsorted(-sizes[order], -np.arange(SEGMENT), "left")  # segments longer than the step
         for j, step in enumerate(self.steps):
-            flat, root, width = step.ravel(), step[0], np.int64(self.classes)
+            root = step.follow(np.zeros(self.classes, np.int64), np.arange(self.classes))
             state, n = np.zeros(len(cuts), np.int64), np.zeros(len(cuts), np.int64)
             for s in range(SEGMENT):
                 if not (m := int(alive[s])):
                     break
                 c = grid[s, :m]
-                to = flat[np.maximum(state[:m], 0) * width + c]
+                to = step.follow(np.maximum(state[:m], 0), c)
                 lost = np.flatnonzero((to < 0) | (state[:m] < 0))
                 n[lost] += 1
                 to[lost] = root[c[lost]]

@@ -87,3 +87,24 @@ def test_edge_cases(spark):
     assert {x["lang_pred"] for x in langid.identify(docs(spark, ["ka mo"], lang=lambda i: None)).collect()} == {"und"}
     left = langid.keep_languages(clashing(d.union(odd)))
     assert left.columns == clashing(d).columns and left.count() == 64
+
+
+def test_languages_of_one_large_script_are_told_apart(monkeypatch):
+    """Two languages in ideographs that differ in their letters only, beside two whose letters are more frequent and many: every letter counts."""
+    r = rng(9)
+    letters = {"aa": [chr(0x61 + i) for i in range(26)], "bb": [chr(0x430 + i) for i in range(32)] + [chr(0x561 + i) for i in range(30)], "cc": [chr(0x4E00 + i) for i in range(600)], "dd": [chr(0x5E00 + i) for i in range(600)]}
+    write = lambda k, n: " ".join("".join(r.choice(letters[k]) for _ in range(4)) for _ in range(n))
+    samples = {k: [write(k, 2_000 if k < "cc" else 600)] for k in letters}
+    texts = [(k, write(k, 30)) for k in letters for _ in range(10)]
+    model = langid.Model(samples)
+    out = model.predict([t for _, t in texts])
+    assert out[0] == [k for k, _ in texts]
+    monkeypatch.setattr(langid, "DENSE_BYTES", 0)  # the same without any dense table
+    assert langid.Model(samples).predict([t for _, t in texts]) == out
+
+
+def test_samples_do_not_shrink_with_the_number_of_languages():
+    r = rng(10)
+    own = ["".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(60)]
+    model = langid.Model({f"l{i:02}": [" ".join(r.sample(own, 60)) for _ in range(24)] for i in range(60)})
+    assert all(2**b >= 24 * 500 for b in model.bits)
