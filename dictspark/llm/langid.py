@@ -245,6 +245,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language is found, with their own columns; those that come out as `und` go."""
+    """The documents whose language is found, with their own columns; those that come out as `und` go. If nothing was learned, as no
+    label is usable, the documents with a letter stay."""
     samples = training_sample(docs, id_col, text_col, lang_col)
-    return with_language(docs, samples, text_col).where(F.col(f"{OWN}lang") != UNKNOWN).select(*docs.columns)
+    found = with_language(docs, samples if samples else {"": [""]}, text_col)
+    return found.where(F.col(f"{OWN}lang") != UNKNOWN).select(*docs.columns)

@@ -108,3 +108,10 @@ def test_samples_do_not_shrink_with_the_number_of_languages():
     own = ["".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(60)]
     model = langid.Model({f"l{i:02}": [" ".join(r.sample(own, 60)) for _ in range(24)] for i in range(60)})
     assert all(2**b >= 24 * 500 for b in model.bits)
+
+
+def test_documents_stay_if_nothing_was_learned(spark):
+    d = docs(spark, ["ka mo", "123 !?", None, "", "漢字", "x"], lang=lambda i: None)
+    assert {x["doc_id"] for x in langid.keep_languages(d).collect()} == {0, 4, 5}
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert langid.keep_languages(docs(spark, [(i, "ka mo") for i in held])).count() == len(held)
