@@ -89,10 +89,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # a fixed odd number
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-#: A 64-bit value per byte, after lower-casing A-Z.
-_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
+#: A 64-bit value per byte, and the same after lower-casing A-Z.
+EXACT = mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_VALUES = EXACT.copy()
 _VALUES[0x41:0x5B] = _VALUES[0x61:0x7B]
 _WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_NO_ALNUM = np.frombuffer(ALNUM, np.uint8) == 0x20
 #: Bytes that are hashed at a time, if a white space lies within them.
 _STRETCH = 1 << 16
 
@@ -111,29 +113,47 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words that space_words gives, in order: polynomials over the bytes, taken from running sums of the whole
-    stretch, so that no word becomes a Python object."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if text else np.empty(0, np.uint8)
-    out, at = [], 0
+def bytes_of(text: str | None) -> np.ndarray:
+    """The text in UTF-8."""
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if text else np.empty(0, np.uint8)
+
+
+def words_at(data: np.ndarray, values: np.ndarray = _VALUES, gaps: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words (what lies between bytes that are gaps), in order. A hash is a polynomial over the
+    values of the word's bytes, taken from running sums of a stretch of data, so that no word becomes a Python object."""
+    begins, stops, out, at = [], [], [], 0
     while at < len(data):
         end = at + _STRETCH
         if end < len(data):
-            cut = np.flatnonzero(_WHITE[data[at:end]])
+            cut = np.flatnonzero(gaps[data[at:end]])
             while not len(cut) and end < len(data):  # a longer word than the stretch
                 end = min(len(data), at + 2 * (end - at))
-                cut = np.flatnonzero(_WHITE[data[at:end]])
+                cut = np.flatnonzero(gaps[data[at:end]])
             end = at + int(cut[-1]) + 1 if len(cut) and end < len(data) else min(end, len(data))
         part = data[at:end]
-        black = np.concatenate([[False], ~_WHITE[part], [False]])
+        black = np.concatenate([[False], ~gaps[part], [False]])
         turns = np.flatnonzero(black[1:] != black[:-1])
         starts, ends = turns[::2], turns[1::2]
         up, down = _Powers.to(len(part) + 1)
         with np.errstate(over="ignore"):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[part] * up[: len(part)], dtype=np.uint64)])
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(values[part] * up[: len(part)], dtype=np.uint64)])
             out.append(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        begins.append(starts + at)
+        stops.append(ends + at)
         at = end
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(begins), np.concatenate(stops), np.concatenate(out)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words that space_words gives, in order."""
+    return words_at(bytes_of(text))[2]
+
+
+def alnum_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words that alnum_words gives, in order."""
+    return words_at(bytes_of(text), _VALUES, _NO_ALNUM)[2]
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:

@@ -1,88 +1,101 @@
 """Line deduplication with a fixed-depth log-template tree.
 
-A line's tokens are its words; a token with a digit is a variable field from the start (`<*>`). The tree's first level is the number of
-tokens, the next DEPTH levels are the leading tokens; a leaf holds the lines that agree in these. Within a leaf, a token is constant if it
-stands at its place in at least two of the leaf's lines and in a share SHARE of them; other tokens are generalised to `<*>`. A line
-whose constant tokens make up SIMILARITY of it gets the generalised template, others stay their own template.
-
-A template that recurs across documents is dropped everywhere but in the document with the smallest id that holds it. Short lines recur
-by chance: below SHORT tokens a template must be in MANY documents. Everything is counted over all documents by aggregations with
-partial sums (a hot line is summed up before it is shuffled), and no leaf is ever gathered in one task.
+A line's tokens are its words. Tokens with a digit are variable fields (`<*>`) if the constant tokens that remain make up SIMILARITY of
+the line; otherwise (tables, lists of numbers) the line keeps its tokens as they are. The tree's first level is the number of tokens, the
+next DEPTH levels are the leading tokens; a leaf holds the lines that agree in these.
+
+Below the leaf, variable fields without digits are found by masks: the tokens after the leading ones are cut into BANDS runs of like
+length (at most one run per token), and a mask hides one or two of them. A masked line is a template if what it shows has constant tokens
+for SIMILARITY of the line. Lines that differ only in what some mask hides share that template, whatever else is in the leaf, so what
+recurs does not depend on the size of the corpus. Up to two variable fields are found anywhere, longer ones if two runs hold them.
+
+A template, masked or not, that recurs across documents is dropped everywhere but in the document with the smallest id that holds it.
+Short lines recur by chance: below SHORT tokens a template must be in MANY documents. Everything is counted over all documents by
+aggregations with partial sums (a hot line is summed up before it is shuffled), and no leaf is ever gathered in one task.
 """
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import OWN, discard, map_batches, stored
+from dictspark.llm.common import EXACT, OWN, bytes_of, discard, map_batches, mixed, stored, words_at
 
 DEPTH = 3
-SIMILARITY = 0.7
-SHARE = 0.3
+#: Share of a line's tokens that must be constant in a template, as a fraction.
+SIMILARITY = 7, 10
 SHORT, MANY = 8, 10
-#: Lines of fewer tokens have too little beside the leading ones to be generalised; of more tokens, they are prose.
-_GENERAL = range(6, 201)
+BANDS = 8
+#: Bands that a mask hides: one or two.
+MASKS = [(a, b) for a in range(BANDS) for b in range(a, BANDS)]
+#: Of three groups of bands, a mask of two leaves one whole.
+_GROUPS = (0, 1, 2), (3, 4, 5), (6, 7)
 
-_VARIABLE = re.compile(rb"\S*[0-9]\S*")
-_DIGIT = re.compile(rb"[0-9]")
-_SIGNED = 1 << 63
-
-
-def template(line: bytes) -> list[bytes]:
-    """The line's tokens, those with a digit as <*>."""
-    if _DIGIT.search(line):
-        line = _VARIABLE.sub(b"<*>", line)
-    return line.split()
+_NUMBER = np.isin(np.arange(256), np.arange(0x30, 0x3A))
+_ODD = np.uint64(0x9E3779B97F4A7C15)  # a fixed odd number
+_STAR = words_at(np.frombuffer(b"<*>", np.uint8), EXACT)[2][0]
 
 
 def lines_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
 
 
-def _long(h: int) -> int:
-    return h - (1 << 64) if h >= _SIGNED else h
-
-
-def _key(tokens: list[bytes]) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(b" ".join(tokens))
-    return _long(h >> 64), _long(h & ((1 << 64) - 1))
-
-
-def _leaf(tokens: list[bytes]) -> int:
-    return _long(xxhash.xxh3_64_intdigest(b" ".join(tokens[:DEPTH]), seed=len(tokens)))
-
-
 def _lines(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One row per line with a word: document, place, template (128 bits), leaf, number of tokens."""
-    doc, h, at, k1, k2, leaf, n = [], [], [], [], [], [], []
-    for d, x, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-        for i, line in enumerate(lines_of(text)):
-            if tokens := template(line):
-                a, b = _key(tokens)
-                doc.append(d), h.append(x), at.append(i), k1.append(a), k2.append(b), leaf.append(_leaf(tokens)), n.append(len(tokens))
-    cols = [pa.array(np.array(c, np.int64)) for c in (doc, h, k1, k2, leaf)] + [pa.array(np.array(c, np.int32)) for c in (at, n)]
-    return pa.RecordBatch.from_arrays(cols, names=["doc", "h", "k1", "k2", "leaf", "at", "n"])
-
-
-def _tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One row per token of the chosen lines of a document (column 1: places; column 0: text)."""
-    k1, k2, leaf, at, token = [], [], [], [], []
-    for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        lines = lines_of(text)
-        for p in places:
-            tokens = template(lines[p])
-            a, b = _key(tokens)
-            for i, t in enumerate(tokens):
-                k1.append(a), k2.append(b), at.append(i), token.append(_long(xxhash.xxh3_64_intdigest(t)))
-            leaf += [_leaf(tokens)] * len(tokens)
-    cols = [pa.array(np.array(c, np.int64)) for c in (k1, k2, leaf, token)] + [pa.array(np.array(at, np.int32))]
-    return pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "leaf", "token", "i"])
+    """One row per line with a word: document, hash of its text, place, template (128 bits), leaf, number of tokens, the bands' hashes and
+    which masks the line may have (a bit each). All texts of the batch are worked on at once, laid end to end."""
+    parts = [bytes_of(t) for t in batch.column(2).to_pylist()]
+    end = np.array([10], np.uint8)
+    data = np.concatenate([x for p in parts for x in (p, end)])
+    origin = np.cumsum([0, *(len(p) + 1 for p in parts)])[:-1]
+    breaks = np.flatnonzero(data == 10)
+    starts, ends, h = words_at(data, EXACT)
+    line = np.searchsorted(breaks, starts)
+    first = np.flatnonzero(np.diff(line, prepend=-1))  # each line's first token
+    n = np.diff(np.append(first, len(line)))
+    own = np.repeat(np.arange(len(first)), n)
+    i, size = np.arange(len(line)) - first[own], n[own]
+    numbers = np.concatenate([[0], np.cumsum(_NUMBER[data])])
+    number = numbers[ends] > numbers[starts]
+    if not len(first):
+        return _rows(batch.slice(0, 0), *[np.empty(0, np.int64)] * 6, np.empty((0, BANDS), np.uint64), np.empty(0, np.int64))
+    enough = lambda constant: SIMILARITY[1] * constant >= SIMILARITY[0] * n
+    general = enough(n - np.add.reduceat(number, first, dtype=np.int64))
+    with np.errstate(over="ignore"):
+        token = np.where(number & general[own], _STAR, h)
+        place = mixed(token + (i.astype(np.uint64) + np.uint64(1)) * _ODD)
+        k1 = np.bitwise_xor.reduceat(place, first)
+        k2 = np.add.reduceat(mixed(place ^ _ODD), first, dtype=np.uint64)
+        leaf = mixed(np.bitwise_xor.reduceat(np.where(i < DEPTH, place, np.uint64(0)), first) + n.astype(np.uint64) * _ODD)
+    constant = token != _STAR
+    bands, fixed = np.zeros((len(first), BANDS), np.uint64), np.zeros((len(first), BANDS), np.int64)
+    rest = np.flatnonzero(i >= DEPTH)
+    if len(rest):
+        j, m = i[rest] - DEPTH, size[rest] - DEPTH
+        cell = own[rest] * BANDS + np.where(m >= BANDS, j * BANDS // m, j)
+        turn = np.flatnonzero(np.diff(cell, prepend=-1))
+        bands.ravel()[cell[turn]] = np.bitwise_xor.reduceat(place[rest], turn)
+        fixed.ravel()[cell[turn]] = np.add.reduceat(constant[rest], turn, dtype=np.int64)
+    every, allowed = np.add.reduceat(constant, first, dtype=np.int64), np.zeros(len(first), np.int64)
+    for k, (a, b) in enumerate(MASKS):
+        shown = every - fixed[:, a] - (fixed[:, b] if a != b else 0)
+        allowed |= (enough(shown) & (n - DEPTH > b)).astype(np.int64) << k
+    at = line[first]
+    before = np.searchsorted(breaks, origin)  # lines before each document
+    row = np.searchsorted(before, at, "right") - 1
+    return _rows(batch.take(pa.array(row)), at - before[row], k1, k2, leaf, n, row, bands, allowed)
+
+
+def _rows(docs: pa.RecordBatch, at, k1, k2, leaf, n, _row, bands, allowed) -> pa.RecordBatch:
+    long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+    cols = [docs.column(0), docs.column(1), pa.array(at.astype(np.int32)), long(k1), long(k2), long(leaf), pa.array(n.astype(np.int32)), *(long(bands[:, b]) for b in range(BANDS)), pa.array(allowed)]
+    return pa.RecordBatch.from_arrays(cols, names=["doc", "h", "at", "k1", "k2", "leaf", "n", *(f"x{b}" for b in range(BANDS)), "allowed"])
+
+
+_LINES = "doc long, h long, at int, k1 long, k2 long, leaf long, n int, " + ", ".join(f"x{b} long" for b in range(BANDS)) + ", allowed long"
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> dict:
@@ -91,34 +104,35 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> dict:
     return {f"{OWN}doc": F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(h, 2).bitwiseOR(F.lit(1 << 62))), f"{OWN}h": h}
 
 
-def _firsts(keyed: DataFrame, lines: DataFrame, text_col: str, min_docs: int) -> DataFrame:
+def _xor(*columns: str) -> Column:
+    return reduce(lambda a, b: a.bitwiseXOR(b), [F.col(c) for c in columns])
+
+
+def _firsts(lines: DataFrame, min_docs: int) -> DataFrame:
     """k1, k2, first: the templates that recur and the document that keeps them, as a stored table."""
-    once = lines.select("k1", "k2", "leaf", "n", "doc").distinct()
-    each = stored(once.groupBy("k1", "k2", "leaf", "n").agg(F.min("doc").alias("first"), F.count("*").alias("docs")), "line-each")
-    enough = lambda n: F.when(F.col("n") < SHORT, F.lit(max(MANY, min_docs))).otherwise(F.lit(min_docs)) <= n
-    plain = each.where(enough(F.col("docs"))).select("k1", "k2", "first")
-    general = each.where(F.col("n").between(_GENERAL.start, _GENERAL.stop - 1))
-    leaves = general.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("first").alias("x"), F.max("first").alias("y")).where("lines > 1 AND x <> y").select("leaf", "lines")
-    chosen = stored(general.join(leaves, "leaf").select("k1", "k2", "leaf", "n", "first", "docs", "lines"), "line-open")
-    if chosen.isEmpty():
-        out = stored(plain, "line-first")
-        discard(each, chosen)
-        return out
-    # Each such line once, in the text of its first document.
-    where = lines.join(chosen.select("k1", "k2", F.col("first").alias("doc")), ["k1", "k2", "doc"]).groupBy("k1", "k2", "doc").agg(F.min("h").alias("h"), F.min("at").alias("at"))
-    where = lines.join(where.select("k1", "k2", "doc", "h"), ["k1", "k2", "doc", "h"]).groupBy("k1", "k2", "doc", "h").agg(F.min("at").alias("at"))
-    places = where.groupBy(F.col("doc").alias(f"{OWN}doc"), F.col("h").alias(f"{OWN}h")).agg(F.collect_list("at").alias("places"))
-    texts = keyed.select(f"{OWN}doc", f"{OWN}h", F.col(text_col).alias("text")).join(places, [f"{OWN}doc", f"{OWN}h"]).select("text", "places")
-    tokens = stored(map_batches(texts, _tokens, "k1 long, k2 long, leaf long, token long, i int").distinct(), "line-tokens")
-    sizes = chosen.select("leaf", "lines").distinct()
-    often = tokens.groupBy("leaf", "i", "token").agg(F.count("*").alias("c")).join(sizes, "leaf").where(f"c >= 2 AND c >= {SHARE} * lines").select("leaf", "i", "token", F.lit(True).alias("fixed"))
-    held = tokens.join(often, ["leaf", "i", "token"], "left").withColumn("token", F.when(F.col("fixed"), F.col("token")))
-    made = held.groupBy("k1", "k2", "leaf").agg(F.bit_xor(F.xxhash64("i", "token")).alias("t1"), F.bit_xor(F.xxhash64("token", "i", F.lit(1))).alias("t2"), F.avg(F.coalesce("fixed", F.lit(False)).cast("double")).alias("fixed")).where(f"fixed >= {SIMILARITY}")
-    made = stored(made.select("k1", "k2", "leaf", "t1", "t2").join(chosen.select("k1", "k2", "n", "first", "docs"), ["k1", "k2"]), "line-made")
-    groups = made.groupBy("leaf", "n", "t1", "t2").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.sum("docs").alias("docs")).where(enough(F.col("docs"))).where("least <> most")
-    wide = made.join(groups.select("leaf", "n", "t1", "t2", "least"), ["leaf", "n", "t1", "t2"]).select("k1", "k2", F.col("least").alias("first"))
+    bands = [f"x{b}" for b in range(BANDS)]
+    each = lines.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), *(F.max(c).alias(c) for c in ("leaf", "n", "allowed", *bands)))
+    # Only short lines need the number of their documents; of others, two are enough.
+    short = lines.where(f"n < {SHORT}") if min_docs <= 2 else lines
+    docs = short.select("k1", "k2", "doc").distinct().groupBy("k1", "k2").agg(F.count("*").alias("docs"))
+    each = stored(each.join(docs, ["k1", "k2"], "left").withColumn("docs", F.coalesce("docs", F.lit(1) + (F.col("first") < F.col("last")).cast("long"))), "line-each")
+    enough = (F.col("first") < F.col("last")) & (F.col("docs") >= F.when(F.col("n") < SHORT, F.lit(max(MANY, min_docs))).otherwise(F.lit(min_docs)))
+    plain = each.where(enough).select("k1", "k2", "first")
+    # Lines that share a leaf, and in it one of three groups of bands, with a line of another document.
+    spread = [F.min("first").alias("x"), F.max("last").alias("y"), F.count("*").alias("lines")]
+    leaves = each.where("allowed <> 0").groupBy("leaf").agg(*spread).where("lines > 1 AND x < y").select("leaf")
+    able = each.where("allowed <> 0").join(leaves, "leaf")
+    parts = F.posexplode(F.array(*[_xor(*(f"x{b}" for b in g)) for g in _GROUPS]))
+    grouped = able.select("leaf", "first", "last", parts.alias("g", "part")).groupBy("leaf", "g", "part").agg(*spread).where("lines > 1 AND x < y").select("leaf", "g", "part")
+    near = able.select("k1", "k2", "leaf", parts.alias("g", "part")).join(grouped, ["leaf", "g", "part"], "left_semi").select("k1", "k2").distinct()
+    shown = F.array(*[F.when(F.shiftright("allowed", k).bitwiseAND(1) == 1, F.struct(F.lit(k).alias("mask"), _xor("k1", *dict.fromkeys((f"x{a}", f"x{b}"))).alias("shown"))) for k, (a, b) in enumerate(MASKS)])
+    masked = able.join(near, ["k1", "k2"], "left_semi").select("k1", "k2", "leaf", "n", "first", "last", "docs", F.explode(F.filter(shown, lambda x: x.isNotNull())).alias("m"))
+    masked = stored(masked.select("k1", "k2", "leaf", "n", "first", "last", "docs", "m.mask", "m.shown"), "line-masked")
+    key = ["leaf", "n", "mask", "shown"]
+    groups = masked.groupBy(*key).agg(F.count("*").alias("lines"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("docs").alias("docs")).where("lines > 1").where(enough)
+    wide = masked.drop("first", "last", "docs").join(groups.select(*key, "first"), key).select("k1", "k2", "first")
     out = stored(plain.union(wide).groupBy("k1", "k2").agg(F.min("first").alias("first")), "line-first")
-    discard(each, chosen, tokens, made)
+    discard(each, masked)
     return out
 
 
@@ -126,12 +140,16 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with recurring lines dropped from the text, and two columns more: __ds_lines (lines of the text) and __ds_dropped.
 
     Null and empty texts stay as they are (0 lines). A line without a word is never dropped. Lines end at U+000A; what is kept is kept to
-    the byte. Repeated rows (same id and text) are one document. All other columns pass through; none may begin with __ds_.
+    the byte. Rows with the same id are one document: a line that only they hold does not recur, whether their texts are the same
+    (repeated rows) or not. A row without an id is a document of its own text, after all those with one. All other columns pass
+    through; none may begin with __ds_. An empty table gives no rows. Tokens are compared by 64-bit hashes, lines by 128 bits.
     """
     keyed = docs.withColumns(_keys(docs, id_col, text_col))
-    lines = stored(map_batches(keyed.select(f"{OWN}doc", f"{OWN}h", text_col), _lines, "doc long, h long, k1 long, k2 long, leaf long, at int, n int"), "line-rows")
-    first = _firsts(keyed, lines, text_col, min_docs)
-    gone = lines.join(first, ["k1", "k2"]).where("doc <> first").groupBy(F.col("doc").alias(f"{OWN}doc"), F.col("h").alias(f"{OWN}h")).agg(F.collect_set("at").alias(f"{OWN}gone"))
+    lines = stored(map_batches(keyed.select(f"{OWN}doc", f"{OWN}h", text_col), _lines, _LINES), "line-rows")
+    first = _firsts(lines, min_docs)
+    gone = lines.select("k1", "k2", "doc", "h", "at").join(first, ["k1", "k2"]).where("doc <> first").groupBy(F.col("doc").alias(f"{OWN}doc"), F.col("h").alias(f"{OWN}h")).agg(F.collect_set("at").alias(f"{OWN}gone"))
+    gone = stored(gone, "line-gone")
+    discard(lines, first)
     rows = keyed.join(gone, [f"{OWN}doc", f"{OWN}h"], "left").select(*docs.columns, f"{OWN}gone")
     at, last = docs.columns.index(text_col), len(docs.columns)
 

@@ -52,18 +52,36 @@ s AS (SELECT *, least(floor(((2 * before + size) * 16)::DOUBLE / (2 * total)::DO
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s"""
 
 _SPACE = "\\x20\\x09-\\x0D"
-LINES = f"""WITH l AS (SELECT doc_id, pos, lines[pos] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''))),
-k AS (SELECT *, regexp_extract_all(regexp_replace(line, '[^{_SPACE}]*[0-9][^{_SPACE}]*', '<*>', 'g'), '[^{_SPACE}]+') AS k FROM l),
-u AS (SELECT k, len(k) AS n, min(doc_id) AS first, count(DISTINCT doc_id) AS docs FROM k WHERE len(k) > 0 GROUP BY k),
-plain AS (SELECT k, first FROM u WHERE docs >= CASE WHEN n < 8 THEN 10 ELSE 2 END),
-leaf AS (SELECT n, k[1:3] AS lead, count(*) AS lines FROM u WHERE n BETWEEN 6 AND 200 GROUP BY ALL HAVING count(*) > 1 AND min(first) <> max(first)),
-tok AS (SELECT *, k[i] AS t FROM (SELECT k, u.n, lead, lines, first, docs, unnest(range(1, u.n + 1)) AS i FROM u JOIN leaf ON leaf.n = u.n AND leaf.lead = u.k[1:3])),
-often AS (SELECT n, lead, i, t FROM tok GROUP BY n, lead, lines, i, t HAVING count(*) >= 2 AND count(*) >= 0.3 * lines),
-made AS (SELECT k, n, lead, first, docs, list(CASE WHEN f THEN t END ORDER BY i) AS made, avg(f::INTEGER) AS fixed FROM (SELECT tok.*, often.t IS NOT NULL AS f FROM tok LEFT JOIN often ON often.n = tok.n AND often.lead = tok.lead AND often.i = tok.i AND often.t = tok.t) GROUP BY k, n, lead, first, docs HAVING avg(f::INTEGER) >= 0.7),
-grp AS (SELECT n, lead, made, min(first) AS least FROM made GROUP BY n, lead, made HAVING min(first) <> max(first) AND sum(docs) >= CASE WHEN n < 8 THEN 10 ELSE 2 END),
-firsts AS (SELECT k, min(first) AS first FROM (SELECT * FROM plain UNION ALL SELECT made.k, grp.least FROM made JOIN grp ON grp.n = made.n AND grp.lead = made.lead AND grp.made = made.made) GROUP BY k),
+_MASKS = ", ".join(f"({a}, {b})" for a in range(8) for b in range(a, 8))
+#: Templates as lists of tokens; what a mask hides is the empty string.
+LINES = f"""WITH l AS (
+  SELECT doc_id, pos, lines[pos] AS line
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''))),
+raw AS (SELECT *, regexp_extract_all(line, '[^{_SPACE}]+') AS r FROM l),
+k AS (
+  SELECT doc_id, pos, line, CASE
+    WHEN 10 * len(list_filter(r, lambda x: NOT regexp_matches(x, '[0-9]'))) >= 7 * len(r) THEN list_transform(r, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END)
+    ELSE r END AS k
+  FROM raw),
+u AS (SELECT k, len(k) AS n, min(doc_id) AS first, max(doc_id) AS last, count(DISTINCT doc_id) AS docs FROM k WHERE len(k) > 0 GROUP BY k),
+plain AS (SELECT k, first FROM u WHERE first < last AND docs >= CASE WHEN n < 8 THEN 10 ELSE 2 END),
+mask(a, b) AS (VALUES {_MASKS}),
+leaf AS (SELECT n, k[1:3] AS lead FROM u WHERE n > 3 GROUP BY ALL HAVING count(*) > 1),
+able AS (SELECT u.* FROM u JOIN leaf ON leaf.n = u.n AND leaf.lead = u.k[1:3]),
+masked AS (
+  SELECT k, n, first, last, docs, a, b, list_transform(range(1, n + 1), lambda i: CASE
+    WHEN i > 3 AND (CASE WHEN n >= 11 THEN (i - 4) * 8 // (n - 3) ELSE i - 4 END) IN (a, b) THEN ''
+    ELSE k[i] END) AS shown
+  FROM able, mask WHERE n - 3 > b),
+fit AS (SELECT * FROM masked WHERE 10 * len(list_filter(shown, lambda x: x NOT IN ('', '<*>'))) >= 7 * n),
+grp AS (
+  SELECT a, b, shown, min(first) AS least FROM fit GROUP BY a, b, shown, n
+  HAVING count(*) > 1 AND min(first) < max(last) AND sum(docs) >= CASE WHEN n < 8 THEN 10 ELSE 2 END),
+firsts AS (SELECT k, min(first) AS first FROM (SELECT * FROM plain UNION ALL SELECT fit.k, grp.least FROM fit JOIN grp USING (a, b, shown)) GROUP BY k),
 gone AS (SELECT k.doc_id, k.pos, k.line, coalesce(firsts.first <> k.doc_id, false) AS gone FROM k LEFT JOIN firsts ON firsts.k = k.k),
-out AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM gone GROUP BY doc_id)
+out AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
+  FROM gone GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(kept, d.text) AS text FROM documents d LEFT JOIN out USING (doc_id)"""
 
 

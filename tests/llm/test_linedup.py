@@ -1,4 +1,5 @@
-from collections import Counter, defaultdict
+import re
+from collections import defaultdict
 
 import pytest
 
@@ -6,37 +7,44 @@ from dictspark.llm import linedup
 from tests.llm.helpers import clashing, docs, rng, sentence
 
 
+def template(line):
+    tokens = [t for t in re.split(rb"[\x20\x09-\x0D]+", line) if t]
+    held = ["<*>" if re.search(rb"[0-9]", t) else t for t in tokens]
+    return tuple(held if 10 * sum(t != "<*>" for t in held) >= 7 * len(held) else tokens)
+
+
+def masked(k):
+    m = len(k) - linedup.DEPTH
+    band = lambda i: (i - linedup.DEPTH) * 8 // m if m >= 8 else i - linedup.DEPTH
+    for a in range(min(m, 8)):
+        for b in range(a, min(m, 8)):
+            shown = tuple("" if i >= linedup.DEPTH and band(i) in (a, b) else t for i, t in enumerate(k))
+            if 10 * sum(t not in ("", "<*>") for t in shown) >= 7 * len(k):
+                yield a, b, shown
+
+
 def brute(given, min_docs=2):
     """The tree and its templates in plain Python, over rows (doc_id, text) with distinct ids."""
     at = {}
     for d, t in given:
         for line in linedup.lines_of(t):
-            if tokens := linedup.template(line):
-                at.setdefault(tuple(tokens), set()).add(d)
+            if tokens := template(line):
+                at.setdefault(tokens, set()).add(d)
     enough = lambda k, docs: docs >= (max(linedup.MANY, min_docs) if len(k) < linedup.SHORT else min_docs)
-    first = {k: min(ds) for k, ds in at.items() if enough(k, len(ds))}
-    leaves = defaultdict(list)
+    first = {k: min(ds) for k, ds in at.items() if len(ds) > 1 and enough(k, len(ds))}
+    groups = defaultdict(list)
     for k in at:
-        if len(k) in linedup._GENERAL:
-            leaves[len(k), k[: linedup.DEPTH]].append(k)
-    for leaf in leaves.values():
-        if len(leaf) < 2 or len({min(at[k]) for k in leaf}) < 2:
-            continue
-        count = Counter((i, t) for k in leaf for i, t in enumerate(k))
-        made = defaultdict(list)
-        for k in leaf:
-            fixed = tuple(t if count[i, t] >= 2 and count[i, t] >= linedup.SHARE * len(leaf) else None for i, t in enumerate(k))
-            if sum(t is not None for t in fixed) / len(k) >= linedup.SIMILARITY:
-                made[fixed].append(k)
-        for own in made.values():
-            least = min(min(at[k]) for k in own)
-            if len({min(at[k]) for k in own}) > 1 and enough(own[0], sum(len(at[k]) for k in own)):
-                for k in own:
-                    first[k] = min(first.get(k, least), least)
+        for key in masked(k):
+            groups[key].append(k)
+    for own in groups.values():
+        held = set().union(*(at[k] for k in own))
+        if len(own) > 1 and len(held) > 1 and enough(own[0], sum(len(at[k]) for k in own)):
+            for k in own:
+                first[k] = min(first.get(k, min(held)), min(held))
     out = []
     for d, t in given:
         lines = t.split("\n") if t else []
-        gone = [bool(x) and first.get(tuple(x), d) != d for x in map(linedup.template, linedup.lines_of(t))]
+        gone = [bool(x) and first.get(x, d) != d for x in map(template, linedup.lines_of(t))]
         out.append((d, "\n".join(x for x, g in zip(lines, gone) if not g) if any(gone) else t, len(lines), sum(gone)))
     return sorted(out)
 
@@ -55,6 +63,8 @@ def cases(seed):
             lines += ["", "  "]
         r.shuffle(lines)
         given.append((i, "\n".join(lines)))
+    numbers = lambda: " ".join(str(r.randint(1, 9)) for _ in range(9))
+    given += [(200 + i, f"Total of {r.choice(['red', 'blue'])} things {i} {i}\n{numbers()}\na b c d\nx{i} b c {i % 2} e") for i in range(12)]
     return given + [(100, given[3][1]), (101, given[3][1])]
 
 
@@ -85,9 +95,23 @@ def test_edge_cases(spark):
     out = linedup.drop_recurring_lines(d)
     assert out.columns == [*d.columns, "__ds_lines", "__ds_dropped"]
     got = sorted(((x["doc_id"], x["text"]) for x in out.collect()), key=repr)
-    want = [(1, None), (2, ""), (3, "\n\n \n"), (4, same), (5, ""), (5, ""), (None, ""), (6, given[7][1]), (7, given[8][1]), (8, "y"), (9, given[10][1]), (10, "")]
+    want = [(1, None), (2, ""), (3, "\n\n \n"), (4, same), (5, ""), (5, ""), (None, ""), (6, given[7][1]), (7, given[8][1]), (8, "y"), (9, given[10][1]), (10, given[11][1])]
     assert got == sorted(want, key=repr)
     assert linedup.drop_recurring_lines(docs(spark, [])).collect() == []
     left = linedup.without_recurring_lines(d)
     assert left.columns == d.columns
-    assert sorted((x["doc_id"], x["n_chars"] == len(x["text"] or "")) for x in left.collect()) == [(i, True) for i in (1, 2, 3, 4, 6, 7, 8, 9)]
+    assert sorted((x["doc_id"], x["n_chars"] == len(x["text"] or "")) for x in left.collect()) == [(i, True) for i in (1, 2, 3, 4, 6, 7, 8, 9, 10)]
+
+
+def test_templates_do_not_depend_on_the_leaf(spark):
+    """A template with names in two places is found among any number of other lines with the same leading words and length; tables of
+    numbers and lines with other words stay; so does a line that only rows of one id hold."""
+    r = rng(8)
+    names = [sentence(r, 1) + str.upper(sentence(r, 1)) for _ in range(400)]
+    filled = [(i, f"It was said by {names[i].strip()} to the people of {names[-i - 1].strip()} that nothing more is known of this today") for i in range(40)]
+    other = [(100 + i, "It was said " + sentence(r, 14)) for i in range(300)]
+    tables = [(500 + i, " ".join(str(r.randint(1, 99)) for _ in range(12))) for i in range(20)]
+    long = [(600 + i, sentence(rng(3), 300) + f" name{'abcdef'[i]} " + sentence(rng(4), 300)) for i in range(3)]
+    same = [(700, "one and the same line in rows of one and the same document"), (700, "one and the same line in rows of one and the same document\nmore")]
+    got = linedup.drop_recurring_lines(docs(spark, filled + other + tables + long + same)).select("doc_id", "text", "__ds_dropped").collect()
+    assert {x["doc_id"] for x in got if x["__ds_dropped"]} == {*range(1, 40), 601, 602}
