@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,12 +33,18 @@ def alnum_words(text: str | None) -> list[bytes]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session (tests) gets one of its own until the process ends; a cluster,
+    whose machines would each write to a disk of their own, an error."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dictspark-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="dictspark-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
     sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -79,6 +87,30 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], f: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """mapInArrow of a function of many whole groups at a time: f gets rows in which those with equal keys (integers) stand together, and the
+    place where each group begins. For many small groups of a bounded size; a group lies in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if rows.num_rows and (out := f(rows, starts)) is not None and out.num_rows:
+                yield out
+
+        for batch in batches:
+            rows = pa.concat_batches([*held, batch])
+            starts = np.flatnonzero(np.any([np.diff(k, prepend=k[:1] - 1) != 0 for k in (rows.column(rows.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in keys)], axis=0))
+            if not len(starts):
+                continue
+            yield from done(rows.slice(0, int(starts[-1])), starts[:-1])
+            held = [rows.slice(int(starts[-1]))]
+        for rows in held:
+            yield from done(rows, np.zeros(1, np.int64))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit integers (the multiply and shift constants are splitmix64's fixed values)."""
     with np.errstate(over="ignore"):
@@ -158,7 +190,7 @@ def alnum_hashes(text: str | None) -> np.ndarray:
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of the undirected edges (a long, b long): one row (node, label) for each node of an edge, label being
-    the smallest node of its component.
+    the smallest node of its component. A stored table, as discard() takes it.
 
     Each node hooks onto its smallest neighbour, the pointers are doubled until they rest at roots, and the edges between different
     roots go into the next round. A round is joins and aggregations with partial sums only; the number of rounds is logarithmic.
@@ -169,10 +201,11 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
         tree = stored(both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("label")), f"{name}-hook")
         moved = True
-        while moved:
-            up = tree.select(F.col("node").alias("label"), F.col("label").alias("root"))
-            jumped = tree.select("node", "label").join(up, "label").select("node", F.col("root").alias("label"), (F.col("root") != F.col("label")).alias("moved"))
-            before, tree = tree, stored(jumped, f"{name}-jump")
+        while moved:  # two doublings for each table that is written
+            root = lambda t, of, to: t.select(F.col("node").alias(of), F.col("label").alias(to))
+            once = tree.join(root(tree, "label", "up"), "label").select("node", "label", "up")
+            twice = once.join(root(tree, "up", "top"), "up").join(root(tree, "top", "root"), "top")
+            before, tree = tree, stored(twice.select("node", F.col("root").alias("label"), (F.col("root") != F.col("label")).alias("moved")), f"{name}-jump")
             discard(before)
             moved = not tree.where("moved").isEmpty()
         ends = left.join(tree.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(tree.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
@@ -186,4 +219,6 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         discard(left)
         left = rest
     discard(left)
-    return labels.select("node", "label")
+    out = labels.select("node", "label")
+    out._stored_at = labels._stored_at
+    return out

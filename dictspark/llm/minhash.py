@@ -4,12 +4,14 @@ A document's set is its distinct 5-word shingles. The sketch has REGISTERS bucke
 its smallest hash in compressed form: the number of leading zeros and the mantissa bits after the first one (6 + 10 bits). Buckets that
 no shingle chose borrow from one that is chosen by a fixed probe order, so small sets have full sketches too. Groups of ROWS registers
 form bands; documents with an equal band meet in a bucket. Candidates are weighed by the estimate of their Jaccard similarity,
-corrected for registers that agree by chance, and what remains is confirmed on the full sets.
+corrected for registers that agree by chance, and what remains is confirmed on the full sets (of 64-bit hashes of the shingles).
 
 Documents with the same set are one class from the start (copies are never expanded). In a bucket, every class is held against the
 smallest class. Components are formed from the confirmed links; then only buckets that still hold different components are searched
 in full, in blocks, for links between those components. So every two classes that share a band and are not yet connected are held
-against each other (in their first common band only), and a block gives links, not pairs: at most one per class.
+against each other (in their first common band only), and a block gives links, not pairs: at most one per class. A bucket of over HOT
+classes, where that search would be quadratic, is dealt anew by further subsets of the registers: two classes are held against each other
+where they agree in one of these as well.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import components, discard, map_batches, mixed, stored, word_hashes
+from dictspark.llm.common import components, discard, map_batches, map_groups, mixed, stored, word_hashes
 
 REGISTERS = 128
 #: 25 bands of 5 registers: two sets at similarity 0.85 miss each other in all bands with a chance of 4e-7, at 0.9 of 1e-10.
@@ -32,7 +34,12 @@ MANTISSA = 10
 #: Five standard errors of the estimate (sqrt(s (1 - s) / REGISTERS)) below the threshold: less is no candidate.
 _ERRORS = 5
 #: Classes of a bucket that are held against as many others at a time, and shingles of these.
-BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Buckets of more classes are dealt anew by SUBSETS subsets of SUBSET registers each: two sets at similarity 0.8 that share such a bucket
+#: miss each other in all subsets with a chance of about 6e-6, at 0.85 of 6e-9; classes at 0.5 meet in one of 64 subsets only.
+HOT, SUBSETS, SUBSET = 2048, 40, 6
+#: Up to so many ids (8 bytes each) are sent to the scan to fetch their texts; for more, the texts are shuffled.
+FETCH = 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # a fixed odd number: the order of words in a shingle matters
 
@@ -44,6 +51,8 @@ def _probes() -> np.ndarray:
 
 
 _PROBES = _probes()
+#: The registers of each subset of a hot bucket.
+_SUBSETS = [[int(r) for r in np.argsort(mixed(np.arange(REGISTERS, dtype=np.uint64) + np.uint64(1000 * (j + 1))))[:SUBSET]] for j in range(SUBSETS)]
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -121,90 +130,134 @@ def _holds(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(x) + len(y) - common)
 
 
-def _confirmed(batch: pa.RecordBatch, num: int, den: int) -> pa.RecordBatch:
-    """Pairs that hold on the full sets: columns a, b, sa, sb."""
-    keep = [_holds(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-    return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+def _numbers(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    return rows.column(rows.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def _candidates(pdf, least: float, bands: tuple[int, int]):
-    """(i, places of its candidates) within a block of a bucket: rows x with rows y of the other chunk (or later rows of the same one), in
+def _binaries(rows: pa.RecordBatch, name: str) -> list[bytes]:
+    return rows.column(rows.schema.get_field_index(name)).to_pylist()
+
+
+def _on_star(rows: pa.RecordBatch, starts: np.ndarray, num: int, den: int) -> pa.RecordBatch:
+    """Of groups of pairs with one b, the pairs that hold on the full sets; the row with the set of b has no a. Columns b, part, a, set."""
+    has = rows.column(2).is_valid().to_numpy(zero_copy_only=False)
+    sets, keep = [np.frombuffer(x, np.uint64) for x in rows.column(3).to_pylist()], np.zeros(rows.num_rows, bool)
+    for at, end in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+        centre = at + int(np.flatnonzero(~has[at:end])[0])
+        for i in range(at, end):
+            keep[i] = has[i] and _holds(sets[i], sets[centre], num, den)
+    return rows.filter(pa.array(keep)).select(["a", "b"])
+
+
+def _candidates(rows: pa.RecordBatch, starts: np.ndarray, least: float, bands: tuple[int, int]):
+    """(i, places of its candidates) within each block of a bucket: rows x with rows y of the other chunk (or later rows of the same one), in
     different components, of which neither is the bucket's smallest class (those are held against all others before), near by estimate,
-    and sharing no earlier band, in whose bucket they meet too. pdf: b, x, y, chunk, node, label, regs, low."""
-    regs = np.frombuffer(b"".join(pdf.regs), np.uint16).reshape(-1, REGISTERS)
-    node, label, chunk = pdf.node.to_numpy(), pdf.label.to_numpy(), pdf.chunk.to_numpy()
-    b, x, y, able = int(pdf.b.iloc[0]), pdf.x.iloc[0], pdf.y.iloc[0], pdf.node.to_numpy() != pdf.low.to_numpy()
-    for i in np.flatnonzero(able & (chunk == x)):
-        other = np.flatnonzero(able & (chunk == y) & (label != label[i]) & ((node > node[i]) | (x != y)))
-        if len(other):
-            same = regs[other] == regs[i]
-            near = estimate_of(same) >= least
-            first = same[:, : bands[0] * bands[1]].reshape(-1, *bands).all(2).argmax(1) == b
-            if len(other := other[near & first]):
-                yield i, other
-
-
-def _with_candidates(pdf, least: float, bands: tuple[int, int]):
-    """The rows of a block that have a candidate in it."""
-    held = np.zeros(len(pdf), bool)
-    for i, other in _candidates(pdf, least, bands):
+    and sharing no earlier band, in whose bucket they meet too (in buckets dealt anew, b is -1, each counts). rows: band, b, x, y,
+    chunk, node, label, regs, low."""
+    regs = np.frombuffer(b"".join(_binaries(rows, "regs")), np.uint16).reshape(-1, REGISTERS)
+    node, label, chunk, low, b, x, y = (_numbers(rows, n) for n in ("node", "label", "chunk", "low", "b", "x", "y"))
+    able = node != low
+    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
+        own = at + np.flatnonzero(able[at:end] & (chunk[at:end] == x[at]))
+        others = at + np.flatnonzero(able[at:end] & (chunk[at:end] == y[at]))
+        for i in own:
+            other = others[(label[others] != label[i]) & ((node[others] > node[i]) | (x[at] != y[at]))]
+            if len(other):
+                same = regs[other] == regs[i]
+                near = estimate_of(same) >= least
+                if b[at] >= 0 and near.any():
+                    near &= same[:, : bands[0] * bands[1]].reshape(-1, *bands).all(2).argmax(1) == b[at]
+                if len(other := other[near]):
+                    yield int(i), other
+
+
+_BLOCK = "band long, x int, y int, b int, chunk int, node long, label long, low long, regs binary"
+
+
+def _with_candidates(rows: pa.RecordBatch, starts: np.ndarray, least: float, bands: tuple[int, int]) -> pa.RecordBatch:
+    """The rows of the blocks that have a candidate there."""
+    held = np.zeros(rows.num_rows, bool)
+    for i, other in _candidates(rows, starts, least, bands):
         held[i] = True
         held[other] = True
-    return pdf[["band", "b", "x", "y", "chunk", "node", "label", "low", "regs"]][held]
+    return rows.filter(pa.array(held))
 
 
-def _across(pdf, least: float, num: int, den: int, bands: tuple[int, int]):
-    """Links between components within a block, confirmed on the full sets; pairs that links found here connect already are passed over."""
-    import pandas as pd
-
-    sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
-    node, root, a, b = pdf.node.tolist(), {x: x for x in pdf.label.tolist()}, [], []
-    label = pdf.label.tolist()
+def _across(rows: pa.RecordBatch, starts: np.ndarray, least: float, num: int, den: int, bands: tuple[int, int]) -> pa.RecordBatch:
+    """Links between components within the blocks, confirmed on the full sets; pairs that links found here connect already are passed over."""
+    sets = [np.frombuffer(s, np.uint64) for s in _binaries(rows, "set")]
+    node, label, a, b = _numbers(rows, "node").tolist(), _numbers(rows, "label").tolist(), [], []
+    root = {x: x for x in label}
 
     def top(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    for i, other in _candidates(pdf, least, bands):
+    for i, other in _candidates(rows, starts, least, bands):
         for k in other.tolist():
             if (p := top(label[i])) != (q := top(label[k])) and _holds(sets[i], sets[k], num, den):
                 root[max(p, q)] = min(p, q)
                 a.append(max(node[i], node[k]))
                 b.append(min(node[i], node[k]))
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _only(docs: DataFrame, ids: DataFrame, on: str | list, how: str) -> DataFrame:
+    """Semi or anti join of docs with a stored table of ids, without a shuffle of docs if the ids are few."""
+    return docs.join(F.broadcast(ids) if ids.count() <= FETCH else ids, on, how)
 
 
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and its full set, for the given nodes; the text is that of the class's smallest document."""
-    need = nodes.distinct()
-    need = classes.join(need, "node", "left_semi").select("node", "key", F.col("first").alias("doc_id"))
+    need = stored(classes.join(nodes.distinct(), "node", "left_semi").select("node", "key", F.col("first").alias("doc_id")), "near-need")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         h = [shingles(t) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.md5(x.tobytes()).digest() for x in h], pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], names=["doc_id", "key", "set"])
 
-    ids = need.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
+    texts = _only(docs, need.select("doc_id").where("doc_id IS NOT NULL"), "doc_id", "left_semi")
     if not need.where("doc_id IS NULL").isEmpty():  # classes all of whose documents lack an id
         texts = texts.union(docs.where("doc_id IS NULL"))
     found = map_batches(texts, run, "doc_id long, key binary, set binary")
     match = found.join(need.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "node"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    return stored(match.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
+    out = stored(match.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
+    discard(need)
+    return out
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    """The pairs (a, b) that hold on the full sets."""
-    pairs = stored(pairs, f"{name}-pairs")
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b), those that hold on the full sets. The pairs of one b are dealt into parts of a bounded size, each with the set of b."""
     sets = _sets(docs, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
-    links = stored(map_batches(both, lambda x: _confirmed(x, num, den), "a long, b long"), f"{name}-links")
-    discard(pairs, sets)
+    sized = pairs.join(classes.select(F.col("node").alias("a"), "n"), "a")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    dealt = pairs.join(sized.groupBy("b").agg(parts.alias("parts")), "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
+    left = dealt.join(sets.select(F.col("node").alias("a"), "set"), "a").select("b", "part", "a", "set")
+    centre = dealt.select("b", "part").distinct().join(sets.select(F.col("node").alias("b"), "set"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "set")
+    links = stored(map_groups(left.union(centre), ["b", "part"], lambda x, at: _on_star(x, at, num, den), "a long, b long"), "near-links")
+    discard(sets)
     return links
 
 
+def _blocks(members: DataFrame, regs: DataFrame) -> DataFrame:
+    """The blocks of the given buckets (band, b, node, label, low, size, shingles): each pair of a bucket's chunks, itself included."""
+    chunks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.join(regs, "node").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return other.select("band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "b", "chunk", "node", "label", "low", "regs")
+
+
+def _dealt_anew(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of hot buckets in smaller ones: those of a bucket that agree in a subset of the registers."""
+    keys = F.array(*[F.xxhash64("band", F.lit(j), F.concat(*[F.substring("regs", 2 * r + 1, 2) for r in own])) for j, own in enumerate(_SUBSETS)])
+    spread = members.drop("size", "shingles").join(classes.select("node", "regs", "n"), "node").withColumn("band", F.explode(keys))
+    sizes = spread.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").drop("p", "q")
+    return spread.drop("regs", "n").join(sizes, "band").select("band", F.lit(-1).alias("b"), "node", "label", "low", "size", "shingles")
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, bands: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, h: a hash of the text, key: of the set, n, regs), and for each key its label (a node of the component) and component_id."""
+    """Stored tables: rows (doc_id, h: a hash of the text, key: of the set, n, regs), and for each key its label (a node of the component) and
+    component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     least = _least(num, den)
     rows = map_batches(docs.withColumn("h", F.xxhash64("text")), _sketched, "doc_id long, h long, key binary, n long, regs binary")
@@ -215,40 +268,38 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, ba
     width = 2 * bands[1]
     hashes = F.array(*[F.xxhash64(F.lit(b), F.substring("regs", b * width + 1, width)) for b in range(bands[0])])
     banded = classes.select("node", "n", F.posexplode(hashes).alias("b", "band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("low <> high")
-    buckets = stored(buckets, "near-buckets")
-    members = stored(banded.join(buckets.select("band", "low", "size", "shingles"), "band").drop("n"), "near-members")
-    discard(buckets)
-    star = stored(members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "near-star")
+    buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("low <> high").drop("high")
+    members = stored(banded.drop("n").join(buckets, "band"), "near-members")
+    star = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     regs = classes.select("node", "regs")
-    side = lambda pairs: pairs.join(regs.select(F.col("node").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("node").alias("b"), F.col("regs").alias("rb")), "b").select("a", "b", "ra", "rb")
-    links = _links(docs, classes, map_batches(side(star), lambda x: _near(x, least), "a long, b long"), num, den, "near-star")
-    discard(star)
+    side = star.join(regs.select(F.col("node").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("node").alias("b"), F.col("regs").alias("rb")), "b").select("a", "b", "ra", "rb")
+    pairs = stored(map_batches(side, lambda x: _near(x, least), "a long, b long"), "near-pairs")
+    links = _links(docs, classes, pairs, num, den)
     labels = components(links, "near-cc")
     # Buckets of three and more classes that are not yet one component: what else may be linked there?
     wide = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    wide = stored(wide, "near-wide")
-    discard(members)
-    split = wide.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    chunks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    open_ = wide.join(split, "band", "left_semi").join(regs, "node").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
-    other = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = other.withColumn("x", F.least("chunk", "other")).withColumn("y", F.greatest("chunk", "other")).select("band", "b", "x", "y", "chunk", "node", "label", "low", "regs")
-    near = blocks.groupBy("band", "x", "y").applyInPandas(lambda p: _with_candidates(p, least, bands), "band long, b int, x int, y int, chunk int, node long, label long, low long, regs binary")
-    near = stored(near, "near-open")
-    discard(wide)
+    split = wide.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("band")
+    open_ = stored(wide.join(split, "band", "left_semi").select("band", "b", "node", "label", "low", "size", "shingles"), "near-open")
+    discard(members, pairs)
+    blocks = _blocks(open_.where(F.col("size") <= HOT), regs)
+    if not (hot := open_.where(F.col("size") > HOT)).isEmpty():
+        blocks = blocks.union(_blocks(_dealt_anew(hot, classes), regs))
+    near = stored(map_groups(blocks, ["band", "x", "y"], lambda r, at: _with_candidates(r, at, least, bands), _BLOCK), "near-candidates")
+    discard(open_)
     if not near.isEmpty():
         sets = _sets(docs, classes, near.select("node"))
-        held = near.join(sets, "node")
-        links2 = stored(held.groupBy("band", "x", "y").applyInPandas(lambda p: _across(p, least, num, den, bands), "a long, b long"), "near-more")
+        more = stored(map_groups(near.join(sets, "node").select(*near.columns, "set"), ["band", "x", "y"], lambda r, at: _across(r, at, least, num, den, bands), "a long, b long"), "near-more")
         discard(sets)
-        if not links2.isEmpty():
-            labels = components(links.union(links2), "near-cc2")
-        discard(links2)
+        if not more.isEmpty():
+            before, labels = labels, components(links.union(more), "near-cc")
+            discard(before)
+        discard(more)
     discard(links, near)
     linked = classes.join(labels, "node", "left").select("key", "first", F.coalesce("label", "node").alias("label"))
     smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    return rows, linked.join(smallest, "label").select("key", "label", "component_id")
+    by_key = stored(linked.join(smallest, "label").select("key", "label", "component_id"), "near-labels")
+    discard(classes, labels)
+    return rows, by_key
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100, bands: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
@@ -261,21 +312,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives no rows; further columns of any name are not read.
     """
     rows, by_key = _grouped(docs, id_col, text_col, num, den, bands)
-    out = rows.select("doc_id", "n", "key").join(by_key.select("key", "component_id"), "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    result = lambda df, component: df.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    with_words = rows.where("key IS NOT NULL").select("doc_id", "n", "key").join(by_key.select("key", "component_id"), "key")
+    return result(with_words, F.col("component_id")).union(result(rows.where("key IS NULL"), F.col("doc_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100, bands: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """The documents with their own columns, one row of each component: that with the smallest id (rows without one come last) and then the
     smallest hash of the text. Documents without words are linked with nothing and all stay. bands: number of bands and registers in each."""
     rows, by_key = _grouped(docs, id_col, text_col, num, den, bands)
-    best = rows.join(by_key.select("key", "label"), "key").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x"))
-    best = stored(best.select(F.col("x.doc_id").alias("__ds_id"), F.col("x.h").alias("__ds_h")), "near-best")
-    empty = rows.where("key IS NULL").select(F.col("doc_id").alias("__ds_id"), F.col("h").alias("__ds_h")).distinct()
+    held = rows.where("key IS NOT NULL").select("doc_id", "h", "key").join(by_key.select("key", "label"), "key")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
+    each = held.groupBy("label", "doc_id", "h").agg(F.count("*").alias("times"))
+    best = each.groupBy("label").agg(F.min(place).alias("best"))
+    marked = stored(each.join(best, "label").select(F.col("doc_id").alias("__ds_id"), F.col("h").alias("__ds_h"), (place == F.col("best")).alias("stays"), "times"), "near-places")
+    discard(rows, by_key)
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__ds_id")) & (F.xxhash64(F.col(text_col)) == F.col("__ds_h"))
-    twice = rows.where("key IS NOT NULL").groupBy("doc_id", "h").count().where("count > 1")
+    gone, twice = stored(marked.where("NOT stays").select("__ds_id", "__ds_h"), "near-gone"), stored(marked.where("stays AND times > 1").select("__ds_id", "__ds_h"), "near-twice")
+    discard(marked)
+    left = _only(docs, gone, same, "left_anti")
     if twice.isEmpty():
-        return docs.join(best.union(empty), same, "left_semi")
-    one = docs.join(best, same, "left_semi").withColumn("__ds_h", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "__ds_h"]).drop("__ds_h")
-    return one.union(docs.join(empty, same, "left_semi"))
+        return left
+    one = _only(left, twice, same, "left_semi").withColumn("__ds_h", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "__ds_h"]).drop("__ds_h")
+    return _only(left, twice, same, "left_anti").union(one)
