@@ -10,9 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that goes to a worker (Spark's own limit is 64 MB, of which a worker and its executor hold several at a time).
+BATCH = 16 << 20
 #: Prefix of the columns that operators add for their own use; callers' columns don't start so.
 OWN = "__ds_"
 
@@ -67,6 +69,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Up to so many keys (16 bytes each) are sent to the scan to find the rows that have them; for more, the rows are shuffled.
+FEW = 1 << 20
+
+
+def few_join(rows: DataFrame, keys: DataFrame, on: str | Column, how: str) -> DataFrame:
+    """Semi or anti join of rows with a stored table of keys, without a shuffle of the rows if the keys are few."""
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, on, how)
+
+
 def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes, one row at least."""
     rows = max(1, -(-batch.num_rows * most // max(most, batch.nbytes)))
@@ -75,8 +86,8 @@ def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, piece_bytes: int = 4 << 20) -> DataFrame:
-    """mapInArrow of a function of a few rows at a time. Spark's batches hold up to 64 MB; a worker that made Python objects of one, and of
-    what comes out of it, would hold several times that, so they are cut into pieces."""
+    """mapInArrow of a function of a few rows at a time: a worker that made Python objects of a whole batch, and of what comes out of it,
+    would hold several times its bytes, so batches are cut into pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,6 +95,14 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 if (out := f(piece)) is not None and out.num_rows:
                     yield out
 
+    return map_arrow(df, run, schema)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of at most BATCH bytes (one row at least), a setting of the session that is lowered where it is higher."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, str(BATCH)).rstrip("bB")) > BATCH:
+        conf.set(name, f"{BATCH}b")
     return df.mapInArrow(run, schema)
 
 
@@ -108,7 +127,7 @@ def map_groups(df: DataFrame, keys: list[str], f: Callable[[pa.RecordBatch, np.n
         for rows in held:
             yield from done(rows, np.zeros(1, np.int64))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -1,191 +1,277 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document: each batch of documents holds the posting lists (positions in document order) of the terms that
-the test items use. A window of an item is searched from its rarest term: the posting lists are shifted by the terms' offsets and
-intersected, rarest first, until the list is empty or all terms have been held against it. What is left are exact phrase matches. The
-same lists, widened by a slop, give proximity matches: all terms of the window in reach of their place. As a document lies in one
-partition, nothing is shuffled; the items, in blocks of bounded size, go to the partitions.
+The index of the training documents is a stored table, partitioned by document: a row is a segment (about SEGMENT bytes of documents,
+one at least) with the posting lists of its terms: for each term, all its positions in the segment's documents, laid end to end with gaps
+between them. Terms are 64-bit hashes of the words.
+
+The test items' windows are searched in it. The index gives each term's count over all documents; a window is searched from its rarest
+term: that term's posting list, shifted by its offset in the window, is intersected with the shifted lists of the other terms, rarest
+first. What is left are exact phrase matches. With a slop, the same lists give proximity matches: all terms of the window in reach of
+their places. In a segment, all windows are searched at once, and only those whose rarest term it holds cost anything. A window with a
+term that no document holds is never searched.
+
+As a document lies in one segment, nothing is shuffled but what was found. The items go to the segments in blocks of a bounded size, a
+pass over the stored index for each.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import OWN, alnum_words, map_batches
+from dictspark.llm.common import OWN, alnum_hashes, few_join, map_arrow, map_batches, pieces, stored
+
+#: Bytes of documents in a segment.
+SEGMENT = 1 << 20
+#: Positions without a term before each document; a window and twice the slop must be less.
+GAP = 256
+#: Items, and bytes of their texts, that are searched in one pass.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 4 << 20
+#: Terms of the items that the index may be limited to; with more, it holds all terms of the documents.
+MOST_TERMS = 1 << 22
+#: Places that are held against the lists at a time.
+_STRIP = 1 << 19
+
+_INDEX = "segment long, ids array<long>, h array<long>, words array<int>, terms binary, counts binary, positions binary"
+
+
+def _segment(number: int, batch: pa.RecordBatch, terms: np.ndarray | None) -> list:
+    """A row of the index for the batch's documents (id, hash of the text, text). Positions are stored as differences."""
+    hashes = [alnum_hashes(t) for t in batch.column(2).to_pylist()]
+    words = np.array([len(h) for h in hashes], np.int64)
+    every = np.concatenate(hashes)
+    at = np.arange(len(every)) + GAP * np.repeat(np.arange(1, len(words) + 1), words)
+    if terms is not None:
+        held = _member(every, terms)
+        every, at = every[held], at[held]
+    order = np.argsort(every, kind="stable")
+    every, at = every[order], at[order]
+    first = np.flatnonzero(np.diff(every, prepend=~every[:1]))
+    counts = np.diff(np.append(first, len(every))).astype(np.int32)
+    return [number, batch.column(0).to_pylist(), batch.column(1).to_pylist(), words.tolist(), every[first].tobytes(), counts.tobytes(), np.diff(at, prepend=0).astype(np.int32).tobytes()]
+
+
+def _member(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
+def index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index of docs (a table of segments). terms: sorted hashes of the only terms to be held; None: all. Null and empty texts have
+    no words and stand in the index with none."""
+    rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)), F.col(text_col))
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+    names = [x.split(" ")[0] for x in _INDEX.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, task = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for piece in pieces(batch, SEGMENT):
+                row = _segment(task + n, piece, terms)
+                n += 1
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
+    return stored(map_arrow(rows, run, _INDEX), "index")
 
 
-#: Bytes of documents that share posting lists: all windows are looked up once per piece.
-PIECE = 32 << 20
-
-
-@dataclass
 class Windows:
-    """The windows of a block of items, as term numbers; df: how many windows hold a term (the rarest is looked up first by the count
-    in the documents at hand)."""
-
-    terms: dict[bytes, int] = field(default_factory=dict)
-    windows: dict[tuple[int, ...], set[str]] = field(default_factory=dict)
-
-    def add(self, item_id: str, text: str | None, size: int) -> None:
-        words = [self.terms.setdefault(w, len(self.terms)) for w in alnum_words(text)]
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            self.windows.setdefault(tuple(words[i : i + size]), set()).add(item_id)
-
-
-class Postings:
-    """Posting lists over a batch of documents: positions (in the documents laid end to end) by term, and the term at each position.
-    Around each document lies a gap of `gap` positions without term, so that no phrase or proximity match reaches across."""
-
-    def __init__(self, texts: list[str | None], terms: dict[bytes, int], gap: int):
-        get, self.starts, self.counts, at = terms.get, [], [], gap
-        pad = np.full(gap, -1, np.int32)
-        ids = [pad]
-        for text in texts:
-            words = alnum_words(text)
-            self.starts.append(at)
-            self.counts.append(len(words))
-            ids += [np.array([get(w, -1) for w in words], np.int32), pad]
-            at += len(words) + gap
-        self.at = np.concatenate([*ids, pad])
-        held = np.flatnonzero(self.at >= 0)
-        order = np.argsort(self.at[held], kind="stable")
-        self.flat = held[order]
-        self.begin = np.searchsorted(self.at[held][order], np.arange(len(terms) + 1))
-
-    def list_of(self, term: int) -> np.ndarray:
-        return self.flat[self.begin[term] : self.begin[term + 1]]
-
-    def phrase(self, window: tuple[int, ...]) -> np.ndarray:
-        """Starts of the window: the rarest term's list, shifted, met with the others' in order of rarity. A long list is probed at the
-        few places that are left (self.at is the list's membership), a step that costs what is left and not the list's length."""
-        order = sorted(range(len(window)), key=lambda k: self.begin[window[k] + 1] - self.begin[window[k]])
-        left = self.list_of(window[order[0]]) - order[0]
-        for k in order[1:]:
-            if not len(left):
-                break
-            left = left[self.at[left + k] == window[k]]
-        return left
-
-    def near(self, window: tuple[int, ...], slop: int) -> np.ndarray:
-        """Starts from which every term of the window lies within `slop` positions of its own place. The rarest term's list gives the starts
-        to try; a start may lie up to slop positions before its document."""
-        order = sorted(range(len(window)), key=lambda k: self.begin[window[k] + 1] - self.begin[window[k]])
-        reach = np.arange(-slop, slop + 1)
-        left = np.unique((self.list_of(window[order[0]])[:, None] - order[0] + reach[None, :]).ravel())
-        for k in order[1:]:
-            if not len(left):
-                break
-            left = left[(self.at[(left + k)[:, None] + reach[None, :]] == window[k]).any(1)]
-        return left
-
-
-def postings(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_text: str = "text") -> DataFrame:
-    """The index as a table: doc_id, term, positions (ascending), for the terms of the items. One row per document and term."""
-    words = items.select(F.explode(F.array_distinct(F.regexp_extract_all(F.translate(F.col(item_text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"))))).distinct()
-    found = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"))).alias("pos", "term"))
-    return found.join(words.select(F.col("col").alias("term")), "term").groupBy("doc_id", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
-def _searched(batch: pa.RecordBatch, text_at: int, look: Windows, gap: int, slop: int) -> tuple[list[int], list[int], list[list[str]], list[list[str]]]:
-    index = Postings(batch.column(text_at).to_pylist(), look.terms, gap)
-    starts, hit, n = np.array(index.starts), np.zeros(len(index.at), bool), batch.num_rows
-    items: list[set[str]] = [set() for _ in range(n)]
-    near: list[set[str]] = [set() for _ in range(n)]
-    for window, own in look.windows.items():
-        at = index.phrase(window)
-        if len(at):
-            hit[(at[:, None] + np.arange(len(window))[None, :]).ravel()] = True
-            for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
-                items[d] |= own
-        if slop and len(at := index.near(window, slop)):
-            for d in np.unique(np.searchsorted(starts - gap // 2, at, "right") - 1).tolist():
-                near[d] |= own
-    ends = np.concatenate([[0], np.cumsum(hit)])
-    hits = [int(ends[s + c] - ends[s]) for s, c in zip(index.starts, index.counts, strict=True)]
-    return index.counts, hits, [sorted(x) for x in items], [sorted(x) for x in near]
-
-
-def search(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, slop: int = 0, block_items: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
-    """docs with three or four columns more: __ds_n_words, __ds_n_hit (words inside an exact match of a window), __ds_items (ids of the
-    items with an exact match, sorted as strings) and, with a slop, __ds_near (ids with a proximity match).
-
-    A window is `window` consecutive words of an item; an item of fewer words is one window, an item without words has none. Null and
-    empty texts have no words. Items of the same id count as one item; a null id reads as the text 'null'. The items are the stated
-    test set: they are taken to the partitions in blocks of about block_items or block_bytes at most, and a search over several blocks makes one pass per
-    block and adds up (hit words are joined as positions, so that overlaps between blocks count once).
-    """
-    n_items, n_bytes = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()
-    blocks = max(1, -(-n_items // block_items), -(-n_bytes // block_bytes))
-    at = docs.columns.index(text_col)
-    if blocks > 1:
-        return _search_blocks(docs, items, text_col, item_id, item_text, window, slop, blocks)
-    look = Windows()
-    for i, text in items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), F.col(item_text)).collect():  # at most block_items rows and block_bytes bytes
-        look.add(i, text, window)
-    kinds = [(f"{OWN}n_words", pa.int64()), (f"{OWN}n_hit", pa.int64()), (f"{OWN}items", pa.list_(pa.string())), (f"{OWN}near", pa.list_(pa.string()))][: 4 if slop else 3]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols = _searched(batch, at, look, 2 * (window + 2 * slop + 1), slop)
-        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=False))], names=[*batch.schema.names, *(k for k, _ in kinds)])
+    """The windows of a block of items: rows of term numbers (-1 beyond the end of a short item's only window), the items of each window and
+    the order in which a window's terms are looked up."""
+
+    def __init__(self, rows: list[tuple[str, str | None]], size: int):
+        hashes = [alnum_hashes(t) for _, t in rows]
+        self.terms = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))
+        self.ids = sorted({i for i, _ in rows})
+        number, made, owner = {x: k for k, x in enumerate(self.ids)}, [np.empty((0, size), np.int32)], []
+        for (i, _), h in zip(rows, hashes, strict=True):
+            if len(h):
+                own = np.searchsorted(self.terms, h).astype(np.int32)
+                own = np.lib.stride_tricks.sliding_window_view(own, size) if len(h) >= size else np.pad(own, (0, size - len(h)), constant_values=-1)[None, :]
+                made.append(own)
+                owner.append(np.full(len(own), number[i]))
+        every, place = np.unique(np.concatenate(made), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([place.ravel(), np.concatenate([np.empty(0, np.int64), *owner])], 1), axis=0)
+        self.rows, self.items = every, pairs[:, 1]
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(every) + 1))
+        self.order = np.zeros(every.shape, np.uint8)
+
+    def rank(self, counts: np.ndarray) -> None:
+        """counts: of each term over all documents. Windows with a term that is in none go; the others are looked up from their rarest term."""
+        able = np.flatnonzero((np.where(self.rows >= 0, np.append(counts, 0)[self.rows], 1) > 0).all(1)) if len(self.rows) else np.empty(0, np.int64)
+        n = np.diff(self.first)[able]
+        self.items = self.items[np.repeat(self.first[able] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        self.rows, self.first = self.rows[able], np.concatenate([[0], np.cumsum(n)])
+        weight = np.where(self.rows >= 0, np.append(counts, 0)[self.rows], np.iinfo(np.int64).max)
+        self.order = np.argsort(weight, axis=1, kind="stable").astype(np.uint8)
+
+    def lengths(self) -> np.ndarray:
+        return (self.rows >= 0).sum(1)
+
+
+class Lists:
+    """The posting lists of a segment for the terms of some windows: term * span + position, ascending."""
+
+    def __init__(self, windows: Windows, terms: bytes, counts: bytes, positions: bytes, span: int):
+        own, n, at = np.frombuffer(terms, np.uint64), np.frombuffer(counts, np.int32).astype(np.int64), np.cumsum(np.frombuffer(positions, np.int32), dtype=np.int64)
+        number = np.searchsorted(windows.terms, own)
+        held = _member(own, windows.terms)
+        self.span, self.n, self.begin = span, np.zeros(len(windows.terms) + 1, np.int64), np.zeros(len(windows.terms) + 1, np.int64)
+        self.n[number[held]] = n[held]
+        self.begin[number[held]] = np.cumsum(n[held]) - n[held]
+        self.flat = at[np.repeat(held, n)] + np.repeat(number[held], n[held]) * span
+
+    def within(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the term's list has a position from low to high."""
+        if not len(self.flat):
+            return np.zeros(len(term), bool)
+        at = np.searchsorted(self.flat, term * self.span + low)
+        return (at < len(self.flat)) & (self.flat[np.minimum(at, len(self.flat) - 1)] <= term * self.span + high)
+
+    def search(self, windows: Windows, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(windows, starts, positions of the rarest terms) at which each term of the window lies within slop positions of its place; a
+        window's starts come for each of its rarest term's positions."""
+        rare = windows.order[:, 0].astype(np.int64)
+        term = windows.rows[np.arange(len(rare)), rare]
+        n = self.n[term] * (2 * slop + 1)
+        able = np.flatnonzero(n)
+        cuts = np.searchsorted(np.cumsum(n[able]), np.arange(_STRIP, n.sum() + _STRIP, _STRIP), "left") + 1 if len(able) else []
+        for part in np.split(able, np.unique(cuts)):
+            if not len(part):
+                continue
+            own = self.n[term[part]]
+            w = np.repeat(part, own)
+            place = self.flat[np.repeat(self.begin[term[part]] - np.cumsum(own) + own, own) + np.arange(own.sum())] - term[w] * self.span
+            w, place = np.repeat(w, 2 * slop + 1), np.repeat(place, 2 * slop + 1)
+            start = place - rare[w] + np.tile(np.arange(-slop, slop + 1), len(w) // (2 * slop + 1))
+            for j in range(1, windows.rows.shape[1]):
+                k = windows.order[w, j].astype(np.int64)
+                t = windows.rows[w, k].astype(np.int64)
+                keep = (t < 0) | self.within(t, start + k - slop, start + k + slop)
+                w, start, place = w[keep], start[keep], place[keep]
+                if not len(w):
+                    break
+            else:
+                yield w, start, place
+
+
+def _found(row: dict, windows: Windows, slop: int) -> list[tuple]:
+    """(segment, place of the document, hit word positions, items, items in proximity) of the segment's documents with a match."""
+    words = np.array(row["words"], np.int64)
+    starts = np.cumsum(words + GAP) - words
+    lists = Lists(windows, row["terms"], row["counts"], row["positions"], int(words.sum()) + GAP * (len(words) + 1))
+    if not len(lists.flat):
+        return []
+    lengths, edge = windows.lengths(), np.zeros(lists.span + 1, np.int32)
+    owners: list[dict[int, set[int]]] = [{}, {}]
+    for kind, reach in enumerate((0, slop)[: 1 + bool(slop)]):
+        for w, start, place in lists.search(windows, reach):
+            doc = np.searchsorted(starts, place, "right") - 1
+            if not kind:
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + lengths[w], -1)
+            both = np.unique(np.stack([doc, w], 1), axis=0)
+            for d, x in both.tolist():
+                owners[kind].setdefault(d, set()).update(windows.items[windows.first[x] : windows.first[x + 1]].tolist())
+    hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    of = np.searchsorted(starts, hit, "right") - 1
+    named = lambda x: sorted(windows.ids[i] for i in x)
+    return [(row["segment"], d, (hit[of == d] - starts[d]).tolist(), named(owners[0].get(d, ())), named(owners[1].get(d, ()))) for d in sorted({*owners[0], *owners[1]})]
+
+
+def _blocks(items: DataFrame, item_id: str, item_text: str, block_items: int, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks, dealt by a hash; repeated rows once. A block of about block_items rows and block_bytes bytes reaches the driver."""
+    rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_items), -(-size // block_bytes))
+    for b in range(blocks):
+        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()]
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, run, f"{kept}, {OWN}n_words long, {OWN}n_hit long, {OWN}items array<string>" + f", {OWN}near array<string>" * bool(slop), PIECE)
 
+def _terms(items: DataFrame, item_text: str) -> np.ndarray | None:
+    """The sorted hashes of the items' terms, None if they are more than MOST_TERMS."""
 
-def _search_blocks(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, slop: int, blocks: int) -> DataFrame:
-    """Several blocks of items: each block's pass adds its items and marks its hit words in a bit mask kept in the row."""
-    items = items.select(item_id, item_text).distinct()  # repeated rows would fill one block
-    block = F.pmod(F.xxhash64(F.col(item_id).cast("string"), F.col(item_text)), F.lit(blocks))
-    at, names = docs.columns.index(text_col), docs.columns
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    gap = 2 * (window + 2 * slop + 1)
-    out = docs.withColumns({f"{OWN}n_words": F.lit(0).cast("long"), f"{OWN}mask": F.lit(b"").cast("binary"), f"{OWN}items": F.array().cast("array<string>"), f"{OWN}near": F.array().cast("array<string>")})
-    for b in range(blocks):
-        look = Windows()
-        for i, text in items.where(block == b).select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), F.col(item_text)).collect():
-            look.add(i, text, window)
-
-        def run(batch: pa.RecordBatch, look: Windows = look) -> pa.RecordBatch:
-            rows = batch.select(names)
-            index, w = Postings(rows.column(at).to_pylist(), look.terms, gap), len(names)
-            starts, hit = np.array(index.starts), np.zeros(len(index.at), bool)
-            items_, near_ = [set(x) for x in batch.column(w + 2).to_pylist()], [set(x) for x in batch.column(w + 3).to_pylist()]
-            for win, own in look.windows.items():
-                found = index.phrase(win)
-                if len(found):
-                    hit[(found[:, None] + np.arange(len(win))[None, :]).ravel()] = True
-                for at_, sets in ((found, items_), (index.near(win, slop) if slop else found[:0], near_)):
-                    for d in np.unique(np.searchsorted(starts - gap // 2, at_, "right") - 1).tolist() if len(at_) else ():
-                        sets[d] |= own
-            masks = []
-            for s, c, old in zip(index.starts, index.counts, batch.column(w + 1).to_pylist(), strict=True):
-                bits = np.packbits(hit[s : s + c])
-                masks.append((bits | np.frombuffer(old, np.uint8) if old else bits).tobytes())
-            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(index.counts, pa.int64()), pa.array(masks, pa.binary()), pa.array([sorted(x) for x in items_], pa.list_(pa.string())), pa.array([sorted(x) for x in near_], pa.list_(pa.string()))], names=batch.schema.names)
-
-        out = map_batches(out, run, f"{kept}, {OWN}n_words long, {OWN}mask binary, {OWN}items array<string>, {OWN}near array<string>", PIECE)
-
-    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = len(names)
-        hits = [int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) if m else 0 for m in batch.column(w + 1).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[: w + 1], pa.array(hits, pa.int64()), *batch.columns[w + 2 :]], names=[*names, f"{OWN}n_words", f"{OWN}n_hit", f"{OWN}items", f"{OWN}near"])
-
-    out = map_batches(out, counted, f"{kept}, {OWN}n_words long, {OWN}n_hit long, {OWN}items array<string>, {OWN}near array<string>")
-    return out if slop else out.drop(f"{OWN}near")
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = 8, slop: int = 2, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text", block_items: int = 20_000) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity match)."""
-    rows = search(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), items, window=window, slop=slop, block_items=block_items)
-    n = F.size(f"{OWN}items").cast("long")
-    return rows.select("doc_id", F.col(f"{OWN}n_words").alias("n_words"), F.col(f"{OWN}n_hit").alias("n_hit"), n.alias("n_items"), F.sha2(F.array_join(f"{OWN}items", ","), 256).alias("items_sha256"), (n >= min_items).alias("contaminated"), *([F.size(f"{OWN}near").cast("long").alias("n_near")] if slop else []))
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = np.unique(np.concatenate([np.empty(0, np.uint64), *(alnum_hashes(t) for t in batch.column(0).to_pylist())]))
+        return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["term"])
+
+    found = map_batches(items.select(item_text), run, "term long").distinct().limit(MOST_TERMS + 1).toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64)) if found.num_rows <= MOST_TERMS else None
+
+
+def counts(index_: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """How often each of the terms (sorted hashes) stands in the documents: sums over the segments, of which only two columns are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for own, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own, n = np.frombuffer(own, np.uint64), np.frombuffer(n, np.int32)
+                held = _member(own, terms)
+                sums[np.searchsorted(terms, own[held])] += n[held]
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["term", "n"])
+
+    out = np.zeros(len(terms), np.int64)
+    for term, n in map_arrow(index_.select("terms", "counts"), run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # a row for each of the block's terms at most
+        out[term] = n
+    return out
+
+
+def matches(index_: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = 8, slop: int = 0, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """segment, place, hits (word positions within exact matches of a window, ascending), items (their ids, sorted as strings) and near (ids of
+    items with a proximity match, if there is a slop) of the documents that hold any.
+
+    A window is `window` consecutive words of an item; an item of fewer words is one window, an item without words has none. Items of the
+    same id count as one item; a null id reads as the text 'null'. The items are the stated test set."""
+    if window + 2 * slop >= GAP:
+        raise ValueError(f"a window and twice the slop must be less than {GAP} words")
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
+    names, out = ["segment", "place", "hits", "items", "near"], None
+    schema = "segment long, place int, hits array<int>, items array<string>, near array<string>"
+    for rows in _blocks(items, item_id, item_text, block_items, block_bytes):
+        windows = Windows(rows, window)
+        windows.rank(counts(index_, windows.terms))
+
+        def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    if found := _found(batch.slice(i, 1).to_pylist()[0], windows, slop):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+
+        part = map_arrow(index_.select("segment", "words", "terms", "counts", "positions"), run, schema)
+        out = part if out is None else out.union(part)
+    joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  a row of each block at most
+    return out.groupBy("segment", "place").agg(*(joined(c) for c in names[2:]))
+
+
+def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8, slop: int = 0, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """One row per document: id, h (xxhash64 of the text), n_words, hits, items and near as matches() gives them, null where nothing was found."""
+    own = index(docs, _terms(items, item_text), id_col, text_col)
+    every = own.select("segment", F.posexplode(F.arrays_zip("ids", "h", "words")).alias("place", "d")).select("segment", "place", F.col("d.ids").alias("id"), F.col("d.h").alias("h"), F.col("d.words").cast("long").alias("n_words"))
+    found = stored(matches(own, items, item_id, item_text, window, slop, block_items), "matches")
+    return every.join(found, ["segment", "place"], "left").select("id", "h", "n_words", "hits", "items", "near")
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 8, slop: int = 2, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity match).
+
+    Null and empty texts have no words; repeated rows get a row each; rows may lack an id; empty tables give no rows or no matches;
+    further columns of any name are not read."""
+    rows = search(docs, items, id_col, text_col, window=window, slop=slop, block_items=block_items)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    n = size("items")
+    own = F.coalesce(F.array_join("items", ","), F.lit(""))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", size("hits").alias("n_hit"), n.alias("n_items"), F.sha2(own, 256).alias("items_sha256"), (n >= min_items).alias("contaminated"), *([size("near").alias("n_near")] if slop else []))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which fewer than min_items items have an exact match, with their own columns."""
-    return search(docs, items, window=window).where(F.size(f"{OWN}items") < min_items).drop(f"{OWN}n_words", f"{OWN}n_hit", f"{OWN}items")
+    found = search(docs, items, id_col, text_col, window=window).where(F.size("items") >= min_items)
+    gone = stored(found.select(F.col("id").alias(f"{OWN}id"), F.col("h").alias(f"{OWN}h")).distinct(), "contaminated")
+    return few_join(docs, gone, F.col(id_col).cast("long").eqNullSafe(F.col(f"{OWN}id")) & (F.xxhash64(F.col(text_col)) == F.col(f"{OWN}h")), "left_anti")

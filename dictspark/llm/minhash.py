@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import components, discard, map_batches, map_groups, mixed, stored, word_hashes
+from dictspark.llm.common import components, discard, few_join, map_batches, map_groups, mixed, stored, word_hashes
 
 REGISTERS = 128
 #: 25 bands of 5 registers: two sets at similarity 0.85 miss each other in all bands with a chance of 4e-7, at 0.9 of 1e-10.
@@ -38,8 +38,6 @@ BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 #: Buckets of more classes are dealt anew by SUBSETS subsets of SUBSET registers each: two sets at similarity 0.8 that share such a bucket
 #: miss each other in all subsets with a chance of about 6e-6, at 0.85 of 6e-9; classes at 0.5 meet in one of 64 subsets only.
 HOT, SUBSETS, SUBSET = 2048, 40, 6
-#: Up to so many ids (8 bytes each) are sent to the scan to fetch their texts; for more, the texts are shuffled.
-FETCH = 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # a fixed odd number: the order of words in a shingle matters
 
@@ -203,11 +201,6 @@ def _across(rows: pa.RecordBatch, starts: np.ndarray, least: float, num: int, de
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _only(docs: DataFrame, ids: DataFrame, on: str | list, how: str) -> DataFrame:
-    """Semi or anti join of docs with a stored table of ids, without a shuffle of docs if the ids are few."""
-    return docs.join(F.broadcast(ids) if ids.count() <= FETCH else ids, on, how)
-
-
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and its full set, for the given nodes; the text is that of the class's smallest document."""
     need = stored(classes.join(nodes.distinct(), "node", "left_semi").select("node", "key", F.col("first").alias("doc_id")), "near-need")
@@ -216,7 +209,7 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
         h = [shingles(t) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.md5(x.tobytes()).digest() for x in h], pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], names=["doc_id", "key", "set"])
 
-    texts = _only(docs, need.select("doc_id").where("doc_id IS NOT NULL"), "doc_id", "left_semi")
+    texts = few_join(docs, need.select("doc_id").where("doc_id IS NOT NULL"), "doc_id", "left_semi")
     if not need.where("doc_id IS NULL").isEmpty():  # classes all of whose documents lack an id
         texts = texts.union(docs.where("doc_id IS NULL"))
     found = map_batches(texts, run, "doc_id long, key binary, set binary")
@@ -330,8 +323,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__ds_id")) & (F.xxhash64(F.col(text_col)) == F.col("__ds_h"))
     gone, twice = stored(marked.where("NOT stays").select("__ds_id", "__ds_h"), "near-gone"), stored(marked.where("stays AND times > 1").select("__ds_id", "__ds_h"), "near-twice")
     discard(marked)
-    left = _only(docs, gone, same, "left_anti")
+    left = few_join(docs, gone, same, "left_anti")
     if twice.isEmpty():
         return left
-    one = _only(left, twice, same, "left_semi").withColumn("__ds_h", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "__ds_h"]).drop("__ds_h")
-    return _only(left, twice, same, "left_anti").union(one)
+    one = few_join(left, twice, same, "left_semi").withColumn("__ds_h", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "__ds_h"]).drop("__ds_h")
+    return few_join(left, twice, same, "left_anti").union(one)

@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from dictspark.llm import minhash
+from dictspark.llm import common, minhash
 from dictspark.llm.common import components
 from tests.llm.helpers import clashing, docs, rng, sentence
 
@@ -68,13 +68,13 @@ def test_brute_force(spark, seed):
     assert sorted(map(tuple, minhash.near_duplicates(clashing(docs(spark, given))).collect()), key=repr) == brute(given)
 
 
-@pytest.mark.parametrize("hot, fetch", [(minhash.HOT, minhash.FETCH), (20, 10)])
+@pytest.mark.parametrize("hot, fetch", [(minhash.HOT, common.FEW), (20, 10)])
 def test_a_large_group_of_near_copies(spark, monkeypatch, hot, fetch):
     """Many are near some others but few are near the first, so that links must be sought across the group, in several blocks; also where
     the buckets are dealt anew and the texts are fetched by a shuffle."""
     monkeypatch.setattr(minhash, "BLOCK", 40)
     monkeypatch.setattr(minhash, "HOT", hot)
-    monkeypatch.setattr(minhash, "FETCH", fetch)
+    monkeypatch.setattr(common, "FEW", fetch)
     r = rng(8)
     base = sentence(r, 150)
     given = [(i, edited(r, base, r.choice([1, 2, 3]))) for i in range(150)]
