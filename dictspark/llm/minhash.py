@@ -262,7 +262,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, ba
     hashes = F.array(*[F.xxhash64(F.lit(b), F.substring("regs", b * width + 1, width)) for b in range(bands[0])])
     banded = classes.select("node", "n", F.posexplode(hashes).alias("b", "band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("low <> high").drop("high")
+    buckets = stored(buckets, "near-buckets")
     members = stored(banded.drop("n").join(buckets, "band"), "near-members")
+    discard(buckets)
     star = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     regs = classes.select("node", "regs")
     side = star.join(regs.select(F.col("node").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("node").alias("b"), F.col("regs").alias("rb")), "b").select("a", "b", "ra", "rb")
