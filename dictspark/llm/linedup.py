@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import EXACT, OWN, bytes_of, discard, map_batches, mixed, stored, words_at
+from dictspark.llm.common import EXACT, OWN, bytes_of, discard, few_join, map_batches, mixed, stored, words_at
 
 DEPTH = 3
 #: Share of a line's tokens that must be constant in a template, as a fraction.
@@ -52,14 +52,14 @@ def _lines(batch: pa.RecordBatch) -> pa.RecordBatch:
     data = np.concatenate([x for p in parts for x in (p, end)])
     origin = np.cumsum([0, *(len(p) + 1 for p in parts)])[:-1]
     breaks = np.flatnonzero(data == 10)
-    starts, ends, h = words_at(data, EXACT)
+    starts, _, h = words_at(data, EXACT)
     line = np.searchsorted(breaks, starts)
     first = np.flatnonzero(np.diff(line, prepend=-1))  # each line's first token
     n = np.diff(np.append(first, len(line)))
     own = np.repeat(np.arange(len(first)), n)
     i, size = np.arange(len(line)) - first[own], n[own]
-    numbers = np.concatenate([[0], np.cumsum(_NUMBER[data])])
-    number = numbers[ends] > numbers[starts]
+    number = np.zeros(len(line), bool)
+    number[np.searchsorted(starts, np.flatnonzero(_NUMBER[data]), "right") - 1] = True
     if not len(first):
         return _rows(batch.slice(0, 0), *[np.empty(0, np.int64)] * 6, np.empty((0, BANDS), np.uint64), np.empty(0, np.int64))
     enough = lambda constant: SIMILARITY[1] * constant >= SIMILARITY[0] * n
@@ -86,7 +86,7 @@ def _lines(batch: pa.RecordBatch) -> pa.RecordBatch:
     at = line[first]
     before = np.searchsorted(breaks, origin)  # lines before each document
     row = np.searchsorted(before, at, "right") - 1
-    return _rows(batch.take(pa.array(row)), at - before[row], k1, k2, leaf, n, row, bands, allowed)
+    return _rows(batch.select([0, 1]).take(pa.array(row)), at - before[row], k1, k2, leaf, n, row, bands, allowed)
 
 
 def _rows(docs: pa.RecordBatch, at, k1, k2, leaf, n, _row, bands, allowed) -> pa.RecordBatch:
@@ -110,29 +110,32 @@ def _xor(*columns: str) -> Column:
 
 def _firsts(lines: DataFrame, min_docs: int) -> DataFrame:
     """k1, k2, first: the templates that recur and the document that keeps them, as a stored table."""
-    bands = [f"x{b}" for b in range(BANDS)]
-    each = lines.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), *(F.max(c).alias(c) for c in ("leaf", "n", "allowed", *bands)))
+    keys, bands = ["k1", "k2"], [f"x{b}" for b in range(BANDS)]
+    groups = [_xor(*(f"x{b}" for b in g)).alias(f"g{i}") for i, g in enumerate(_GROUPS)]
+    slim = lines.select(*keys, "doc", "leaf", "n", (F.col("allowed") != 0).cast("int").alias("able"), *groups)
+    own = [F.max(c).alias(c) for c in ("leaf", "n", "able", "g0", "g1", "g2")]
+    each = slim.groupBy(*keys).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), *own)
     # Only short lines need the number of their documents; of others, two are enough.
     short = lines.where(f"n < {SHORT}") if min_docs <= 2 else lines
-    docs = short.select("k1", "k2", "doc").distinct().groupBy("k1", "k2").agg(F.count("*").alias("docs"))
-    each = stored(each.join(docs, ["k1", "k2"], "left").withColumn("docs", F.coalesce("docs", F.lit(1) + (F.col("first") < F.col("last")).cast("long"))), "line-each")
+    docs = short.select(*keys, "doc").distinct().groupBy(*keys).agg(F.count("*").alias("docs"))
+    each = stored(each.join(docs, keys, "left").withColumn("docs", F.coalesce("docs", F.lit(1) + (F.col("first") < F.col("last")).cast("long"))), "line-each")
     enough = (F.col("first") < F.col("last")) & (F.col("docs") >= F.when(F.col("n") < SHORT, F.lit(max(MANY, min_docs))).otherwise(F.lit(min_docs)))
-    plain = each.where(enough).select("k1", "k2", "first")
+    plain = each.where(enough).select(*keys, "first")
     # Lines that share a leaf, and in it one of three groups of bands, with a line of another document.
     spread = [F.min("first").alias("x"), F.max("last").alias("y"), F.count("*").alias("lines")]
-    leaves = each.where("allowed <> 0").groupBy("leaf").agg(*spread).where("lines > 1 AND x < y").select("leaf")
-    able = each.where("allowed <> 0").join(leaves, "leaf")
-    parts = F.posexplode(F.array(*[_xor(*(f"x{b}" for b in g)) for g in _GROUPS]))
-    grouped = able.select("leaf", "first", "last", parts.alias("g", "part")).groupBy("leaf", "g", "part").agg(*spread).where("lines > 1 AND x < y").select("leaf", "g", "part")
-    near = able.select("k1", "k2", "leaf", parts.alias("g", "part")).join(grouped, ["leaf", "g", "part"], "left_semi").select("k1", "k2").distinct()
+    leaves = each.where("able = 1").groupBy("leaf").agg(*spread).where("lines > 1 AND x < y").select("leaf")
+    able = each.where("able = 1").join(leaves, "leaf").select(*keys, "leaf", "first", "last", F.posexplode(F.array("g0", "g1", "g2")).alias("g", "part"))
+    grouped = able.groupBy("leaf", "g", "part").agg(*spread).where("lines > 1 AND x < y").select("leaf", "g", "part")
+    near = stored(able.join(grouped, ["leaf", "g", "part"], "left_semi").select(*keys).distinct(), "line-near")
+    banded = few_join(lines.select(*keys, "allowed", *bands), near, keys, "left_semi").groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("allowed", *bands)))
     shown = F.array(*[F.when(F.shiftright("allowed", k).bitwiseAND(1) == 1, F.struct(F.lit(k).alias("mask"), _xor("k1", *dict.fromkeys((f"x{a}", f"x{b}"))).alias("shown"))) for k, (a, b) in enumerate(MASKS)])
-    masked = able.join(near, ["k1", "k2"], "left_semi").select("k1", "k2", "leaf", "n", "first", "last", "docs", F.explode(F.filter(shown, lambda x: x.isNotNull())).alias("m"))
-    masked = stored(masked.select("k1", "k2", "leaf", "n", "first", "last", "docs", "m.mask", "m.shown"), "line-masked")
+    masked = banded.select(*keys, F.explode(F.filter(shown, lambda x: x.isNotNull())).alias("m")).join(each.select(*keys, "leaf", "n", "first", "last", "docs"), keys)
+    masked = stored(masked.select(*keys, "leaf", "n", "first", "last", "docs", "m.mask", "m.shown"), "line-masked")
     key = ["leaf", "n", "mask", "shown"]
-    groups = masked.groupBy(*key).agg(F.count("*").alias("lines"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("docs").alias("docs")).where("lines > 1").where(enough)
-    wide = masked.drop("first", "last", "docs").join(groups.select(*key, "first"), key).select("k1", "k2", "first")
-    out = stored(plain.union(wide).groupBy("k1", "k2").agg(F.min("first").alias("first")), "line-first")
-    discard(each, masked)
+    recurring = masked.groupBy(*key).agg(F.count("*").alias("lines"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("docs").alias("docs")).where("lines > 1").where(enough)
+    wide = masked.drop("first", "last", "docs").join(recurring.select(*key, "first"), key).select(*keys, "first")
+    out = stored(plain.union(wide).groupBy(*keys).agg(F.min("first").alias("first")), "line-first")
+    discard(each, near, masked)
     return out
 
 
