@@ -30,6 +30,16 @@ def _between(low: int, high: int):
     return check
 
 
+def _without_effect(p: argparse.ArgumentParser, *options: tuple[str, str, int, int]) -> None:
+    """Options that are taken for the sake of scripts that give them: caches, threads, files and folders of a sort are Spark's business."""
+    p.add_argument("-w", "--work-directory", help="no effect on Spark")
+    for short, long, low, high in options:
+        p.add_argument(short, long, type=_between(low, high), help="no effect on Spark")
+
+
+_IDLE = ("work_directory", "cache_size", "thread_count", "split_file_count", "parallel_task_count")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="dictspark", description="Ordered string dictionaries on Spark")
     sub = top.add_subparsers(dest="command", required=True)
@@ -38,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-f", "--file", required=True, help="text file or folder")
         p.add_argument("-o", "--out", required=True, help="folder of the dictionary; must not exist")
         p.add_argument("-s", "--sorted", action="store_true", help="the lines are in the order of insertion")
+        _without_effect(p, ("-c", "--cache-size", 0, 1 << 40), ("-t", "--thread-count", 1, 32), ("-l", "--split-file-count", 1, 1000), ("-p", "--parallel-task-count", 2, 20))
         p.add_argument("--strict", action="store_true", help="leave out keys that come after a greater one")
     p = sub.add_parser("dot", help="write the minimal transducer as Graphviz text")
     p.add_argument("-f", "--file", required=True, help="dictionary")
@@ -59,6 +70,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-f", "--file", required=True)
     p.add_argument("-o", "--out", required=True, help="folder; must not exist")
     p.add_argument("-i", "--ignore-empty", action="store_true")
+    _without_effect(p, ("-t", "--thread-count", 1, 32), ("-s", "--split-file-count", 1, 1000), ("-p", "--parallel-task-count", 2, 20))
     return top
 
 
@@ -78,6 +90,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     logging.basicConfig(level=logging.INFO, format="%(levelname)s %(message)s")
     spark = spark or SparkSession.builder.appName("dictspark").getOrCreate()
     began = time.time()
+    if idle := [name for name in _IDLE if getattr(args, name, None) is not None]:
+        log.info("no effect on Spark: %s", ", ".join(idle))
     if args.command in ("map", "set"):
         lines = read_lines(spark, args.file)
         d = (map_from_lines if args.command == "map" else set_from_lines)(lines, args.sorted, args.strict)

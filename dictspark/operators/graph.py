@@ -3,6 +3,9 @@
 Keys are byte strings. A prefix's output is the least value below it; an edge puts out what its end adds to its start, and a final node what
 its key's value adds to that. Prefixes with the same set of (suffix, value above the prefix's output) are one node. A node's number is
 the place of its least prefix in bytewise order, which is the order of a depth-first walk.
+
+Sets are told apart by two 64-bit sums over their members and their size, so nothing is gathered below a prefix: a prefix of all keys is
+an aggregation with partial sums like any other.
 """
 
 from __future__ import annotations
@@ -10,10 +13,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dictspark.operators.dictionary import Dictionary
+from dictspark.operators.linesort import ranked
+from dictspark.storage import stored
+
+_VALUE = "decimal(20,0)"
+#: Edges that a drawing has at most.
+DRAWN = 100_000
 
 
 @dataclass(frozen=True)
@@ -25,68 +34,118 @@ class Graph:
 
 
 def transducer(d: Dictionary) -> Graph:
-    """For dictionaries, whose keys are short: a key of n bytes makes n + 1 rows, and a node gathers the suffixes below it."""
-    value = F.col("value").cast("decimal(20,0)") if d.has_values else F.lit(0).cast("decimal(20,0)")
+    """For dictionaries, whose keys are short: a key of n bytes makes n + 1 rows."""
+    value = F.col("value").cast(_VALUE) if d.has_values else F.lit(0).cast(_VALUE)
     keys = d.df.select(F.hex(F.encode("key", "UTF-8")).alias("key"), value.alias("value"))
     cuts = keys.withColumn("n", F.explode(F.sequence(F.lit(0), F.length("key"), F.lit(2))))
     below = cuts.select(F.expr("substring(key, 1, n)").alias("prefix"), F.expr("substring(key, n + 1)").alias("suffix"), "value")
-    each = below.groupBy("prefix").agg(
-        F.min("value").alias("least"),
-        F.array_sort(F.collect_list(F.struct("suffix", "value"))).alias("rest"),
+    acc = F.when(F.col("prefix") == "", F.lit(0)).otherwise(F.min("value")).cast(_VALUE)
+    least = below.groupBy("prefix").agg(acc.alias("acc"))
+    more = (F.col("value") - F.col("acc")).cast(_VALUE)
+    own = F.when(F.col("suffix") == "", more)
+    each = below.join(least, "prefix").groupBy("prefix", "acc").agg(
+        F.bit_xor(F.xxhash64("suffix", more)).alias("k1"),
+        F.bit_xor(F.xxhash64(more, "suffix", F.lit(1))).alias("k2"),
+        F.count("*").alias("k3"),
+        F.max(own).alias("own"),
     )
-    acc = F.when(F.col("prefix") == "", F.lit(0)).otherwise(F.col("least")).cast("decimal(20,0)")
-    each = each.withColumn("acc", acc).withColumn("rest", F.transform("rest", lambda x: F.struct(x["suffix"].alias("suffix"), (x["value"] - F.col("acc")).cast("decimal(20,0)").alias("more"))))
-    each = each.withColumn("kind", F.sha2(F.to_json(F.struct("rest")), 256)).withColumn("own", F.filter("rest", lambda x: x["suffix"] == ""))
-    kinds = each.groupBy("kind").agg(F.min("prefix").alias("prefix"))
-    order = Window.orderBy("prefix")  # over nodes, not keys
-    numbered = kinds.join(each.select("prefix", "own"), "prefix").select("kind", "prefix", "own", (F.row_number().over(order) - 1).alias("node_id"))
-    nodes = numbered.select("node_id", (F.size("own") > 0).alias("is_final"), F.coalesce(F.get("own", F.lit(0))["more"], F.lit(0)).cast("decimal(20,0)").alias("final_output"))
-    starts = numbered.select("prefix", F.col("node_id").alias("src"))
-    ends = each.where("prefix <> ''").select(F.expr("substring(prefix, 1, length(prefix) - 2)").alias("up"), "prefix", "acc", "kind")
-    up = each.select(F.col("prefix").alias("up"), F.col("acc").alias("before"))
-    linked = ends.join(starts.withColumnRenamed("prefix", "up"), "up").join(up, "up").join(numbered.select("kind", F.col("node_id").alias("dst")), "kind")
-    edges = linked.select("src", "dst", F.conv(F.expr("right(prefix, 2)"), 16, 10).cast("int").alias("byte"), (F.col("acc") - F.col("before")).cast("decimal(20,0)").alias("output"))
+    each = stored(each, "graph-prefixes")
+    kind = ["k1", "k2", "k3"]
+    numbered = ranked(each.groupBy(*kind).agg(F.min("prefix").alias("prefix"), F.max("own").alias("own")), F.col("prefix")).withColumn("node_id", F.col("place") - 1)
+    nodes = numbered.select("node_id", F.col("own").isNotNull().alias("is_final"), F.coalesce("own", F.lit(0)).cast(_VALUE).alias("final_output"))
+    starts = numbered.select(F.col("prefix").alias("up"), F.col("node_id").alias("src")).join(each.select(F.col("prefix").alias("up"), F.col("acc").alias("before")), "up")
+    ends = each.where("prefix <> ''").select(F.expr("substring(prefix, 1, length(prefix) - 2)").alias("up"), "prefix", "acc", *kind)
+    linked = ends.join(starts, "up").join(numbered.select(*kind, F.col("node_id").alias("dst")), kind)
+    edges = linked.select("src", "dst", F.conv(F.expr("right(prefix, 2)"), 16, 10).cast("int").alias("byte"), (F.col("acc") - F.col("before")).cast(_VALUE).alias("output"))
     return Graph(nodes, edges)
 
 
 def graph_stats(g: Graph) -> DataFrame:
     """One row: n_nodes, n_final, n_edges."""
-    n = g.nodes.agg(F.count("*").alias("n_nodes"), F.count_if("is_final").alias("n_final"))
-    return n.join(g.edges.agg(F.count("*").alias("n_edges")), how="cross")  # one row each
-
-
-def byte_characters(d: Dictionary) -> DataFrame:
-    """byte, label: which characters of the keys a non-ASCII byte belongs to and at which place in them, as `character[place]`, joined by commas."""
-    chars = d.df.select(F.explode(F.array_distinct(F.regexp_extract_all("key", F.lit("((?s).)")))).alias("c")).distinct().where(F.octet_length("c") > 1)
-    spread = chars.select("c", F.posexplode(F.sequence(F.lit(1), F.octet_length("c"))).alias("at", "i"))
-    byte = F.conv(F.substring(F.hex(F.encode("c", "UTF-8")), 2 * F.col("i") - 1, F.lit(2)), 16, 10).cast("int")
-    labelled = spread.select(byte.alias("byte"), F.concat("c", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("x"))
-    return labelled.groupBy("byte").agg(F.array_join(F.array_sort(F.collect_set("x")), ",").alias("label"))
+    both = g.nodes.select("is_final", F.lit(1).alias("node")).union(g.edges.select(F.lit(False), F.lit(0)))
+    return both.agg(F.sum("node").alias("n_nodes"), F.count_if("is_final").alias("n_final"), F.sum(1 - F.col("node")).alias("n_edges"))
+
+
+def path_sums(g: Graph, keys: DataFrame) -> DataFrame:
+    """key and value of those of the given keys that the graph holds: each walks from the root byte by byte, adding up the edges' outputs, and ends
+    in a final node, whose output is added. A round for each byte of the longest key: a join of the walkers with the edges."""
+    walkers = keys.select("key", F.hex(F.encode("key", "UTF-8")).alias("bytes"), F.lit(0).cast("long").alias("src"), F.lit(0).cast(_VALUE).alias("sum"))
+    longest = walkers.agg(F.coalesce(F.max(F.length("bytes")), F.lit(0))).first()[0] // 2
+    edges, arrived = g.edges.select("src", "byte", "dst", "output"), []
+    for i in range(longest + 1):
+        arrived.append(walkers.where(F.length("bytes") == 2 * i).select("key", F.col("src").alias("node_id"), "sum"))
+        step = walkers.where(F.length("bytes") > 2 * i).withColumn("byte", F.conv(F.substring("bytes", 2 * i + 1, 2), 16, 10).cast("int"))
+        walkers = step.join(edges, ["src", "byte"]).select("key", "bytes", F.col("dst").alias("src"), (F.col("sum") + F.col("output")).cast(_VALUE).alias("sum"))
+        if i % 4 == 3:  # the walk is cut where the plan grows long
+            walkers = stored(walkers, "graph-walk")
+    done = arrived[0]
+    for part in arrived[1:]:
+        done = done.union(part)
+    return done.join(g.nodes.where("is_final"), "node_id").select("key", (F.col("sum") + F.col("final_output")).cast(_VALUE).alias("value"))
+
+
+def _escaped(c: str) -> str:
+    return c.replace("\\", "\\\\").replace('"', '\\"')
+
+
+def _last_character(path: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
+    """The bytes at the end of the path that make a whole character of several bytes, if they do."""
+    for i in range(len(path) - 1, max(-1, len(path) - 5), -1):
+        byte = path[i][0]
+        if byte >= 0xC0:
+            size = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
+            return path[i:] if len(path) - i == size else []
+        if byte < 0x80:
+            break
+    return []
 
 
 def dot_lines(d: Dictionary) -> Iterator[str]:
-    """Graphviz text of the transducer. A drawing is for small dictionaries: nodes and edges come to the driver."""
+    """Graphviz text of the transducer: nodes in the order of a depth-first walk, an edge after what lies below it. An edge of a byte beyond ASCII
+    names the characters that it is part of on the paths walked, and its place in them. Quotes and backslashes are escaped. A drawing is
+    for small dictionaries: nodes and edges come to the driver, which is refused beyond DRAWN edges."""
     g = transducer(d)
+    edges = g.edges.limit(DRAWN + 1).collect()
+    if len(edges) > DRAWN:
+        raise ValueError(f"the graph has more than {DRAWN} edges, too many to draw")
     nodes = {r["node_id"]: r for r in g.nodes.collect()}
-    names = {r["byte"]: r["label"] for r in byte_characters(d).collect()}
     out: dict[int, list] = {}
-    for e in sorted(g.edges.collect(), key=lambda e: (e["src"], e["byte"])):
+    for e in sorted(edges, key=lambda e: (e["src"], e["byte"])):
         out.setdefault(e["src"], []).append(e)
-    yield from ("digraph fst {", '    labelloc="l"', '    labeljust="l"', '    rankdir="UD"')
-    if nodes:
-        drawn: set[int] = set()
-        todo: list[tuple] = [("node", 0, None)]
-        while todo:
-            what, at, edge = todo.pop()
-            if what == "edge":
-                byte = edge["byte"]
-                label = chr(byte) if byte < 128 else f"0x{byte:x}[{names.get(byte, '')}]"
-                yield f'    {edge["src"]}->{edge["dst"]}[label="{label}{f"/{edge['output']}" if edge["output"] > 0 else ""}"]'
-            elif at not in drawn:
-                drawn.add(at)
-                node = nodes[at]
-                more = f"/{node['final_output']}" if node["is_final"] and node["final_output"] > 0 else ""
-                yield f'    {at}[label="{at}{more}"{",peripheries=2" if node["is_final"] else ""}]'
-                for e in reversed(out.get(at, [])):
-                    todo += [("edge", 0, e), ("node", e["dst"], None)]
+    yield from ("digraph fst {", '\t\tlabelloc="l";', '\t\tlabeljust="l";', '\t\trankdir="UD";', "")
+    drawn: set[int] = set()
+    path: list[tuple[int, list[str]]] = []  # bytes, each with the characters it was seen in
+    todo: list[tuple] = [(None, 0)] if nodes else []
+    while todo:
+        edge, at = todo.pop()
+        if at is None:  # everything below the edge is drawn
+            byte, names = path.pop()
+            label = _escaped(chr(byte)) if byte < 0x80 else f"0x{byte:x}[{','.join(names)}]"
+            more = f"/{edge['output']}" if edge["output"] > 0 else ""
+            yield f'\t\t{edge["src"]} -> {edge["dst"]} [label="{label}{more}"]'
+            continue
+        if edge is not None:
+            path.append((edge["byte"], []))
+            todo.append((edge, None))
+            whole = _last_character(path)
+            character = bytes(b for b, _ in whole).decode("utf-8", "replace")
+            for i, (_, names) in enumerate(whole):
+                names.append(f"{character}[{i + 1}]")
+        if at not in drawn:
+            drawn.add(at)
+            node = nodes[at]
+            more = f"/{node['final_output']}" if node["final_output"] > 0 else ""
+            yield f'\t\t{at}[label="{at}{more}"{",peripheries=2" if node["is_final"] else ""}]'
+            todo += [(e, e["dst"]) for e in reversed(out.get(at, []))]
     yield "}"
+
+
+def dot_table(g: Graph) -> DataFrame:
+    """line: the drawing's lines for nodes and for edges of ASCII bytes, in no order; for graphs of any size."""
+    more = lambda c: F.when(F.col(c) > 0, F.concat(F.lit("/"), F.col(c).cast("string"))).otherwise("")
+    number = lambda c: F.col(c).cast("string")
+    rings = F.when(F.col("is_final"), F.lit(",peripheries=2")).otherwise(F.lit(""))
+    nodes = g.nodes.select(F.concat(F.lit("\t\t"), number("node_id"), F.lit('[label="'), number("node_id"), more("final_output"), F.lit('"'), rings, F.lit("]")).alias("line"))
+    label = F.regexp_replace(F.char("byte"), r'(["\\])', r"\\$1")
+    edges = g.edges.where("byte < 128").select(F.concat(F.lit("\t\t"), number("src"), F.lit(" -> "), number("dst"), F.lit(' [label="'), label, more("output"), F.lit('"]')).alias("line"))
+    return nodes.union(edges)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dictspark.functions.strings import trimmed
 from dictspark.sources.text import read_lines
+from dictspark.storage import stored
 
 
 def sort_lines(lines: DataFrame, keep_empty: bool = True, line_col: str = "line", order_col: str = "line_no") -> DataFrame:
@@ -17,45 +18,43 @@ def sort_lines(lines: DataFrame, keep_empty: bool = True, line_col: str = "line"
     return rows.orderBy(key, order_col)
 
 
-def in_ranges(rows: DataFrame, sort_key: Column, ranges: int, sample: int) -> DataFrame:
-    """rows with __key, the sort key, and __range: rows of a lower range come before those of a higher one. About `sample` keys, drawn by hash,
-    give the boundaries (those of over 1,000 characters as JSON are not drawn), so any run over the same rows deals them alike."""
-    rows = rows.withColumn("__key", sort_key)
-    every = max(1, rows.count() // sample)
-    drawn = rows.where((F.pmod(F.xxhash64("__key"), F.lit(every)) == 0) & (F.length(F.to_json(F.struct("__key"))) <= 1_000))
-    drawn = drawn.groupBy().agg(F.array_sort(F.collect_list("__key")).alias("s"))
-    cuts = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / ranges).cast("int")))
-    bounds = F.broadcast(drawn.select(F.filter(F.array_distinct(cuts), lambda x: x.isNotNull()).alias("__bounds")))  # one row of at most `ranges` keys
-    return rows.join(bounds, how="cross").withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= F.col("__key")))).drop("__bounds")
-
-
-def place_lines(lines: DataFrame, keep_empty: bool = True, line_col: str = "line", order_col: str = "line_no", ranges: int = 64, sample: int = 4_096) -> DataFrame:
-    """lines with place (from 1), their place in the sorted file, without ordering everything in one task: rows are numbered within ranges, and
-    each range begins after those before it. One number per range goes to the driver."""
-    key = trimmed(F.col(line_col))
-    rows = lines if keep_empty else lines.where(key != "")
-    ranged = in_ranges(rows, F.struct(key.alias("k"), F.col(order_col).alias("o")), ranges, sample)
-    sizes = dict(ranged.groupBy("__range").count().collect())
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with place (from 1), their place in the given order, as a stored table: dealt into ranges by one shuffle, sorted and numbered within
+    each. One number per range goes to the driver."""
+    spark = rows.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    own = stored(dealt.withColumn("__at", F.monotonically_increasing_id()), "ranked")  # the range in its upper bits, the place within in its lower 33
+    which, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = dict(own.groupBy(which.cast("int")).count().collect())
     before, total = [], 0
-    for r in range(ranges + 1):
+    for r in range(ranges):
         before.append(total)
         total += sizes.get(r, 0)
-    within = F.row_number().over(Window.partitionBy("__range").orderBy("__key"))
-    return ranged.withColumn("place", within + F.get(F.lit(before), F.col("__range"))).drop("__range", "__key")
+    return own.withColumn("place", within + 1 + F.get(F.lit(before), which.cast("int"))).drop("__at")
+
+
+def place_lines(lines: DataFrame, keep_empty: bool = True, line_col: str = "line", order_col: str = "line_no") -> DataFrame:
+    """lines with place (from 1), their place in the sorted file, without ordering everything in one task."""
+    key = trimmed(F.col(line_col))
+    return ranked(lines if keep_empty else lines.where(key != ""), key, F.col(order_col))
 
 
-def greatest_before(rows: DataFrame, value: str, sort_key: Column, ranges: int = 64, sample: int = 4_096) -> DataFrame:
-    """rows with greatest: the greatest value of the rows before in the order of sort_key, null for the first. One value per range goes to
-    the driver."""
-    ranged = in_ranges(rows, sort_key, ranges, sample)
+def greatest_before(rows: DataFrame, value: str, sort_key: Column) -> DataFrame:
+    """rows with greatest: the greatest value of the rows before in the order of sort_key, null for the first. Rows are taken in ranges of that
+    order; one value per range goes to the driver."""
+    every = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = ranked(rows, sort_key)
+    total = placed.count()
+    ranged = placed.withColumn("__range", F.floor((F.col("place") - 1) * every / F.lit(max(1, total))).cast("int"))
     top = dict(ranged.groupBy("__range").agg(F.max(value)).collect())
     before, most = [], None
-    for r in range(ranges + 1):
+    for r in range(every):
         before.append(most)
         most = max((x for x in (most, top.get(r)) if x is not None), key=lambda x: x.encode(), default=None)
-    within = F.max(value).over(Window.partitionBy("__range").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.max(value).over(Window.partitionBy("__range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     earlier = F.get(F.array(*[F.lit(x).cast("string") for x in before]), F.col("__range"))
-    return ranged.withColumn("greatest", F.greatest(within, earlier)).drop("__range", "__key")
+    return ranged.withColumn("greatest", F.greatest(within, earlier)).drop("__range", "place")
 
 
 def sort_file(spark: SparkSession, path: str, out: str, keep_empty: bool = True) -> None:

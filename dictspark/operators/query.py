@@ -66,3 +66,9 @@ def fuzzy(d: Dictionary, text: str, distance: int, same_prefix: int = 0, damerau
 
 def hit_count(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("hits"))
+
+
+def result_lines(rows: DataFrame) -> DataFrame:
+    """line: a result as it is reported, [key]->[value], or [key] where there are no values."""
+    key = F.concat(F.lit("["), F.col("key"), F.lit("]"))
+    return rows.select((F.concat(key, F.lit("->["), F.col("value").cast("string"), F.lit("]")) if "value" in rows.columns else key).alias("line"))

@@ -34,3 +34,8 @@ def line_report(lines: DataFrame, line_col: str = "line") -> DataFrame:
     line, n = F.col(line_col), F.size(split_fields(F.col(line_col), ","))
     count = lambda c: F.count_if(c)
     return lines.agg(F.count("*").alias("n_lines"), count(line == "").alias("n_empty"), count((line != "") & (n < 2)).alias("n_short"), count((line != "") & (n >= 2)).alias("n_map"), count(line != "").alias("n_set"))
+
+
+def line_count(spark: SparkSession, path: str) -> DataFrame:
+    """One row: n_lines of the text files in path."""
+    return spark.read.option("lineSep", "\n").text(path).agg(F.count("*").alias("n_lines"))

@@ -5,13 +5,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from dictspark.cli import main
+from dictspark.functions import misc
 from dictspark.functions.strings import characters, is_ascii, parse_uint64, split_fields, trimmed, utf8_lengths
 from dictspark.operators.batch import fuzzy_join, lookup, members, strangers
 from dictspark.operators.dictionary import Dictionary, build_set, map_from_lines, refused, set_from_lines
-from dictspark.operators.graph import dot_lines, graph_stats, transducer
+from dictspark.operators import graph
+from dictspark.operators.graph import dot_lines, dot_table, graph_stats, path_sums, transducer
 from dictspark.operators.linesort import place_lines, sort_lines
-from dictspark.operators.query import scan
-from dictspark.sources.text import line_report, read_lines
+from dictspark.operators.query import result_lines, scan
+from dictspark.sources.text import line_count, line_report, read_lines
+from dictspark.storage import exists, make_folder, remove, shared_folder
 from dictspark.streaming.enrich import enriched
 
 SAMPLE = [("", 10000), ("中国", 100), ("中国人", 50), ("中国人民", 40), ("中国心", 10), ("北七", 3), ("北七家", 10), ("北京", 5), ("北平", 2)]
@@ -95,7 +98,7 @@ def test_sort_is_stable(spark):
     texts = ["".join(rng.choice("ab \t中") for _ in range(rng.randint(0, 4))) for _ in range(500)]
     for keep in (True, False):
         assert [r["line"] for r in sort_lines(lines(spark, *texts), keep).collect()] == model_of_sort(texts, keep)
-        placed = sorted((r["place"], r["line"]) for r in place_lines(lines(spark, *texts), keep, ranges=7, sample=50).collect())
+        placed = sorted((r["place"], r["line"]) for r in place_lines(lines(spark, *texts), keep, line_col="line").collect())
         assert placed == list(enumerate(model_of_sort(texts, keep), 1))
 
 
@@ -157,20 +160,94 @@ def test_graph(spark, seed):
         assert (lambda s: (s["n_nodes"], s["n_edges"]))(graph_stats(transducer(d)).first()) == (26, 29)
 
 
-def test_dot(spark, tmp_path):
-    d = Dictionary(spark.createDataFrame(SAMPLE, "key string, value long"))
-    text = list(dot_lines(d))
-    assert text[0] == "digraph fst {" and text[-1] == "}"
+def model_dot(items):
+    """The drawing by its definition, walked by plain recursion over the model's nodes and edges."""
+    nodes, edges = model_graph(items)
+    nodes, out, drawn = {i: (final, more) for i, final, more in nodes}, ["digraph fst {", '\t\tlabelloc="l";', '\t\tlabeljust="l";', '\t\trankdir="UD";', ""], set()
+
+    def name(path):
+        """Adds the character that the last bytes of the path end, if any, to each of its bytes."""
+        for size in range(2, 5):
+            tail = path[-size:]
+            try:
+                c = bytes(b for b, _ in tail).decode()
+            except UnicodeDecodeError:
+                continue
+            if len(tail) == size and len(c) == 1:
+                for i, (_, seen) in enumerate(tail):
+                    seen.append(f"{c}[{i + 1}]")
+
+    def walk(n, path):
+        name(path)
+        if n in drawn:
+            return
+        drawn.add(n)
+        final, more = nodes[n]
+        out.append(f'\t\t{n}[label="{n}' + (f"/{more}" if more > 0 else "") + '"' + (",peripheries=2" if final else "") + "]")
+        for src, dst, byte, more in sorted((e for e in edges if e[0] == n), key=lambda e: e[2]):
+            path.append((byte, []))
+            walk(dst, path)
+            _, seen = path.pop()
+            label = chr(byte).replace("\\", "\\\\").replace('"', '\\"') if byte < 128 else f"0x{byte:x}[{','.join(seen)}]"
+            out.append(f'\t\t{src} -> {dst} [label="{label}' + (f"/{more}" if more > 0 else "") + '"]')
+
+    walk(0, [])
+    return [*out, "}"]
+
+
+def test_dot(spark):
+    for items in (SAMPLE, [("ab", 3), ("b", 1)], [('a"b', 1), ("a\\", 2), ("é", 0), ("éa", 7), ("ê", 7)]):
+        assert list(dot_lines(Dictionary(spark.createDataFrame(items, "key string, value long")))) == model_dot(items)
+    text = model_dot(SAMPLE)
     assert sum("->" in t for t in text) == 29 and sum("->" not in t and "[label" in t for t in text) == 26
-    assert any('0xe4[中[1]]' in t for t in text) or any("0xe4[" in t and "中[1]" in t for t in text)
+    assert text[5] == '\t\t0[label="0/10000",peripheries=2]' and any("京[1],七[1]" in t or "七[1],京[1]" in t for t in text)
     small = list(dot_lines(Dictionary(spark.createDataFrame([("ab", 3), ("b", 1)], "key string, value long"))))
-    assert small[4:] == ['    0[label="0"]', '    1[label="1"]', '    2[label="2",peripheries=2]', '    1->2[label="b"]', '    0->1[label="a/3"]', '    0->2[label="b/1"]', "}"]
+    assert small[5:] == ['\t\t0[label="0"]', '\t\t1[label="1"]', '\t\t2[label="2",peripheries=2]', '\t\t1 -> 2 [label="b"]', '\t\t0 -> 1 [label="a/3"]', '\t\t0 -> 2 [label="b/1"]', "}"]
+    assert list(dot_lines(Dictionary(spark.createDataFrame([], "key string, value long")))) == [*small[:5], "}"]
+
+
+def test_dot_as_a_table(spark, monkeypatch):
+    items = [('a"b', 1), ("a\\", 2), ("b", 5)]
+    d = Dictionary(spark.createDataFrame(items, "key string, value long"))
+    assert sorted(r["line"] for r in dot_table(transducer(d)).collect()) == sorted(model_dot(items)[5:-1])
+    monkeypatch.setattr(graph, "DRAWN", 2)
+    with pytest.raises(ValueError):
+        list(dot_lines(d))
+
+
+def test_path_sums_give_the_values_back(spark):
+    d = Dictionary(spark.createDataFrame(SAMPLE, "key string, value long"))
+    keys = spark.createDataFrame([(k,) for k, _ in SAMPLE] + [("中",), ("北京x",), ("x",)], "key string")
+    assert {r["key"]: int(r["value"]) for r in path_sums(transducer(d), keys).collect()} == dict(SAMPLE)
+    assert path_sums(transducer(d), keys.limit(0)).collect() == []
+
+
+def test_storage(spark):
+    at = f"{shared_folder(spark)}/some/folder"
+    assert not exists(spark, at) and make_folder(spark, at) and exists(spark, at)
+    spark.createDataFrame([("a\r",), ("",)], "line string").coalesce(1).write.text(f"{at}/lines")
+    assert line_count(spark, f"{at}/lines").first()[0] == 2
+    assert remove(spark, at) and not exists(spark, at) and not remove(spark, at)
+
+
+def test_misc(spark):
+    row = spark.sql("SELECT timestamp'2024-03-09 01:02:03' AS t, 'a' AS a, 'b' AS b, X'C3A9' AS good, X'C3' AS bad").select(
+        misc.readable_time(F.col("t")), misc.valid_utf8(F.col("good")), misc.valid_utf8(F.col("bad")), F.length(misc.random_text(12, 5)),
+        misc.combined_hash(F.col("a"), F.col("b")) == misc.combined_hash(F.col("b"), F.col("a")), misc.key_hash(F.col("a")) == misc.key_hash(F.lit("a")),
+    ).first()
+    assert list(row) == ["20240309010203", True, False, 12, False, True]
+
+
+def test_result_lines(spark):
+    d = Dictionary(spark.createDataFrame([("a", 3)], "key string, value long"))
+    assert [r[0] for r in result_lines(d.df).collect()] == ["[a]->[3]"] and [r[0] for r in result_lines(d.df.select("key")).collect()] == ["[a]"]
 
 
 def test_cli(spark, tmp_path, capsys):
     (tmp_path / "in").write_text("b,2\na,1\nc,3\n")
     at = str(tmp_path / "d")
-    assert main(["map", "-f", str(tmp_path / "in"), "-o", at], spark) == 0
+    assert main(["map", "-f", str(tmp_path / "in"), "-o", at, "-c", "10", "-w", "/tmp", "-t", "2", "-l", "3", "-p", "2"], spark) == 0
+    assert main(["sort", "-f", str(tmp_path / "in"), "-o", str(tmp_path / "s"), "-w", "/tmp", "-t", "2", "-s", "3", "-p", "2"], spark) == 0
     assert main(["match", "-f", at, "-q", "b"], spark) == 0 and capsys.readouterr().out == "[b]->[2]\n"
     assert main(["match", "-f", at, "-q", "x"], spark) == 1
     assert main(["range", "-f", at, "-a", "b"], spark) == 0 and capsys.readouterr().out == "[b]->[2]\n[c]->[3]\n"

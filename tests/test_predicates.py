@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dictspark.functions.distance import osa_distance
+from dictspark.operators.compat import compat
 from dictspark.operators.dictionary import Dictionary
 from dictspark.operators.predicate import Always, And, GreaterThan, LessThan, Lev, Not, Or, Osa, Prefix, StartsWith, Str, Where
 from dictspark.operators.query import Bounds, filtered, fuzzy, match, prefix, range_, scan
@@ -120,3 +121,28 @@ def test_pushdown(spark, tmp_path):
     with pytest.raises(ValueError):
         spark.createDataFrame([(1,)], "x int").write.parquet(str(tmp_path / "x"))
         Dictionary.load(spark, str(tmp_path / "x"))
+
+
+# Words within two edits of "hair", and words that are so only where swapped neighbours are one edit.
+HAIR = """ai aid ail aim air airs airy ais ait bail bairn bar bhai cairn car carr chai chain chair chairs char choir coir dai dairy ear emir fail fair fairs
+fairy far fir flair gar glair ha haar haars hack had haft hag hah haik hail hails hair hairdo haired hairs hairy haj hajis hake hale half hall halo halt ham hand hank hap
+haps hard hare hark harm harp hart has hash hat hate haul have haw hawk hay hazy hear heir heirs her hi hid him hin hip hire his hit hoar hoer hoor hour hui jar kail lair laird
+lar maar maid main mar mohair nadir noir oar paid pain pair pairs par rai raid rain said sail sir stair stir tail tapir tar their vair wait war weir whir zaire""".split()
+SWAPPED = "ahi ahis lari liar sari zari".split()
+
+
+def test_words_near_hair(spark):
+    others = "house hairdresser a hhaaiirr chairman the".split()
+    keys = spark.createDataFrame([(w,) for w in HAIR + SWAPPED + others], "key string")
+    held = lambda p: {r[0] for r in keys.where(p.column(F.col("key"))).collect()}
+    assert held(Lev("hair", 2)) == set(HAIR)
+    assert held(Osa("hair", 2)) - held(Lev("hair", 2)) == set(SWAPPED)
+
+
+def test_compat(spark):
+    keys = spark.createDataFrame([(w,) for w in ("", "a", "ab", "é")], "key string")
+    held = lambda p: {r[0] for r in keys.where(compat(p).column(F.col("key"))).collect()}
+    assert held(Str("")) == held(Prefix("")) == set() and held(~Str("")) == {"", "a", "ab", "é"}
+    assert held(GreaterThan("", True)) == held(GreaterThan("")) == {"a", "ab", "é"} and held(LessThan("", True)) == held(LessThan("")) == {""}
+    assert held(Lev("", 0)) == held(Osa("", 0)) == {"a", "é"} and held(Lev("", 1) & Prefix("a")) == {"a", "ab"}
+    assert held(Prefix("a")) == {"a", "ab"} and held(StartsWith(Str(""))) == set()
