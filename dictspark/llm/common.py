@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dictspark.storage import discard, shared_folder, stored
+
+__all__ = ["discard", "shared_folder", "stored"]  # for the operators
+
 #: Bytes of an Arrow batch that goes to a worker (Spark's own limit is 64 MB, of which a worker and its executor hold several at a time).
 BATCH = 16 << 20
 #: Prefix of the columns that operators add for their own use; callers' columns don't start so.
@@ -34,41 +34,6 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(ALNUM).split() if text else []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, a local session (tests) gets one of its own until the process ends; a cluster,
-    whose machines would each write to a disk of their own, an error."""
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if sc.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="dictspark-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-    sc.setCheckpointDir(where)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that stored() made. Only for those that nothing yet to run reads: what was stored after them is complete by itself."""
-    for t in tables:
-        context = t.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(t._stored_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Up to so many keys (16 bytes each) are sent to the scan to find the rows that have them; for more, the rows are shuffled.
 FEW = 1 << 20
 

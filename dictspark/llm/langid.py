@@ -1,14 +1,16 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built from a bounded sample of labelled text. A text is parsed greedily against each automaton:
-a phrase runs as long as the automaton can follow (the longest match), then the next phrase begins. The number of phrases, normalised
-by the size of the training sample as in the entropy estimate phrases * log2(sample) / length, is least for the language whose text
-the automaton knows best.
+a phrase runs as long as the automaton can follow (the longest match, one character at least), then the next phrase begins. The number of
+phrases, normalised by the size of the training sample as in the entropy estimate phrases * log2(sample) / length, is least for the
+language whose text the automaton knows best.
 
 The alphabet is all letters of the samples, with one class for letters that no sample has and one for all that is no letter. An
 automaton's edges are a sorted array, searched by (state, letter); the most frequent letters have a dense table (state x class) besides, as
 wide as DENSE_BYTES allow for all languages, which changes the speed only. Many texts are parsed at once: a step moves all of a batch's
-texts by one character. Long texts are cut every SEGMENT characters into segments that are parsed on their own and added up; whole texts count.
+texts by one character. Long texts are cut into segments of SEGMENT characters, parsed side by side as if a phrase began with each; then
+each segment is parsed again from the state in which the one before it ends, up to the first place where both parses begin a phrase. So
+the cuts show nowhere: the phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -36,19 +38,17 @@ def has_letter(text: str) -> bool:
     return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int = 48, chars_per_doc: int = 1_000, max_langs: int = 400) -> dict[str, list[str]]:
-    """The labelled sample, bounded by its parameters: of each language docs_per_lang documents (smallest hashes of their ids and texts), of
-    each its first chars_per_doc characters; of more than max_langs labels, the most frequent are learned. Only documents with text, a
-    label and crc32(id as text) mod 3 <> 1. The ranking is cut to docs_per_lang rows in each task before the shuffle."""
-    labels = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(lang_col).alias("lang")).count()
-    most = [r["lang"] for r in labels.orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    if not most:
-        return {}
-    able = docs.where(F.col(lang_col).isin(most)).where(F.col(text_col).isNotNull() & (F.col(text_col) != "") & ~held_out(F.col(id_col)))
-    able = able.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.substring(F.col(text_col), 1, chars_per_doc).alias("text"))
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pieces_per_lang: int = 192, piece_chars: int = 256) -> dict[str, list[str]]:
+    """The labelled sample, bounded by its parameters for each label: the labelled texts are cut, whole, into pieces of piece_chars characters, and
+    of each label the pieces_per_lang pieces with the smallest MD5 are taken, so each piece has the same chance wherever it stands. Only
+    documents with text, a label and crc32(id as text) mod 3 <> 1. The ranking is cut to pieces_per_lang rows in each task before the
+    shuffle. Every label is learned; a worker holds about 1 MB of edges for each."""
+    able = docs.where(F.col(lang_col).isNotNull() & (F.col(text_col) != "") & ~held_out(F.col(id_col)))
+    piece = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"((?s:.){{1,{piece_chars}}})")))
+    able = able.select(F.col(lang_col).alias("lang"), piece.alias("text")).withColumn("h", F.md5("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     out: dict[str, list[str]] = {}
-    for lang, text in able.withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).orderBy("lang", "rank").select("lang", "text").collect():
+    for lang, text in able.withColumn("rank", rank).where(F.col("rank") <= pieces_per_lang).orderBy("lang", "rank").select("lang", "text").collect():
         out.setdefault(lang, []).append(text)
     return out
 
@@ -124,12 +124,12 @@ def suffix_automaton(s: list[int], classes: int) -> Automaton:
 
 def phrases_of(s: list[int], step: Automaton) -> int:
     """Greedy phrases of s: the plain form of what Model.phrases does for many texts at once."""
-    n, state = 0, 0
+    n, state = 0, -1
     for c in s:
         state = step[state, c] if state >= 0 else -1
         if state < 0:
             n, state = n + 1, step[0, c]
-    return n + bool(s and state >= 0)
+    return n
 
 
 class Model:
@@ -168,22 +168,61 @@ class Model:
             t, i = cuts[o]
             part = texts[t][i : i + SEGMENT]
             grid[: len(part), k] = part
-        owner = np.array([t for t, _ in cuts], np.int64)[order]
-        alive = np.searchsorted(-sizes[order], -np.arange(SEGMENT), "left")  # segments longer than the step
+        owner, size = np.array([t for t, _ in cuts], np.int64)[order], sizes[order]
+        place = np.empty(len(cuts), np.int64)
+        place[order] = np.arange(len(cuts))
+        first = np.array([i == 0 for _, i in cuts], bool)
+        after = np.full(len(cuts), -1, np.int64)  # the next segment of the same text
+        later = np.flatnonzero(~first)
+        after[place[later - 1]] = place[later]
         for j, step in enumerate(self.steps):
-            root = step.follow(np.zeros(self.classes, np.int64), np.arange(self.classes))
-            state, n = np.zeros(len(cuts), np.int64), np.zeros(len(cuts), np.int64)
+            np.add.at(counts[:, j], owner, self._parsed(step, grid, size, after))
+        return counts
+
+    def _parsed(self, step: Automaton, grid: np.ndarray, size: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each segment (a column of grid, of the given sizes, longest first)."""
+        root = step.follow(np.zeros(self.classes, np.int64), np.arange(self.classes))
+        alive = np.searchsorted(-size, -np.arange(SEGMENT), "left")  # segments longer than the step
+        state, begun = np.full(len(size), -1, np.int64), np.zeros(grid.shape, bool)
+
+        def moved(state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            to = step.follow(np.maximum(state, 0), c)
+            lost = (to < 0) | (state < 0)
+            to[lost] = root[c[lost]]
+            return to, lost
+
+        for s in range(SEGMENT):
+            if not (m := int(alive[s])):
+                break
+            state[:m], begun[s, :m] = moved(state[:m], grid[s, :m])
+        n, free = begun.sum(0), state  # of the parse in which a phrase begins with each segment
+        total, end = n.copy(), free.copy()
+        todo = np.flatnonzero(after >= 0)  # what comes before a segment, whose end may change
+        while len(todo):
+            own, state, seen = after[todo], end[todo], np.zeros(len(todo), np.int64)
+            last, live, alike = end[own].copy(), np.arange(len(todo)), np.zeros(len(todo), np.int64)
             for s in range(SEGMENT):
-                if not (m := int(alive[s])):
+                if len(done := live[size[own[live]] <= s]):  # ended without meeting
+                    last[done] = state[done]
+                    total[own[done]] = seen[done]
+                    live = live[size[own[live]] > s]
+                if not len(live):
                     break
-                c = grid[s, :m]
-                to = step.follow(np.maximum(state[:m], 0), c)
-                lost = np.flatnonzero((to < 0) | (state[:m] < 0))
-                n[lost] += 1
-                to[lost] = root[c[lost]]
-                state[:m] = to
-            np.add.at(counts[:, j], owner, n + (state >= 0))
-        return counts
+                state[live], lost = moved(state[live], grid[s, own[live]])
+                seen[live] += lost
+                alike[live] += begun[s, own[live]]
+                met = lost & begun[s, own[live]]
+                if met.any():  # from here on, both parses are one
+                    total[own[live[met]]] = seen[live[met]] + n[own[live[met]]] - alike[live[met]]
+                    last[live[met]] = free[own[live[met]]]
+                    live = live[~met]
+            else:
+                last[live] = state[live]
+                total[own[live]] = seen[live]
+            changed = last != end[own]
+            end[own] = last
+            todo = own[changed & (after[own] >= 0)]
+        return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
         """lang, score (how much fewer normalised phrases than the second best language, 0 to 1) and bits per character."""
@@ -244,9 +283,21 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return with_language(rows, samples).select("doc_id", "held_out", F.col(f"{OWN}lang").alias("lang_pred"), F.col(f"{OWN}score").alias("score"), F.col(f"{OWN}bits").alias("bits_per_char"))
 
 
+#: Bits a character that 64 equally likely symbols take: text that costs more against every language is in none of them.
+REJECT_BITS = 6.0
+#: Characters that cost nothing in this: a phrase or two of a very short text say little.
+REJECT_FREE = 16
+
+
 def keep_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language is found, with their own columns; those that come out as `und` go. If nothing was learned, as no
-    label is usable, the documents with a letter stay."""
+    """The documents whose language is found, with their own columns; those without a label get the language found in lang_col. Documents
+    without a letter go, and so do those that the parse rejects: their phrases against the best language cost over REJECT_BITS a
+    character, REJECT_FREE characters aside. If nothing was learned, as no label is usable, all documents with a letter stay as they are."""
     samples = training_sample(docs, id_col, text_col, lang_col)
-    found = with_language(docs, samples if samples else {"": [""]}, text_col)
-    return found.where(F.col(f"{OWN}lang") != UNKNOWN).select(*docs.columns)
+    found = with_language(docs, samples if samples else {"": [""]}, text_col).where(F.col(f"{OWN}lang") != UNKNOWN)
+    if not samples:
+        return found.select(*docs.columns)
+    size = F.length(text_col)
+    found = found.where(F.col(f"{OWN}bits") * size <= REJECT_BITS * (size + REJECT_FREE))
+    filled = F.coalesce(F.col(lang_col), F.col(f"{OWN}lang").cast(docs.schema[lang_col].dataType))
+    return found.select(*[filled.alias(c) if c == lang_col else F.col(c) for c in docs.columns])

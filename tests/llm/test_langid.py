@@ -1,6 +1,8 @@
 import zlib
+from functools import partial
 
 import numpy as np
+import pytest
 
 from dictspark.llm import langid
 from tests.llm.helpers import clashing, docs, rng
@@ -31,12 +33,17 @@ def test_automaton_spells_substrings():
             assert (state >= 0) == (tuple(q) in inside)
 
 
-def test_batched_parsing_is_the_plain_one():
+@pytest.mark.parametrize("segment", [langid.SEGMENT, 7])
+def test_batched_parsing_is_the_plain_one(monkeypatch, segment):
+    """The cuts of long texts show nowhere, also where matches run over several of them."""
+    monkeypatch.setattr(langid, "SEGMENT", segment)
     r = rng(4)
     model = langid.Model({k: [text(r, k, 40)] for k in SYLLABLES})
-    texts = [text(r, r.choice(sorted(SYLLABLES)), r.randint(1, 400)) for _ in range(25)] + ["x", "!!", "é"]
+    texts = [text(r, r.choice(sorted(SYLLABLES)), r.randint(1, 400)) for _ in range(25)] + ["x", "!!", "é", "é" * 30, "éka" * 9]
+    own = text(rng(4), "aa", 40)
+    texts += [own, own[3:] + own, "é" + own * 3]
     coded = [model.coded(t) for t in texts]
-    plain = [[sum(langid.phrases_of(c[i : i + langid.SEGMENT].tolist(), s) for i in range(0, len(c), langid.SEGMENT)) for s in model.steps] for c in coded]
+    plain = [[langid.phrases_of(c.tolist(), s) for s in model.steps] for c in coded]
     assert np.array_equal(model.phrases(coded), np.array(plain))
 
 
@@ -66,6 +73,59 @@ def test_held_out_accuracy(spark):
     assert all(0 <= x["score"] <= 1 for x in rows)
 
 
+def plain_identify(given, pieces=192, size=256):
+    """(doc_id, held_out, lang, score, bits) by the definitions: pieces by MD5, greedy longest matches in the plain strings."""
+    import hashlib
+    from math import log2
+
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1
+    cuts = {}
+    for i, t, lang in given:
+        if lang is not None and t and not held(i):
+            cuts.setdefault(lang, []).extend((hashlib.md5(t[k : k + size].encode()).hexdigest(), t[k : k + size]) for k in range(0, len(t), size))
+    plain = lambda t: "".join(c if c.isalpha() else " " for c in t.lower())
+    samples = {k: plain("\n".join(x for _, x in sorted(v)[:pieces])) for k, v in cuts.items()}
+    out = []
+    for i, t, _ in given:
+        if not t or not any(c.isalpha() for c in t) or not samples:
+            out.append((i, held(i), "und", 0.0, None))
+            continue
+        s, rates = plain(t), []
+        for lang in sorted(samples):
+            n, at = 0, 0
+            while at < len(s):
+                end = at + 1
+                while end < len(s) and s[at : end + 1] in samples[lang]:
+                    end += 1
+                n, at = n + 1, end
+            rates.append((n * log2(max(2, len(samples[lang]))) / len(s), lang))
+        low, second = min(rates), sorted(x for x, _ in rates)[1:2]
+        out.append((i, held(i), low[1], min(max(1 - low[0] / second[0], 0), 1) if second else 1.0, low[0]))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("pieces", [192, 3])
+def test_identify_against_the_plain_form(spark, monkeypatch, pieces):
+    r = rng(12)
+    d, _ = labelled(spark, r, 60)
+    given = [(x["doc_id"], x["text"], x["lang"]) for x in d.collect()]
+    given += [(500, None, "aa"), (501, "1 2", "bb"), (502, "ÀÉ漢 nho lhe", None), (None, "Ka Mo\nri.", "aa"), (503, text(r, "cc", 900), "cc"), (503, text(r, "cc", 9), "cc"), (504, "ein", "bb"), (504, "ein", "bb")]
+    table = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in given], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(langid, "training_sample", partial(langid.training_sample, pieces_per_lang=pieces))
+    got = sorted((tuple(x) for x in langid.identify(table.repartition(3)).collect()), key=repr)
+    want = plain_identify(given, pieces)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(a[4] == b[4] and abs(a[3] - b[3]) < 1e-12 for a, b in zip(got, want, strict=True))
+
+
+def test_texts_in_no_learned_language_go_and_labels_are_filled(spark):
+    r = rng(13)
+    d, langs = labelled(spark, r, 90)
+    odd = docs(spark, [(900, "漢字" * 60), (901, "".join(r.choice("qwxzjkpyvfb") for _ in range(400))), (902, "漢字"), (903, text(r, "bb", 30)), (904, "x")], lang=lambda i: None)
+    got = {x["doc_id"]: x["lang"] for x in langid.keep_languages(d.union(odd)).collect()}
+    assert set(got) == {*range(90), 902, 903, 904} and got[903] == "bb" and all(got[i] == langs[i] for i in range(90)) and got[904] is not None
+
+
 def test_the_held_out_labels_are_not_seen(spark):
     r = rng(7)
     d, langs = labelled(spark, r, 120)
