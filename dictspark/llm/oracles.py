@@ -85,8 +85,9 @@ out AS (
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(kept, d.text) AS text FROM documents d LEFT JOIN out USING (doc_id)"""
 
 
-def licenses(templates: list[tuple[str, str]], phrases: dict[str, str], threshold: float, block: int) -> str:
-    """The scan for the given templates and phrases, without the join's filters: every block against every template."""
+def licenses(templates: list[tuple[str, str]], phrases: dict[str, str], threshold: float) -> str:
+    """The scan for the given templates and phrases, without the join's filters: every window against every template. (Only documents that have
+    enough of a template's words at all are cut into windows.)"""
     from math import ceil
 
     from dictspark.llm.common import alnum_words
@@ -94,22 +95,24 @@ def licenses(templates: list[tuple[str, str]], phrases: dict[str, str], threshol
     def listed(words: list[bytes]) -> str:
         return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
 
-    sets = [(label, sorted(set(alnum_words(text)))) for label, text in templates]
-    t = ", ".join(f"('{label}', {listed(s)}, {ceil(threshold * len(s) - 1e-9)})" for label, s in sets)
+    sets = [(label, sorted(set(words)), ceil(len(words) / threshold - 1e-9)) for label, text in templates if (words := alnum_words(text))]
+    t = ",\n".join(f"('{label}', {listed(s)}, {ceil(threshold * len(s) - 1e-9)}, {window})" for label, s, window in sets)
     p = ", ".join(f"('{label}', {listed(alnum_words(phrase))})" for phrase, label in phrases.items())
-    half = block // 2
-    line = _LOWER.replace("text", "line")
-    return f"""WITH t(label, s, need) AS (VALUES {t}), p(label, s) AS (VALUES {p}),
+    return f"""WITH t(label, s, need, size) AS (VALUES {t}),
+p(label, s) AS (VALUES {p}),
 d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, {_WORDS}), []) AS w FROM documents),
 place AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, label, s, unnest(range(1, len(w) - len(s) + 2)) AS i FROM d, p) WHERE w[i:i + len(s) - 1] = s),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word FROM place GROUP BY doc_id),
-l AS (SELECT doc_id, coalesce(regexp_extract_all({line}, {_WORDS}), []) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
-b AS (SELECT doc_id, list_distinct(w[i + 1:i + {block}]) AS b FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) > {block} THEN range(0, len(w) - {half}, {half}) ELSE [0] END) AS i FROM l)),
-hit AS (SELECT doc_id, label, len(list_intersect(b, s)) / len(s) AS share FROM b, t WHERE len(list_intersect(b, s)) >= need),
+able AS (SELECT doc_id, w, label, s, need, size FROM d, t WHERE len(list_intersect(list_distinct(w), s)) >= need),
+b AS (SELECT doc_id, label, s, need, list_distinct(w[i:i + size - 1]) AS b FROM (SELECT *, unnest(range(1, greatest(1, len(w) - size + 1) + 1)) AS i FROM able)),
+hit AS (SELECT doc_id, label, len(list_intersect(b, s)) / len(s) AS share FROM b WHERE len(list_intersect(b, s)) >= need),
 best AS (SELECT doc_id, max(share) AS share FROM hit GROUP BY doc_id),
 own AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY doc_id),
-every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM hit) GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(own.labels, '') AS base_labels, coalesce(every.labels, '') AS labels, CASE WHEN n_base IS NOT NULL THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+every AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(own.labels, '') AS base_labels,
+coalesce(every.labels, '') AS labels, CASE WHEN n_base IS NOT NULL THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN every USING (doc_id)"""
 
 

@@ -76,5 +76,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """None for language ID, whose suffix automata are beyond SQL."""
-    scan = oracles.licenses(license.TEMPLATES, license.PHRASES, license.THRESHOLD, license.BLOCK)
-    return {"op1_warc": oracles.WARC, "op2_near_duplicates": oracles.NEAR, "op3_license": scan, "op5_sharding": oracles.SHARDS, "op6_line_dedup": oracles.LINES, "op7_packing": oracles.packing(16, 65_536, packing.CELL_ROWS), "op8_topk": oracles.TOP, "op9_chat": oracles.chats(chat.MOVES, chat.CLOSE, chat.ROLES, chat.ALIASES, chat.PART_TURNS, chat.INSERT), "op10_decontamination": oracles.CONTAMINATION}
+    scan = oracles.licenses(license.TEMPLATES, license.PHRASES, license.THRESHOLD)
+    packed = oracles.packing(16, 65_536, packing.CELL_ROWS)
+    repaired = oracles.chats(chat.MOVES, chat.CLOSE, chat.ROLES, chat.ALIASES, chat.PART_TURNS, chat.INSERT)
+    return {
+        "op1_warc": oracles.WARC,
+        "op2_near_duplicates": oracles.NEAR,
+        "op3_license": scan,
+        "op5_sharding": oracles.SHARDS,
+        "op6_line_dedup": oracles.LINES,
+        "op7_packing": packed,
+        "op8_topk": oracles.TOP,
+        "op9_chat": repaired,
+        "op10_decontamination": oracles.CONTAMINATION,
+    }
