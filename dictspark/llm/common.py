@@ -34,12 +34,12 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(ALNUM).split() if text else []
 
 
-#: Up to so many keys (16 bytes each) are sent to the scan to find the rows that have them; for more, the rows are shuffled.
-FEW = 1 << 20
+#: Up to so many keys (of about 100 bytes at most) are sent to the scan to find the rows that have them; for more, the rows are shuffled.
+FEW = 1 << 18
 
 
 def few_join(rows: DataFrame, keys: DataFrame, on: str | Column, how: str) -> DataFrame:
-    """Semi or anti join of rows with a stored table of keys, without a shuffle of the rows if the keys are few."""
+    """Semi, anti or left join of rows with a stored table of keys, without a shuffle of the rows if the keys are few."""
     return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, on, how)
 
 

@@ -2,26 +2,32 @@
 
 A capture is written as three records: the request, the response (or, if a later capture has the same payload, a revisit that refers to
 that one's response) and metadata. Request and metadata carry WARC-Concurrent-To, the response's record id. Reading gives one row per
-record; assembly joins the records of a capture through these ids into one nested row.
+record; assembly joins the records of a capture through these ids, whichever names which, into one nested row.
 
-Archives are written by Spark's text writer and read by its binary reader, so any store that Spark knows will do and a lost task is
-simply run again. A file holds as many captures as make about FILE_BYTES at the mean payload, RECORDS_PER_FILE at most, which bounds what a
-reading task holds: captures are dealt to files by their payloads' digests, so sizes mix.
+Archives are written by Spark's text writer, so any store that Spark knows will do and a lost task is simply run again; record ids follow
+from the rows' content, so a repeated task writes the same ones. A file holds as many captures as make about FILE_BYTES at the mean
+payload, RECORDS_PER_FILE at most, and is one gzip stream. Compressed archives are read as a stream, cut where a record may begin and
+joined again by the records' lengths: a reading task holds a record at a time, whatever the size of the archive.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dictspark.llm.common import components, discard, few_join, map_arrow, stored
+
 RECORDS_PER_FILE, FILE_BYTES = 20_000, 64 << 20
+#: Records of one capture in a nested row; what is more goes into further rows of that capture.
+PART = 1_000
+_MARK = b"WARC/"
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = "\r\n\r\n"
 
@@ -53,40 +59,53 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     The payload is the text in UTF-8 (null: empty). Of rows with equal payloads of at least least_bytes bytes, the one with the largest id
     is the response and the others revisit it; rows that share that id and payload (repeated rows) are responses all. Rows without an id
     revisit one that has an id; if none has, they are responses. Line ends within a URL become spaces, a null URL is about:blank.
-    Equal payloads are found by digest: the largest id per digest is a sum with partial results, and its join with the rows may be split
-    where one payload is very common.
+    An empty table makes an archive without records; further columns are not read.
+
+    Equal payloads are found by digest over a stored table without payloads. Only digests that recur are joined to the rows, and rows that
+    are the same in all columns are counted and written as often; payloads are shuffled only if there are many of either.
     """
     text, url = F.coalesce(F.col(text_col), F.lit("")), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("about:blank")), r"[\r\n]", " ")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("text"))).withColumn("bytes", F.octet_length("text").cast("long"))
-    mean = rows.agg(F.avg("bytes")).first()[0] or 1
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), text.alias("text"))
+    rows = rows.withColumn("digest", base32_sha1(F.col("text"))).withColumn("bytes", F.octet_length("text").cast("long")).withColumn("mark", F.xxhash64("url"))
+    key = ["id", "mark", "digest"]
+    slim = stored(rows.select(*key, "bytes"), "warc-rows")
+    mean = slim.agg(F.avg("bytes")).first()[0] or 1
     per_file = int(max(1, min(RECORDS_PER_FILE, FILE_BYTES // max(1, mean))))
-    heads = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max(F.struct("id", "row")).alias("head"))
-    rows = rows.join(heads, "digest", "left")
-    name = lambda page, row, kind: F.concat(F.lit("<urn:dictspark:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(f":{kind}>"))
-    own = F.col("head").isNull() | F.col("id").eqNullSafe(F.col("head.id"))
-    kind = F.when(own, F.lit("response")).otherwise(F.lit("revisit"))
+    own = F.struct("id", "mark")
+    heads = stored(slim.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max(own).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-heads")
+    twice = stored(slim.groupBy(*key).count().where("count > 1").select(*[F.col(c).alias(f"same_{c}") for c in key]), "warc-twice")
+    rows = rows.withColumn("copy", F.lit(1))
+    if not twice.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("same_id")) & (F.col("mark") == F.col("same_mark")) & (F.col("digest") == F.col("same_digest"))
+        counted = few_join(rows, twice, same, "left_semi").groupBy("id", "url", "text", "digest", "bytes", "mark").agg(F.count("*").alias("n"))
+        rows = few_join(rows, twice, same, "left_anti").union(counted.select("id", "url", "text", "digest", "bytes", "mark", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")))
+    rows = few_join(rows, heads, "digest", "left")
+    name = lambda page, mark, copy, kind: F.concat(F.lit("<urn:dictspark:"), F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("")), F.col("digest"), F.hex(mark), copy.cast("string")), F.lit(f":{kind}>"))
+    mine = lambda kind: name(F.col("id"), F.col("mark"), F.col("copy"), kind)
+    first = F.col("head").isNull() | F.col("id").eqNullSafe(F.col("head.id"))
+    kind = F.when(first, F.lit("response")).otherwise(F.lit("revisit"))
     uri, when = F.concat(F.lit("WARC-Target-URI: "), F.col("url")), f"WARC-Date: {date}"
-    response = name(F.col("id"), F.col("row"), "response")
-    concurrent = F.concat(F.lit("WARC-Concurrent-To: "), response)
+    concurrent = F.concat(F.lit("WARC-Concurrent-To: "), mine("response"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(_END))
     header = [
         F.concat(F.lit("WARC-Type: "), kind),
         uri,
         when,
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
-        F.when(~own, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(~own, F.concat(F.lit("WARC-Refers-To: "), name(F.col("head.id"), F.col("head.row"), "response"))),
+        F.when(~first, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+        F.when(~first, F.concat(F.lit("WARC-Refers-To: "), name(F.col("head.id"), F.col("head.mark"), F.lit(1), "response"))),
         "Content-Type: application/http; msgtype=response",
     ]
     get = F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n"))
+    page = F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n"))
     records = [
-        _record("request", name(F.col("id"), F.col("row"), "request"), [concurrent, uri, when, "Content-Type: application/http; msgtype=request"], get),
-        _record("", response, header, F.concat(http, F.when(own, F.col("text")).otherwise(F.lit("")))),
-        _record("metadata", name(F.col("id"), F.col("row"), "metadata"), [concurrent, uri, when, "Content-Type: application/warc-fields"], F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n"))),
+        _record("request", mine("request"), [concurrent, uri, when, "Content-Type: application/http; msgtype=request"], get),
+        _record("", mine("response"), header, F.concat(http, F.when(first, F.col("text")).otherwise(F.lit("")))),
+        _record("metadata", mine("metadata"), [concurrent, uri, when, "Content-Type: application/warc-fields"], page),
     ]
     value = F.concat_ws(_END, *records)  # the writer ends the last record
     rows.select(value.alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    discard(slim, heads, twice)
 
 
 class _Unframed(ValueError):
@@ -119,10 +138,44 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, list[str]], byt
         yield headers, block
 
 
-def _opened(content: bytes) -> io.BufferedIOBase:
-    """Plain archives and gzip ones, of one member or (as is usual) one per record."""
-    raw = io.BytesIO(content)
-    return io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
+class Chunks:
+    """What parse() reads, from pieces of bytes as they come."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at = pieces, b"", 0
+
+    def _more(self) -> bool:
+        for piece in self.pieces:
+            self.held, self.at = self.held[self.at :] + piece, 0
+            return True
+        return False
+
+    def readline(self) -> bytes:
+        while (end := self.held.find(b"\n", self.at)) < 0:
+            if not self._more():
+                end = len(self.held) - 1
+                break
+        out, self.at = self.held[self.at : end + 1], end + 1
+        return out
+
+    def read(self, n: int) -> bytes:
+        parts, missing = [], n
+        while missing > len(self.held) - self.at:
+            parts.append(self.held[self.at :])
+            missing -= len(parts[-1])
+            self.held, self.at = next(self.pieces, b""), 0
+            if not self.held:
+                return b"".join(parts)
+        parts.append(self.held[self.at : self.at + missing])
+        self.at += missing
+        return b"".join(parts)
+
+
+def _joined(fragments: Iterator[bytes]) -> Iterator[bytes]:
+    """What the reader took away as the end of each piece but the last is put between them."""
+    for i, x in enumerate(fragments):
+        if joined := _MARK + x if i else x:
+            yield joined
 
 
 def _row(headers: dict[str, list[str]], block: bytes, keep: bool) -> tuple:
@@ -148,56 +201,91 @@ def _row(headers: dict[str, list[str]], block: bytes, keep: bool) -> tuple:
 
 def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """One row per record (RECORD_SCHEMA) of the archives in path; without payload, that column is null. payload_bytes and payload_digest
-    are those of the full payload, for revisits as the record states them; digest_ok tells whether a stated SHA-1 digest holds."""
+    are those of the full payload, for revisits as the record states them; digest_ok tells whether a stated SHA-1 digest holds.
+
+    Archives whose names end in .gz (one gzip member or, as is usual, one per record) are read as streams; others are read whole, which
+    Spark does up to 2 GB each."""
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary(), pa.map_(pa.string(), pa.string())]
     names = [x.strip().split(" ")[0] for x in RECORD_SCHEMA.replace("map<string,string>", "map").split(",")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(stream) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for headers, block in parse(stream):
+            rows.append(_row(headers, block, payload))
+            held += len(block) if payload else 0
+            if len(rows) >= 5_000 or held >= 1 << 23:
+                yield made()
+                rows, held = [], 0
+        if rows:
+            yield made()
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fragments = ((f, x.as_py()) for b in batches for f, x in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        for _, own in groupby(fragments, key=lambda x: x[0]):
+            yield from rows_of(Chunks(_joined(x for _, x in own)))
+
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows, held = [], 0
-                for headers, block in parse(_opened(content.as_py())):
-                    rows.append(_row(headers, block, payload))
-                    held += len(block) if payload else 0
-                    if len(rows) >= 5_000 or held >= 1 << 24:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield from rows_of(io.BytesIO(content.as_py()))
+
+    cut = spark.read.option("lineSep", _MARK.decode()).option("pathGlobFilter", "*.gz").text(path)
+    cut = cut.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*[!z]").load(path).where("length > 0").select("content")
+    return map_arrow(cut, streams, RECORD_SCHEMA).union(plain.mapInArrow(wholes, RECORD_SCHEMA))
+
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SCHEMA)
+def _roots(rows: DataFrame) -> DataFrame | None:
+    """id and root for the ids that several records share only through each other: those that name further ids, and those that are named and
+    name others themselves. None if there are none, as in archives where all records of a capture name the same one."""
+    named = rows.where(F.size("named") > 0)
+    several = named.where(F.size("named") > 1).select(F.get("named", F.lit(0)).alias("a"), F.explode(F.expr("slice(named, 2, size(named) - 1)")).alias("b"))
+    targets = named.select(F.explode("named").alias("record_id")).distinct()
+    both = named.select("record_id", F.get("named", F.lit(0)).alias("b")).join(targets, "record_id", "left_semi").select(F.col("record_id").alias("a"), "b")
+    links = stored(several.union(both).where("a <> b").distinct(), "warc-links")
+    if links.isEmpty():
+        return None
+    ids = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("node", F.xxhash64("id"))
+    labels = components(links.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), "warc-cc")
+    known = ids.join(labels, "node")
+    return stored(known.join(known.groupBy("label").agg(F.min("id").alias("whole")), "label").select("id", "whole"), "warc-roots")
 
 
-def assemble(records: DataFrame, chain: int = 0) -> DataFrame:
-    """One nested row per capture: root (the id that its records share), request, response (response, revisit or resource) and metadata
-    (an array), each with the record's columns.
+def assemble(records: DataFrame) -> DataFrame:
+    """One nested row per capture: root (an id that its records share), part (from 0), requests, responses (response, revisit or resource)
+    and metadata, arrays of the records with all their columns, by record id; other records are left out.
 
-    A record belongs to the record that its first WARC-Concurrent-To names, and one without that header to itself; so it does not matter
-    which of the records names which. chain > 0 follows that many further steps where a named record names another. The join is one
-    shuffle by root; records whose partner is missing form a capture of their own, and a record without an id stands alone.
+    The records of a capture are those that WARC-Concurrent-To joins, in any direction, over any number of such headers and steps. Where all
+    of them name the same record (or nothing), that is one shuffle by its id; the ids that need it are joined up by components first (of
+    64-bit hashes). Records whose partner is missing form a capture of their own, and a record without an id stands alone. A capture of
+    more than PART records comes in parts. records is read several times: a stored table is best.
     """
-    root = F.coalesce(F.get("concurrent_to", F.lit(0)), F.col("record_id"))
-    rows = records.withColumn("root", root)
-    for _ in range(chain):
-        up = records.where(F.size("concurrent_to") > 0).select(F.col("record_id").alias("root"), F.get("concurrent_to", F.lit(0)).alias("next"))
-        rows = rows.join(up.dropDuplicates(["root"]), "root", "left").withColumn("root", F.coalesce("next", "root")).drop("next")
+    rows = records.withColumn("named", F.array_sort(F.array_distinct(F.filter("concurrent_to", lambda x: x.isNotNull()))))
+    rows = rows.withColumn("root", F.coalesce(F.get("named", F.lit(0)), F.col("record_id")))
+    if (whole := _roots(rows.select("record_id", "named"))) is not None:
+        rows = few_join(rows, whole.withColumnRenamed("id", "root"), "root", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
     rows = rows.withColumn("key", F.coalesce("root", F.concat(F.lit("?"), F.monotonically_increasing_id().cast("string"))))
-    whole = F.struct(*[c for c in records.columns])
-    of = lambda *kinds: F.when(F.col("type").isin(*kinds), whole)
-    nested = rows.groupBy("key").agg(
-        F.first("root").alias("root"),
-        F.first(of("request"), ignorenulls=True).alias("request"),
-        F.first(of("response", "revisit", "resource"), ignorenulls=True).alias("response"),
-        F.collect_list(of("metadata")).alias("metadata"),
-    )
-    return nested.drop("key")
+    large = stored(rows.where("root IS NOT NULL").groupBy(F.col("root").alias("key")).count().where(F.col("count") > PART), "warc-large")
+    rows = few_join(rows, large, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("record_id"), F.ceil(F.col("count") / PART)), F.lit(0)).cast("int"))
+    every = F.struct(*[F.col(c) for c in records.columns])
+    of = lambda *kinds: F.array_sort(F.collect_list(F.when(F.col("type").isin(*kinds), F.struct(F.col("record_id").alias("o"), every.alias("r")))), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
+    kinds = {"requests": ("request",), "responses": ("response", "revisit", "resource"), "metadata": ("metadata",)}
+    nested = rows.groupBy("key", "part").agg(F.first("root").alias("root"), *[F.transform(of(*own), lambda x: x["r"]).alias(name) for name, own in kinds.items()])
+    return nested.select("root", "part", *kinds)
 
 
 def captures_of_pages(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of each capture that write_pages wrote to path."""
-    records = read_records(spark, path, payload=False).select("record_id", "type", "concurrent_to", "refers_to", "payload_bytes", "payload_digest", "digest_ok", "fields")
-    made = assemble(records.where(F.col("type").isin("request", "response", "revisit", "metadata")))
-    page = F.element_at(F.get("metadata", F.lit(0)).getField("fields"), "page-id")
-    of_id = F.regexp_extract(F.col("response.refers_to"), r"^<urn:dictspark:(-?[0-9]*):", 1)
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of each capture that write_pages wrote to path: a row for each row it
+    was given, repeated ones and those without an id (null) included; none from an archive without records. refers_to is the page of the
+    record that a revisit refers to, which is looked up by its id."""
+    records = read_records(spark, path, payload=False).select("record_id", "type", "concurrent_to", "refers_to", "payload_bytes", "payload_digest", "fields")
+    made = assemble(stored(records, "warc-records"))
     as_long = lambda c: F.when(c != "", c).cast("long")
-    return made.where("response IS NOT NULL").select(as_long(page).alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), as_long(of_id).alias("refers_to"))
+    page = as_long(F.element_at(F.get("metadata", F.lit(0)).getField("fields"), "page-id"))
+    flat = made.select(page.alias("page_id"), F.get("responses", F.lit(0)).alias("r")).where("r IS NOT NULL")
+    flat = stored(flat.select("page_id", "r.record_id", "r.payload_bytes", "r.payload_digest", F.col("r.type").alias("record_type"), F.col("r.refers_to").alias("named")), "warc-captures")
+    heads = flat.where("record_type = 'response'").select(F.col("record_id").alias("named"), F.col("page_id").alias("refers_to"))
+    own = ("page_id", "payload_bytes", "payload_digest", "record_type")
+    revisits = flat.where("record_type = 'revisit'").select(*own, "named").join(heads, "named", "left").select(*own, "refers_to")
+    return flat.where("record_type <> 'revisit'").select(*own, F.lit(None).cast("long").alias("refers_to")).union(revisits)

@@ -6,6 +6,7 @@ import io
 import pytest
 
 from dictspark.llm import warc
+from tests.llm.helpers import rng
 
 
 def pages(spark, rows):
@@ -73,11 +74,12 @@ def test_nested_rows_and_payloads(spark, tmp_path):
     text = {i: (h or "").encode() for i, _, h in ROWS}
     for c in made:
         i = int(c["metadata"][0]["fields"]["page-id"])
-        assert c["request"]["concurrent_to"] == c["metadata"][0]["concurrent_to"] == [c["response"]["record_id"]] and c["root"] == c["response"]["record_id"]
-        if c["response"]["type"] == "response":
-            assert bytes(c["response"]["payload"]) == text[i] and c["response"]["digest_ok"]
+        (request,), (response,), (metadata,) = c["requests"], c["responses"], c["metadata"]
+        assert request["concurrent_to"] == metadata["concurrent_to"] == [response["record_id"]] and c["root"] == response["record_id"] and c["part"] == 0
+        if response["type"] == "response":
+            assert bytes(response["payload"]) == text[i] and response["digest_ok"]
         else:
-            assert c["response"]["payload"] is None
+            assert response["payload"] is None
 
 
 def record(kind, own, block, *more):
@@ -99,10 +101,58 @@ def test_foreign_archives(spark, tmp_path):
     records = warc.read_records(spark, str(tmp_path))
     by = {r["record_id"]: r for r in records.collect()}
     assert bytes(by["<r>"]["payload"]) == b"\xff\x00\r\n\r\nz" and by["<r>"]["fields"] == {"a": "b"} and len(by) == 6
-    near = {c["root"]: c for c in warc.assemble(records).collect()}
-    assert near["<q>"]["response"]["record_id"] == "<r>" and near["<r>"]["metadata"][0]["fields"] == {"k": "v"}
-    whole = {c["root"]: c for c in warc.assemble(records, chain=1).collect()}
-    assert whole["<q>"]["metadata"][0]["record_id"] == "<m>" and "<r>" not in whole and whole["<alone>"]["request"] is None
+    whole = {c["root"]: c for c in warc.assemble(records).collect()}
+    got = lambda c: [[r["record_id"] for r in c[k]] for k in ("requests", "responses", "metadata")]
+    assert {k: got(c) for k, c in whole.items()} == {"<q>": [["<q>"], ["<r>"], ["<m>"]], "<alone>": [[], ["<alone>"], []], "<late>": [[], ["<late>"], []], "<i>": [[], [], []]}
+
+
+def table(spark, rows):
+    full = [(i, kind, None, None, list(to), None, None, 0, 0, None, None, None, {}) for i, kind, to in rows]
+    return spark.createDataFrame(full, warc.RECORD_SCHEMA)
+
+
+def test_records_that_name_each_other(spark):
+    """Mutual naming, several headers, long chains, missing partners, null ids and a second response: components over all ids."""
+    chain = [(f"c{i}", "metadata", [f"c{i + 1}"]) for i in range(20)]
+    given = [("q1", "request", ["r1"]), ("r1", "response", ["q1"]), ("q2", "request", ["r2"]), ("r2", "response", ["q2"]), ("m2", "metadata", ["q2", "r2", "r2"])]
+    given += [("a", "metadata", ["x", "y"]), ("b", "metadata", ["y", "z"]), ("c", "request", ["z"]), ("d", "response", ["gone"]), (None, "resource", []), (None, "resource", []), (None, "metadata", ["d"])]
+    given += [("self", "response", ["self"]), ("two", "response", ["one"]), ("one", "response", []), ("null", "request", [None])] + chain
+    got = sorted([sorted(r["record_id"] or "" for k in ("requests", "responses", "metadata") for r in c[k]) for c in warc.assemble(table(spark, given)).collect()])
+    want = [["q1", "r1"], ["m2", "q2", "r2"], ["a", "b", "c"], ["", "d"], [""], [""], ["self"], ["one", "two"], ["null"], sorted(x for x, _, _ in chain)]
+    assert got == sorted(want)
+    assert warc.assemble(table(spark, [])).collect() == []
+
+
+def test_large_captures_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PART", 10)
+    given = [(f"m{i}", "metadata", ["r"]) for i in range(95)] + [("r", "response", []), ("s", "response", [])]
+    out = warc.assemble(table(spark, given)).collect()
+    assert sorted(r["record_id"] for c in out for r in [*c["responses"], *c["metadata"]]) == sorted(x for x, _, _ in given)
+    assert {c["root"] for c in out} == {"r", "s"} and len({(c["root"], c["part"]) for c in out}) == len(out) > 5
+
+
+def test_marks_within_payloads_and_several_files(spark, tmp_path):
+    """Payloads that hold what a record begins with, at every place, in files of one and of several gzip members that one task reads."""
+    marks = ["WARC/", "WARC/1.1\r\n", "WWARC/ARC/WARC/", "WARC/" * 50, "xWARC", "/"]
+    blocks = {f"{f}-{i}": (m + "y" * (i % 3)).encode() for f in range(4) for i, m in enumerate(marks)}
+    for f in range(4):
+        parts = [record(b"resource", f"{f}-{i}".encode(), blocks[f"{f}-{i}"]) for i in range(len(marks))]
+        (tmp_path / f"{f}.warc.gz").write_bytes(gzip.compress(b"".join(parts)) if f % 2 else b"".join(map(gzip.compress, parts)))
+    (tmp_path / "plain.warc").write_bytes(record(b"resource", b"plain", b"WARC/1.1\r\n\r\n"))
+    (tmp_path / "empty.warc.gz").write_bytes(gzip.compress(b""))
+    got = {r["record_id"].strip("<>"): bytes(r["payload"]) for r in warc.read_records(spark, str(tmp_path)).collect()}
+    assert got == {**blocks, "plain": b"WARC/1.1\r\n\r\n"}
+
+
+def test_chunks():
+    r = rng(3)
+    data = bytes(r.choice(b"ab\n") for _ in range(500))
+    for _ in range(50):
+        cuts = sorted(r.randrange(501) for _ in range(9))
+        one, two = io.BytesIO(data), warc.Chunks(iter([x for a, b in zip([0, *cuts], [*cuts, 500], strict=True) if (x := data[a:b])]))
+        for _ in range(60):
+            n = r.randrange(30)
+            assert one.read(n) == two.read(n) if r.random() < 0.5 else one.readline() == two.readline()
 
 
 @pytest.mark.parametrize("data", [b"HTTP/1.1", b"WARC/1.0\r\nA: b\r\n", record(b"x", b"y", b"abc")[:-8]])
