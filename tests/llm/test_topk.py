@@ -62,5 +62,18 @@ def test_bounds_hold_and_prune():
     for s in topk.LEVELS:
         f = topk.features(x, s)
         assert (f @ f.T >= x @ x.T - 1e-6 * np.abs(x @ x.T).max()).all()
-    found, share = topk.block_top(np.arange(10) + 1000, x[:10], np.arange(500), x, 5)
-    assert share < 0.5 and len(found) == 50
+    f, ids = [topk.features(x, s) for s in topk.LEVELS], np.arange(500)
+    open_ = topk.block_top(ids[:10] + 1000, x[:10], [m[:10] for m in f], np.full(10, -np.inf), ids, x, f, 5)
+    assert open_[3] == 1 and len(open_[0]) == 50
+    least = open_[2].reshape(10, 5).min(1).astype(float)
+    for dense in (0, 1):
+        topk_dense, topk._DENSE = topk._DENSE, dense
+        held = topk.block_top(ids[:10] + 1000, x[:10], [m[:10] for m in f], least, ids, x, f, 5)
+        topk._DENSE = topk_dense
+        assert (held[3] < 0.5 or not dense) and all(np.array_equal(a, b) for a, b in zip(open_[:3], held[:3], strict=True))
+
+
+def test_a_row_that_is_repeated_very_often_lies_in_many_tasks_before_it_counts_once(spark):
+    g = np.random.default_rng(5)
+    rows = [(i, g.normal(0, 1, 16).tolist()) for i in range(60)] + [(50, g.normal(0, 1, 16).tolist())]
+    assert ask(table(spark, rows + rows[:1] * 300)) == brute(rows)
