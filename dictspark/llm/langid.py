@@ -30,6 +30,8 @@ SEGMENT = 512
 #: Classes (the most frequent ones) that may have dense tables, and the bytes of these tables over all languages.
 CLASSES, DENSE_BYTES = 64, 256_000_000
 UNKNOWN = "und"
+#: So few segments at a time go on one by one.
+_STRAGGLERS = 48
 
 _LETTER = re.compile(r"[^\W\d_]")  # letters, and numerals such as superscripts
 
@@ -200,30 +202,40 @@ class Model:
         todo = np.flatnonzero(after >= 0)  # what comes before a segment, whose end may change
         while len(todo):
             own, state, seen = after[todo], end[todo], np.zeros(len(todo), np.int64)
-            last, live, alike = end[own].copy(), np.arange(len(todo)), np.zeros(len(todo), np.int64)
-            for s in range(SEGMENT):
-                if len(done := live[size[own[live]] <= s]):  # ended without meeting
-                    last[done] = state[done]
-                    total[own[done]] = seen[done]
-                    live = live[size[own[live]] > s]
-                if not len(live):
-                    break
+            last, live, alike, s = end[own].copy(), np.arange(len(todo)), np.zeros(len(todo), np.int64), 0
+            while len(live) > _STRAGGLERS:
                 state[live], lost = moved(state[live], grid[s, own[live]])
                 seen[live] += lost
                 alike[live] += begun[s, own[live]]
                 met = lost & begun[s, own[live]]
-                if met.any():  # from here on, both parses are one
-                    total[own[live[met]]] = seen[live[met]] + n[own[live[met]]] - alike[live[met]]
-                    last[live[met]] = free[own[live[met]]]
-                    live = live[~met]
-            else:
-                last[live] = state[live]
-                total[own[live]] = seen[live]
+                done = live[met]  # from here on, both parses are one
+                total[own[done]], last[done] = seen[done] + n[own[done]] - alike[done], free[own[done]]
+                s, live = s + 1, live[~met]
+                done = live[size[own[live]] <= s]  # ended without meeting
+                total[own[done]], last[done] = seen[done], state[done]
+                live = live[size[own[live]] > s]
+            for k in live.tolist():
+                total[own[k]], last[k] = self._one(step, root, grid[:, own[k]], begun[:, own[k]], s, int(size[own[k]]), int(state[k]), int(seen[k]), int(alike[k]), int(n[own[k]]), int(free[own[k]]))
             changed = last != end[own]
             end[own] = last
             todo = own[changed & (after[own] >= 0)]
         return total
 
+    @staticmethod
+    def _one(step: Automaton, root: np.ndarray, codes: np.ndarray, begun: np.ndarray, s: int, size: int, state: int, seen: int, alike: int, n: int, free: int) -> tuple[int, int]:
+        """(phrases, end) of one segment from character s on, character by character: the few that take long to meet."""
+        dense, width = memoryview(step.dense.ravel()), step.width
+        for c, other in zip(codes[s:size].tolist(), begun[s:size].tolist(), strict=True):
+            alike += other
+            if state >= 0:
+                state = dense[state * width + c] if c < width else step[state, c]
+            if state < 0:
+                state = int(root[c])
+                seen += 1
+                if other:
+                    return seen + n - alike, free
+        return seen, state
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
         """lang, score (how much fewer normalised phrases than the second best language, 0 to 1) and bits per character."""
         able = [i for i, t in enumerate(texts) if self.langs and t and has_letter(t)]

@@ -33,10 +33,11 @@ def test_automaton_spells_substrings():
             assert (state >= 0) == (tuple(q) in inside)
 
 
-@pytest.mark.parametrize("segment", [langid.SEGMENT, 7])
-def test_batched_parsing_is_the_plain_one(monkeypatch, segment):
+@pytest.mark.parametrize("segment, stragglers, dense", [(langid.SEGMENT, langid._STRAGGLERS, langid.DENSE_BYTES), (7, 0, 0), (7, 3, 20_000), (7, 10**6, langid.DENSE_BYTES)])
+def test_batched_parsing_is_the_plain_one(monkeypatch, segment, stragglers, dense):
     """The cuts of long texts show nowhere, also where matches run over several of them."""
-    monkeypatch.setattr(langid, "SEGMENT", segment)
+    for name, value in (("SEGMENT", segment), ("_STRAGGLERS", stragglers), ("DENSE_BYTES", dense)):
+        monkeypatch.setattr(langid, name, value)
     r = rng(4)
     model = langid.Model({k: [text(r, k, 40)] for k in SYLLABLES})
     texts = [text(r, r.choice(sorted(SYLLABLES)), r.randint(1, 400)) for _ in range(25)] + ["x", "!!", "é", "é" * 30, "éka" * 9]
