@@ -13,7 +13,7 @@ def shingles(t):
     return set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def brute(given):
+def brute(given, num=85):
     sets = [shingles(t) for _, t in given]
     top = list(range(len(given)))
 
@@ -24,7 +24,7 @@ def brute(given):
 
     for i in range(len(given)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 top[max(a, b)] = min(a, b)
     least = {}
