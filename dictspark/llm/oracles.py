@@ -48,7 +48,8 @@ SHARDS = """WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_red
 d AS (SELECT doc_id, coalesce(text, '') AS s, hex(encode(coalesce(text, ''))) AS h FROM documents),
 c AS (SELECT doc_id, strlen(s) + 1 AS size, md5(s) AS key, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(s)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, tab),
 o AS (SELECT *, sum(size) OVER (ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before, row_number() OVER (ORDER BY key, doc_id) AS place, sum(size) OVER () AS total FROM c),
-s AS (SELECT *, least(floor(((2 * before + size) * 16)::DOUBLE / (2 * total)::DOUBLE)::INTEGER, 15) AS shard FROM o)
+r AS (SELECT *, least(floor(((2 * before + size) * 16)::DOUBLE / (2 * total)::DOUBLE)::INTEGER, 15) AS own, min(before) OVER g AS start, sum(size) OVER g AS bytes FROM o WINDOW g AS (PARTITION BY key)),
+s AS (SELECT *, CASE WHEN bytes * 16 * 100 <= total THEN least(floor(((2 * start + bytes) * 16)::DOUBLE / (2 * total)::DOUBLE)::INTEGER, 15) ELSE own END AS shard FROM r)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s"""
 
 _SPACE = "\\x20\\x09-\\x0D"
