@@ -7,7 +7,8 @@ holds as many rows as fit at the bucket's length, one at least.
 The histogram has a bin for each distinct length, at every size: what reaches the driver is at most about the square root of twice the
 number of all words. Up to BINS bins every start of a bucket is tried for every end; beyond that, divide and conquer finds the same
 boundaries in bins * log(bins) steps a bucket. Batches are numbered inside cells (a bucket dealt by a hash into
-parts of about CELL_ROWS rows), so that no bucket has to be ordered in one task; a cell's last batch may be part-filled.
+parts of about CELL_ROWS rows), so that no bucket has to be ordered in one task; a cell's last batch may be part-filled. Rows that are the
+same in id and text have one hash; where there are more than SAME of them, a random number deals them.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import OWN, stored
+from dictspark.llm.common import OWN, few_join, stored
 
 BINS = 2048
 #: More than any padding.
 _FAR = np.int64(1 << 62)
 CELL_ROWS = 20_000
+SAME = CELL_ROWS // 4
 
 
 def n_tokens(text: Column) -> Column:
@@ -87,7 +89,7 @@ def histogram(lengths: DataFrame, column: str) -> list[tuple[int, int]]:
 
 
 def _placed(docs: DataFrame, id_col: str, bins: list[tuple[int, int]], n_buckets: int, token_budget: int) -> DataFrame:
-    """docs (with their __ds_n_tokens) and __ds_bucket, __ds_bucket_len, __ds_batch_id and __ds_slot."""
+    """docs (with their __ds_n_tokens) and __ds_bucket, __ds_bucket_len, __ds_batch_id and __ds_slot. Rows with a __ds_salt are dealt by that."""
     uppers = optimal_boundaries([x for x, _ in bins], [c for _, c in bins], n_buckets) or [0]
     fill = np.zeros(len(uppers), np.int64)
     np.add.at(fill, np.searchsorted(uppers, [x for x, _ in bins]), [c for _, c in bins])
@@ -96,7 +98,10 @@ def _placed(docs: DataFrame, id_col: str, bins: list[tuple[int, int]], n_buckets
     for i in range(len(uppers) - 2, -1, -1):
         bucket = F.when(tokens <= uppers[i], F.lit(i)).otherwise(bucket)
     rows = docs.withColumn(f"{OWN}bucket", bucket).withColumn(f"{OWN}bucket_len", F.get(F.lit(uppers), F.col(f"{OWN}bucket")).cast("long"))
-    rows = rows.withColumn(f"{OWN}cell", F.pmod(F.conv(F.substring(f"{OWN}h", 1, 8), 16, 10).cast("long"), F.get(F.lit(cells), F.col(f"{OWN}bucket"))).cast("int"))
+    deal = F.conv(F.substring(f"{OWN}h", 1, 8), 16, 10).cast("long")
+    if f"{OWN}salt" in docs.columns:
+        deal = F.coalesce(f"{OWN}salt", deal)
+    rows = rows.withColumn(f"{OWN}cell", F.pmod(deal, F.get(F.lit(cells), F.col(f"{OWN}bucket"))).cast("int")).drop(f"{OWN}salt")
     each = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col(f"{OWN}bucket_len"), F.lit(1)))).cast("long")
     order = (F.row_number().over(Window.partitionBy(f"{OWN}bucket", f"{OWN}cell").orderBy(f"{OWN}h", id_col)) - 1).cast("long")
     rows = rows.withColumn(f"{OWN}order", order)
@@ -116,13 +121,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buck
     batch of its own; nothing is cut or left out. An empty table gives no rows; further columns of any name are not read.
     """
     rows = _measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text").drop("text")
-    rows = stored(rows, "pack-rows")
+    rows = stored(rows.withColumn(f"{OWN}salt", F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 1)), "pack-rows")
+    same = stored(rows.groupBy(f"{OWN}h").count().where(F.col("count") > SAME), "pack-same")
+    rows = few_join(rows, same, f"{OWN}h", "left").withColumn(f"{OWN}salt", F.when(F.col("count").isNotNull(), F.col(f"{OWN}salt"))).drop("count")
     out = _placed(rows, "doc_id", histogram(rows, f"{OWN}n_tokens"), n_buckets, token_budget)
     own = lambda *names: [F.col(f"{OWN}{n}").alias(n) for n in names]
     return out.select("doc_id", *own("n_tokens", "bucket", "bucket_len", "batch_id", "slot"), (F.col(f"{OWN}bucket_len") - F.col(f"{OWN}n_tokens")).alias("padding"))
 
 
 def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = 16, token_budget: int = 65_536) -> DataFrame:
-    """docs with __ds_n_tokens, __ds_bucket, __ds_bucket_len, __ds_batch_id and __ds_slot: the documents' own columns beside their place."""
+    """docs with __ds_n_tokens, __ds_bucket, __ds_bucket_len, __ds_batch_id and __ds_slot: the documents' own columns beside their place. For
+    documents without many repeated rows, as near-dedup leaves them: repeated rows share a cell."""
     rows = _measured(docs, id_col, text_col)
     return _placed(rows, id_col, histogram(rows, f"{OWN}n_tokens"), n_buckets, token_budget)

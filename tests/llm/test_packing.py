@@ -79,3 +79,16 @@ def test_many_lengths_keep_the_least_padding(spark, monkeypatch):
     monkeypatch.setattr(packing, "BINS", 8)
     check(packing.pack(docs(spark, given), n_buckets=4, token_budget=400).collect(), given, 400, 4)
     assert sorted({r["bucket_len"] for r in packing.pack(docs(spark, given), n_buckets=4).collect()}) == want
+
+
+def test_rows_that_are_the_same_lie_in_many_cells(spark, monkeypatch):
+    """600 rows with one id and text: dealt over the bucket's cells, each a row of its own, with batches within the budget."""
+    monkeypatch.setattr(packing, "CELL_ROWS", 50)
+    monkeypatch.setattr(packing, "SAME", 20)
+    rows = packing.pack(docs(spark, [(1, "a b c")] * 600 + [(i, "a b") for i in range(2, 30)]), n_buckets=2, token_budget=30).collect()
+    own = [r for r in rows if r["doc_id"] == 1]
+    cells = {}
+    for r in own:
+        cells.setdefault(r["batch_id"].split("-")[1], []).append((r["batch_id"], r["slot"]))
+    assert len(own) == 600 and len(cells) >= 10 and max(map(len, cells.values())) < 150
+    assert len({x for v in cells.values() for x in v}) == 600 and all(slot < 10 for v in cells.values() for _, slot in v)
