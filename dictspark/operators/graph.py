@@ -4,8 +4,9 @@ Keys are byte strings. A prefix's output is the least value below it; an edge pu
 its key's value adds to that. Prefixes with the same set of (suffix, value above the prefix's output) are one node. A node's number is
 the place of its least prefix in bytewise order, which is the order of a depth-first walk.
 
-Sets are told apart by two 64-bit sums over their members and their size, so nothing is gathered below a prefix: a prefix of all keys is
-an aggregation with partial sums like any other.
+Sets are told apart by sums over their members, so nothing is gathered below a prefix: a prefix of all keys is an aggregation with partial
+sums like any other. For several hashes h of suffixes, modulo a prime, the sums of h and of h * value are kept; with the least value m
+below the prefix, the second less m times the first is the sum of h * (value - m), a fingerprint of the set that needs no second pass.
 """
 
 from __future__ import annotations
@@ -33,31 +34,33 @@ class Graph:
     edges: DataFrame
 
 
+#: A prime below 2^31, so that products fit into a long, and the number of hashes: two sets are taken for one with a chance of about 2^-120.
+_PRIME, _HASHES = (1 << 31) - 1, 4
+
+
 def transducer(d: Dictionary) -> Graph:
     """For dictionaries, whose keys are short: a key of n bytes makes n + 1 rows."""
     value = F.col("value").cast(_VALUE) if d.has_values else F.lit(0).cast(_VALUE)
-    keys = d.df.select(F.hex(F.encode("key", "UTF-8")).alias("key"), value.alias("value"))
-    cuts = keys.withColumn("n", F.explode(F.sequence(F.lit(0), F.length("key"), F.lit(2))))
-    below = cuts.select(F.expr("substring(key, 1, n)").alias("prefix"), F.expr("substring(key, n + 1)").alias("suffix"), "value")
-    acc = F.when(F.col("prefix") == "", F.lit(0)).otherwise(F.min("value")).cast(_VALUE)
-    least = below.groupBy("prefix").agg(acc.alias("acc"))
-    more = (F.col("value") - F.col("acc")).cast(_VALUE)
-    own = F.when(F.col("suffix") == "", more)
-    each = below.join(least, "prefix").groupBy("prefix", "acc").agg(
-        F.bit_xor(F.xxhash64("suffix", more)).alias("k1"),
-        F.bit_xor(F.xxhash64(more, "suffix", F.lit(1))).alias("k2"),
-        F.count("*").alias("k3"),
-        F.max(own).alias("own"),
-    )
+    modulo = lambda c: F.pmod(c, F.lit(_PRIME).cast(_VALUE)).cast("long")
+    keys = d.df.select(F.encode("key", "UTF-8").alias("key"), value.alias("value")).withColumn("v", modulo(F.col("value")))
+    cuts = keys.withColumn("n", F.explode(F.sequence(F.lit(0), F.octet_length("key"))))
+    below = cuts.select(F.expr("substring(key, 1, n)").alias("prefix"), F.expr("substring(key, n + 1)").alias("suffix"), "value", "v")
+    below = below.withColumns({f"h{j}": F.pmod(F.xxhash64("suffix", F.lit(j)), F.lit(_PRIME)) for j in range(_HASHES)})
+    sums = [x for j in range(_HASHES) for x in (F.sum(f"h{j}").alias(f"s{j}"), F.sum(F.col(f"h{j}") * F.col("v") % _PRIME).alias(f"t{j}"))]
+    each = below.groupBy("prefix").agg(F.min("value").alias("least"), F.max(F.when(F.octet_length("suffix") == 0, F.col("value"))).alias("top"), F.count("*").alias("n"), *sums)
+    acc = F.when(F.octet_length("prefix") == 0, F.lit(0)).otherwise(F.col("least")).cast(_VALUE)
+    above = [F.pmod(F.col(f"t{j}") - F.col(f"s{j}") % _PRIME * F.col("m") % _PRIME, F.lit(_PRIME)) for j in range(_HASHES)]
+    members = ["n", *(F.col(f"s{j}") for j in range(_HASHES)), *above]
+    each = each.withColumn("acc", acc).withColumn("m", modulo(F.col("acc")))
+    each = each.select("prefix", "acc", (F.col("top") - F.col("acc")).cast(_VALUE).alias("own"), F.xxhash64(*members).alias("k1"), F.xxhash64(F.lit(1), *members).alias("k2"))
     each = stored(each, "graph-prefixes")
-    kind = ["k1", "k2", "k3"]
+    kind, byte = ["k1", "k2"], F.conv(F.hex(F.expr("substring(prefix, -1)")), 16, 10).cast("int")
     numbered = ranked(each.groupBy(*kind).agg(F.min("prefix").alias("prefix"), F.max("own").alias("own")), F.col("prefix")).withColumn("node_id", F.col("place") - 1)
     nodes = numbered.select("node_id", F.col("own").isNotNull().alias("is_final"), F.coalesce("own", F.lit(0)).cast(_VALUE).alias("final_output"))
     starts = numbered.select(F.col("prefix").alias("up"), F.col("node_id").alias("src")).join(each.select(F.col("prefix").alias("up"), F.col("acc").alias("before")), "up")
-    ends = each.where("prefix <> ''").select(F.expr("substring(prefix, 1, length(prefix) - 2)").alias("up"), "prefix", "acc", *kind)
+    ends = each.where(F.octet_length("prefix") > 0).select(F.expr("substring(prefix, 1, octet_length(prefix) - 1)").alias("up"), byte.alias("byte"), "acc", *kind)
     linked = ends.join(starts, "up").join(numbered.select(*kind, F.col("node_id").alias("dst")), kind)
-    edges = linked.select("src", "dst", F.conv(F.expr("right(prefix, 2)"), 16, 10).cast("int").alias("byte"), (F.col("acc") - F.col("before")).cast(_VALUE).alias("output"))
-    return Graph(nodes, edges)
+    return Graph(nodes, linked.select("src", "dst", "byte", (F.col("acc") - F.col("before")).cast(_VALUE).alias("output")))
 
 
 def graph_stats(g: Graph) -> DataFrame:
