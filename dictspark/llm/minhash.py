@@ -323,8 +323,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marked = stored(each.join(best, "label").select(F.col("doc_id").alias("__ds_id"), F.col("h").alias("__ds_h"), (place == F.col("best")).alias("stays"), "times"), "near-places")
     discard(rows, by_key)
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__ds_id")) & (F.xxhash64(F.col(text_col)) == F.col("__ds_h"))
-    gone, twice = stored(marked.where("NOT stays").select("__ds_id", "__ds_h"), "near-gone"), stored(marked.where("stays AND times > 1").select("__ds_id", "__ds_h"), "near-twice")
-    discard(marked)
+    gone, twice = (marked.where(x).select("__ds_id", "__ds_h") for x in ("NOT stays", "stays AND times > 1"))
     left = few_join(docs, gone, same, "left_anti")
     if twice.isEmpty():
         return left
