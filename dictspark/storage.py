@@ -33,10 +33,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: cuts the lineage and outlives lost executors."""
+    """Writes df as Parquet to the shared folder and reads it again: cuts the lineage and outlives lost executors. Pages and row groups are held
+    to their sizes from the first row on; else a page waits for a hundred rows, which takes much memory where a row is large."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.page.size.row.check.min", "1").option("parquet.block.size.row.check.min", "1").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
