@@ -274,8 +274,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, ba
     # Buckets of three and more classes that are not yet one component: what else may be linked there?
     wide = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = wide.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("band")
+    split = stored(split, "near-split")
     open_ = stored(wide.join(split, "band", "left_semi").select("band", "b", "node", "label", "low", "size", "shingles"), "near-open")
-    discard(members, pairs)
+    discard(members, pairs, split)
     blocks = _blocks(open_.where(F.col("size") <= HOT), regs)
     if not (hot := open_.where(F.col("size") > HOT)).isEmpty():
         blocks = blocks.union(_blocks(_dealt_anew(hot, classes), regs))
