@@ -13,8 +13,9 @@ from dictspark.storage import discard, shared_folder, stored
 
 __all__ = ["discard", "shared_folder", "stored"]  # for the operators
 
-#: Bytes of an Arrow batch that goes to a worker (Spark's own limit is 64 MB, of which a worker and its executor hold several at a time).
-BATCH = 4 << 20
+#: Bytes of an Arrow batch that goes to a worker. (Spark's own limit is 64 MB, of which a worker holds several at a time; an executor keeps the
+#: memory of some batches for each thread that once wrote them.)
+BATCH = 1 << 20
 #: Prefix of the columns that operators add for their own use; callers' columns don't start so.
 OWN = "__ds_"
 

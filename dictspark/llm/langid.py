@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from math import log2
 
 import numpy as np
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import OWN, map_batches
+from dictspark.llm.common import OWN, map_arrow
 
 SEGMENT = 512
 #: Classes (the most frequent ones) that may have dense tables, and the bytes of these tables over all languages.
 CLASSES, DENSE_BYTES = 64, 256_000_000
 UNKNOWN = "und"
+#: Bytes of rows whose texts are parsed at once, about.
+TOGETHER = 4 << 20
 #: So few segments at a time go on one by one.
 _STRAGGLERS = 48
 
@@ -269,22 +272,24 @@ def with_language(docs: DataFrame, samples: dict[str, list[str]], text_col: str
     letter are `und` with score 0; so is every text if nothing was learned. Ties go to the language that sorts first."""
     at, key = docs.columns.index(text_col), hash(tuple((k, *v) for k, v in sorted(samples.items())))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores, bits = [], [], []
-        texts, start, model = batch.column(at).to_pylist(), 0, _model(key, samples)
-        while start < len(texts):  # about 4 million characters at a time
-            end, chars = start, 0
-            while end < len(texts) and (end == start or chars + len(texts[end] or "") <= 4_000_000):
-                chars += len(texts[end] or "")
-                end += 1
-            for out, more in zip((langs, scores, bits), model.predict(texts[start:end]), strict=True):
-                out += more
-            start = end
-        names = [*batch.schema.names, f"{OWN}lang", f"{OWN}score", f"{OWN}bits"]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=names)
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.concat_batches(held)
+        langs, scores, bits = _model(key, samples).predict(rows.column(at).to_pylist())
+        names = [*rows.schema.names, f"{OWN}lang", f"{OWN}score", f"{OWN}bits"]
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= TOGETHER:
+                yield found(held)
+                held = []
+        if held:
+            yield found(held)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, run, f"{kept}, {OWN}lang string, {OWN}score double, {OWN}bits double")
+    return map_arrow(docs, run, f"{kept}, {OWN}lang string, {OWN}score double, {OWN}bits double")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
