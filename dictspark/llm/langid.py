@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import OWN, map_arrow
+from dictspark.llm.common import OWN, map_arrow, pieces
 
 SEGMENT = 512
 #: Classes (the most frequent ones) that may have dense tables, and the bytes of these tables over all languages.
 CLASSES, DENSE_BYTES = 64, 256_000_000
 UNKNOWN = "und"
-#: Bytes of rows whose texts are parsed at once, about.
+#: Bytes of rows whose texts are parsed at once, at most about.
 TOGETHER = 4 << 20
 #: So few segments at a time go on one by one.
 _STRAGGLERS = 48
@@ -272,21 +272,16 @@ def with_language(docs: DataFrame, samples: dict[str, list[str]], text_col: str
     letter are `und` with score 0; so is every text if nothing was learned. Ties go to the language that sorts first."""
     at, key = docs.columns.index(text_col), hash(tuple((k, *v) for k, v in sorted(samples.items())))
 
-    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.concat_batches(held)
+    def found(rows: pa.RecordBatch) -> pa.RecordBatch:
         langs, scores, bits = _model(key, samples).predict(rows.column(at).to_pylist())
         names = [*rows.schema.names, f"{OWN}lang", f"{OWN}score", f"{OWN}bits"]
         return pa.RecordBatch.from_arrays([*rows.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            if sum(b.nbytes for b in held) >= TOGETHER:
-                yield found(held)
-                held = []
-        if held:
-            yield found(held)
+            for piece in pieces(batch, TOGETHER):
+                yield found(piece)
+        _MODELS.clear()  # a worker outlives its task, and its next one may be another operator's
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return map_arrow(docs, run, f"{kept}, {OWN}lang string, {OWN}score double, {OWN}bits double")
