@@ -9,9 +9,9 @@ corrected for registers that agree by chance, and what remains is confirmed on t
 Documents with the same set are one class from the start (copies are never expanded). In a bucket, every class is held against the
 smallest class. Components are formed from the confirmed links; then only buckets that still hold different components are searched
 in full, in blocks, for links between those components. So every two classes that share a band and are not yet connected are held
-against each other (in their first common band only), and a block gives links, not pairs: at most one per class. A bucket of over HOT
-classes, where that search would be quadratic, is dealt anew by further subsets of the registers: two classes are held against each other
-where they agree in one of these as well.
+against each other (in their first common band only), and a block gives links, not pairs: at most one per class. The classes of buckets
+of over HOT classes, where that search would be quadratic, are dealt anew by the rarest shingles of their full sets, so many that two sets
+that are linked have one of them in common. That is exact: the links found do not depend on HOT.
 """
 
 from __future__ import annotations
@@ -35,9 +35,8 @@ MANTISSA = 10
 _ERRORS = 5
 #: Classes of a bucket that are held against as many others at a time, and shingles of these.
 BLOCK, BLOCK_SHINGLES = 256, 1_000_000
-#: Buckets of more classes are dealt anew by SUBSETS subsets of SUBSET registers each: two sets at similarity 0.8 that share such a bucket
-#: miss each other in all subsets with a chance of about 6e-6, at 0.85 of 6e-9; classes at 0.5 meet in one of 64 subsets only.
-HOT, SUBSETS, SUBSET = 2048, 40, 6
+#: The classes of larger buckets are dealt anew by their rarest shingles. FREQUENT is the most shingles whose counts go to the driver.
+HOT, FREQUENT = 2048, 1 << 17
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # a fixed odd number: the order of words in a shingle matters
 
@@ -49,8 +48,6 @@ def _probes() -> np.ndarray:
 
 
 _PROBES = _probes()
-#: The registers of each subset of a hot bucket.
-_SUBSETS = [[int(r) for r in np.argsort(mixed(np.arange(REGISTERS, dtype=np.uint64) + np.uint64(1000 * (j + 1))))[:SUBSET]] for j in range(SUBSETS)]
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -118,6 +115,24 @@ def _near(batch: pa.RecordBatch, least: float) -> pa.RecordBatch:
     return batch.filter(pa.array(estimate(a, b) >= least)).select(["a", "b"])
 
 
+#: Instead of a band's number: the shingle is among those that a set of its size shares with a linked set of as many or more; or only with
+#: a smaller one.
+EARLY, LATE = -1, -2
+
+
+def _rarest(h: np.ndarray, order: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, the rare ones ahead, and how many of them are EARLY. Sets of n and m >= n shingles that are linked have at
+    least num (n + m) / (num + den) in common, so the first of these in any one order of all shingles is among the first
+    n - 2 num n / (num + den) + 1 of the one and, as n >= num m / den, the first m - num m / den + 1 of the other. order: the frequent shingles,
+    sorted, and their ranks by count; all others come before them."""
+    frequent, ranks = order
+    n, rank = len(h), np.zeros(len(h), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        rank = np.where(frequent[at] == h, ranks[at], 0)
+    return h[np.lexsort((h, rank))[: n + 1 - -(-num * n // den)]], n + 1 - -(-2 * num * n // (num + den))
+
+
 def _holds(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     """den * intersection >= num * union, for sorted sets."""
     if den * min(len(x), len(y)) < num * max(len(x), len(y)):
@@ -150,26 +165,31 @@ def _on_star(rows: pa.RecordBatch, starts: np.ndarray, num: int, den: int) -> pa
 def _candidates(rows: pa.RecordBatch, starts: np.ndarray, least: float, bands: tuple[int, int]):
     """(i, places of its candidates) within each block of a bucket: rows x with rows y of the other chunk (or later rows of the same one), in
     different components, of which neither is the bucket's smallest class (those are held against all others before), near by estimate,
-    and sharing no earlier band, in whose bucket they meet too (in buckets dealt anew, b is -1, each counts). rows: band, b, x, y,
-    chunk, node, label, regs, low."""
+    and sharing no earlier band, in whose bucket they meet too. In buckets of a shingle (b is EARLY or LATE) two rows must share any band, and
+    the shingle be early in the smaller set. rows: band, b, x, y, chunk, node, label, low, n, regs."""
     regs = np.frombuffer(b"".join(_binaries(rows, "regs")), np.uint16).reshape(-1, REGISTERS)
-    node, label, chunk, low, b, x, y = (_numbers(rows, n) for n in ("node", "label", "chunk", "low", "b", "x", "y"))
+    node, label, chunk, low, size, b, x, y = (_numbers(rows, n) for n in ("node", "label", "chunk", "low", "n", "b", "x", "y"))
     able = node != low
     for at, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
         own = at + np.flatnonzero(able[at:end] & (chunk[at:end] == x[at]))
         others = at + np.flatnonzero(able[at:end] & (chunk[at:end] == y[at]))
         for i in own:
             other = others[(label[others] != label[i]) & ((node[others] > node[i]) | (x[at] != y[at]))]
+            if b[i] == EARLY:
+                other = other[(b[other] == EARLY) | (size[other] > size[i])]
+            elif b[i] == LATE:
+                other = other[(b[other] == EARLY) & (size[other] < size[i])]
             if len(other):
                 same = regs[other] == regs[i]
                 near = estimate_of(same) >= least
-                if b[at] >= 0 and near.any():
-                    near &= same[:, : bands[0] * bands[1]].reshape(-1, *bands).all(2).argmax(1) == b[at]
+                if near.any():
+                    shared = same[:, : bands[0] * bands[1]].reshape(-1, *bands).all(2)
+                    near &= shared.argmax(1) == b[at] if b[at] >= 0 else shared.any(1)
                 if len(other := other[near]):
                     yield int(i), other
 
 
-_BLOCK = "band long, x int, y int, b int, chunk int, node long, label long, low long, regs binary"
+_BLOCK = "band long, x int, y int, b int, chunk int, node long, label long, low long, n long, regs binary"
 
 
 def _with_candidates(rows: pa.RecordBatch, starts: np.ndarray, least: float, bands: tuple[int, int]) -> pa.RecordBatch:
@@ -237,15 +257,45 @@ def _blocks(members: DataFrame, regs: DataFrame) -> DataFrame:
     chunks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = members.join(regs, "node").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return other.select("band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "b", "chunk", "node", "label", "low", "regs")
+    return other.select("band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "b", "chunk", "node", "label", "low", "n", "regs")
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles (at most FREQUENT) that stand in most sets, sorted, and their ranks by count, from 1."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], names=["shingle"])
+
+    total = sets.agg(F.sum(F.length("set") / 8).cast("long")).first()[0]
+    counts = map_batches(sets.select("set"), run, "shingle long").groupBy("shingle").count()
+    found = counts.where(F.col("count") > max(1, -(-total // FREQUENT))).toArrow()
+    shingle, count = found["shingle"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    ranks, order = np.empty(len(shingle), np.int64), np.argsort(shingle)
+    ranks[np.lexsort((shingle, count))] = np.arange(1, len(shingle) + 1)
+    return shingle[order], ranks[order]
 
 
-def _dealt_anew(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of hot buckets in smaller ones: those of a bucket that agree in a subset of the registers."""
-    keys = F.array(*[F.xxhash64("band", F.lit(j), F.concat(*[F.substring("regs", 2 * r + 1, 2) for r in own])) for j, own in enumerate(_SUBSETS)])
-    spread = members.drop("size", "shingles").join(classes.select("node", "regs", "n"), "node").withColumn("band", F.explode(keys))
-    sizes = spread.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").drop("p", "q")
-    return spread.drop("regs", "n").join(sizes, "band").select("band", F.lit(-1).alias("b"), "node", "label", "low", "size", "shingles")
+def _dealt_anew(members: DataFrame, docs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The classes of hot buckets in buckets of their rarest shingles. A stored table."""
+    nodes = members.select("node", "label").distinct()
+    sets = _sets(docs, classes, nodes.select("node"))
+    order = _frequent(sets)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first = [_rarest(np.frombuffer(s, np.uint64), order, num, den) for s in batch.column(1).to_pylist()]
+        at = np.repeat(np.arange(batch.num_rows), [len(h) for h, _ in first])
+        kind = np.concatenate([np.where(np.arange(len(h)) < early, EARLY, LATE) for h, early in first]).astype(np.int32)
+        shingle = np.concatenate([h for h, _ in first]).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(shingle), pa.array(kind)], names=["node", "band", "b"])
+
+    rarest = map_batches(sets.select("node", "set"), run, "node long, band long, b int").join(nodes, "node").join(classes.select("node", "n"), "node")
+    rarest = stored(rarest, "near-rarest")
+    sizes = rarest.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("label").alias("p"), F.max("label").alias("q"), F.max("b").alias("kind"))
+    sizes = sizes.where("p <> q").where(F.col("kind") == EARLY).select("band", "size", "shingles")
+    # Nothing is the smallest class of such a bucket, against which all are held before: no class is its own complement.
+    out = stored(rarest.join(sizes, "band").select(F.xxhash64(F.lit("shingle"), "band").alias("band"), "b", "node", "label", F.bitwise_not("node").alias("low"), "size", "shingles"), "near-anew")
+    discard(sets, rarest)
+    return out
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, bands: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
@@ -266,7 +316,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, ba
     members = stored(banded.drop("n").join(buckets, "band"), "near-members")
     discard(buckets)
     star = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    regs = classes.select("node", "regs")
+    regs = classes.select("node", "n", "regs")
     side = star.join(regs.select(F.col("node").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("node").alias("b"), F.col("regs").alias("rb")), "b").select("a", "b", "ra", "rb")
     pairs = stored(map_batches(side, lambda x: _near(x, least), "a long, b long"), "near-pairs")
     links = _links(docs, classes, pairs, num, den)
@@ -277,11 +327,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, ba
     split = stored(split, "near-split")
     open_ = stored(wide.join(split, "band", "left_semi").select("band", "b", "node", "label", "low", "size", "shingles"), "near-open")
     discard(members, pairs, split)
-    blocks = _blocks(open_.where(F.col("size") <= HOT), regs)
+    blocks, anew = _blocks(open_.where(F.col("size") <= HOT), regs), []
     if not (hot := open_.where(F.col("size") > HOT)).isEmpty():
-        blocks = blocks.union(_blocks(_dealt_anew(hot, classes), regs))
+        anew = [_dealt_anew(hot, docs, classes, num, den)]
+        blocks = blocks.union(_blocks(anew[0], regs))
     near = stored(map_groups(blocks, ["band", "x", "y"], lambda r, at: _with_candidates(r, at, least, bands), _BLOCK), "near-candidates")
-    discard(open_)
+    discard(open_, *anew)
     if not near.isEmpty():
         sets = _sets(docs, classes, near.select("node"))
         more = stored(map_groups(near.join(sets, "node").select(*near.columns, "set"), ["band", "x", "y"], lambda r, at: _across(r, at, least, num, den, bands), "a long, b long"), "near-more")

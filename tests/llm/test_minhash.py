@@ -141,3 +141,37 @@ def test_the_pipeline_links_from_four_fifths_on(spark):
         given += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[: n - tail] + [f"v{k}x{i}" for i in range(tail)]))]
         kept |= {2 * k, 2 * k + 1} if k % 3 == 2 else {2 * k}
     assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs(spark, given), "").collect()} == kept
+
+
+def test_links_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch):
+    """Families of which only the last two are linked (0.46); the others are as near to these and each other but for two shingles (0.44) and
+    lie in the buckets that the two share, ahead of them."""
+    given = []
+    for k in range(20):
+        family = [[f"a{k}x{i}" for i in range(65)] + [f"b{k}x{j}x{i}" for i in range(39)] for j in range(10)]
+        family[9][65:67] = family[8][65:67]
+        given += enumerate(map(" ".join, family), 10 * k)
+    found = []
+    for hot in (2, minhash.HOT):
+        monkeypatch.setattr(minhash, "HOT", hot)
+        found.append({(d, c) for d, _, c, _ in minhash.near_duplicates(docs(spark, given), num=45, bands=minhash.WIDE).collect() if d != c})
+    assert found[0] == found[1] and len(found[0]) > 10
+    assert found[0] <= {(10 * k + 9, 10 * k + 8) for k in range(20)}
+
+
+def test_linked_sets_share_one_of_their_rarest_shingles():
+    g, links = np.random.default_rng(3), 0
+    for k in range(2000):
+        num, n = (50, 80, 85, 100)[k % 4], int(g.integers(1, 40))
+        pool = g.integers(0, 2**63, 60, dtype=np.uint64)
+        x = np.unique(pool[:n])
+        y = np.unique(np.concatenate([x[: n - int(g.integers(0, 1 + n // 4))], pool[40 : 40 + int(g.integers(0, 1 + n // 4))]]))
+        frequent = np.sort(g.choice(pool, 20, replace=False))
+        order = frequent, g.permutation(20) + 1
+        if not len(y) or not minhash._holds(x, y, num, 100):
+            continue
+        links += 1
+        x, y = sorted((x, y), key=len)
+        (p, early), (q, late) = (minhash._rarest(h, order, num, 100) for h in (x, y))
+        assert len(np.intersect1d(p[:early], q[:late] if len(x) == len(y) else q))
+    assert links > 500
