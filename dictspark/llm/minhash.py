@@ -35,6 +35,8 @@ MANTISSA = 10
 _ERRORS = 5
 #: Classes of a bucket that are held against as many others at a time, and shingles of these.
 BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Documents for each file of a table in between, at least: every file costs its writer a process (chmod) with Hadoop's local file system.
+FILE_ROWS = 4096
 #: The classes of larger buckets are dealt anew by their rarest shingles. FREQUENT is the most shingles whose counts go to the driver.
 HOT, FREQUENT = 2048, 1 << 17
 
@@ -221,9 +223,9 @@ def _across(rows: pa.RecordBatch, starts: np.ndarray, least: float, num: int, de
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, files: int) -> DataFrame:
     """node and its full set, for the given nodes; the text is that of the class's smallest document."""
-    need = stored(classes.join(nodes.distinct(), "node", "left_semi").select("node", "key", F.col("first").alias("doc_id")), "near-need")
+    need = stored(classes.join(nodes.distinct(), "node", "left_semi").select("node", "key", F.col("first").alias("doc_id")), "near-need", files)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         h = [shingles(t) for t in batch.column(1).to_pylist()]
@@ -234,20 +236,20 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
         texts = texts.union(docs.where("doc_id IS NULL"))
     found = map_batches(texts, run, "doc_id long, key binary, set binary")
     match = found.join(need.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "node"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    out = stored(match.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
+    out = stored(match.groupBy("node").agg(F.first("set").alias("set")), "near-sets", files)
     discard(need)
     return out
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int, files: int) -> DataFrame:
     """Of pairs (a, b), those that hold on the full sets. The pairs of one b are dealt into parts of a bounded size, each with the set of b."""
-    sets = _sets(docs, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    sets = _sets(docs, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), files)
     sized = pairs.join(classes.select(F.col("node").alias("a"), "n"), "a")
     parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     dealt = pairs.join(sized.groupBy("b").agg(parts.alias("parts")), "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
     left = dealt.join(sets.select(F.col("node").alias("a"), "set"), "a").select("b", "part", "a", "set")
     centre = dealt.select("b", "part").distinct().join(sets.select(F.col("node").alias("b"), "set"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "set")
-    links = stored(map_groups(left.union(centre), ["b", "part"], lambda x, at: _on_star(x, at, num, den), "a long, b long"), "near-links")
+    links = stored(map_groups(left.union(centre), ["b", "part"], lambda x, at: _on_star(x, at, num, den), "a long, b long"), "near-links", files)
     discard(sets)
     return links
 
@@ -275,10 +277,10 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingle[order], ranks[order]
 
 
-def _dealt_anew(members: DataFrame, docs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+def _dealt_anew(members: DataFrame, docs: DataFrame, classes: DataFrame, num: int, den: int, files: int) -> DataFrame:
     """The classes of hot buckets in buckets of their rarest shingles. A stored table."""
     nodes = members.select("node", "label").distinct()
-    sets = _sets(docs, classes, nodes.select("node"))
+    sets = _sets(docs, classes, nodes.select("node"), files)
     order = _frequent(sets)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -289,11 +291,11 @@ def _dealt_anew(members: DataFrame, docs: DataFrame, classes: DataFrame, num: in
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(shingle), pa.array(kind)], names=["node", "band", "b"])
 
     rarest = map_batches(sets.select("node", "set"), run, "node long, band long, b int").join(nodes, "node").join(classes.select("node", "n"), "node")
-    rarest = stored(rarest, "near-rarest")
+    rarest = stored(rarest, "near-rarest", files)
     sizes = rarest.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("label").alias("p"), F.max("label").alias("q"), F.max("b").alias("kind"))
     sizes = sizes.where("p <> q").where(F.col("kind") == EARLY).select("band", "size", "shingles")
     # Nothing is the smallest class of such a bucket, against which all are held before: no class is its own complement.
-    out = stored(rarest.join(sizes, "band").select(F.xxhash64(F.lit("shingle"), "band").alias("band"), "b", "node", "label", F.bitwise_not("node").alias("low"), "size", "shingles"), "near-anew")
+    out = stored(rarest.join(sizes, "band").select(F.xxhash64(F.lit("shingle"), "band").alias("band"), "b", "node", "label", F.bitwise_not("node").alias("low"), "size", "shingles"), "near-anew", files)
     discard(sets, rarest)
     return out
 
@@ -305,36 +307,37 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, ba
     least = _least(num, den)
     rows = map_batches(docs.withColumn("h", F.xxhash64("text")), _sketched, "doc_id long, h long, key binary, n long, regs binary")
     rows = stored(rows, "near-rows")
+    files = max(1, rows.count() // FILE_ROWS)
     held = rows.where("key IS NOT NULL")
     classes = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = stored(classes.withColumn("node", F.coalesce("first", F.xxhash64("key").bitwiseOR(F.lit(-(1 << 63))))), "near-classes")
+    classes = stored(classes.withColumn("node", F.coalesce("first", F.xxhash64("key").bitwiseOR(F.lit(-(1 << 63))))), "near-classes", files)
     width = 2 * bands[1]
     hashes = F.array(*[F.xxhash64(F.lit(b), F.substring("regs", b * width + 1, width)) for b in range(bands[0])])
     banded = classes.select("node", "n", F.posexplode(hashes).alias("b", "band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("low <> high").drop("high")
-    buckets = stored(buckets, "near-buckets")
-    members = stored(banded.drop("n").join(buckets, "band"), "near-members")
+    buckets = stored(buckets, "near-buckets", files)
+    members = stored(banded.drop("n").join(buckets, "band"), "near-members", files)
     discard(buckets)
     star = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     regs = classes.select("node", "n", "regs")
     side = star.join(regs.select(F.col("node").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("node").alias("b"), F.col("regs").alias("rb")), "b").select("a", "b", "ra", "rb")
-    pairs = stored(map_batches(side, lambda x: _near(x, least), "a long, b long"), "near-pairs")
-    links = _links(docs, classes, pairs, num, den)
+    pairs = stored(map_batches(side, lambda x: _near(x, least), "a long, b long"), "near-pairs", files)
+    links = _links(docs, classes, pairs, num, den, files)
     labels = components(links, "near-cc")
     # Buckets of three and more classes that are not yet one component: what else may be linked there?
     wide = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = wide.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("band")
-    split = stored(split, "near-split")
-    open_ = stored(wide.join(split, "band", "left_semi").select("band", "b", "node", "label", "low", "size", "shingles"), "near-open")
+    split = stored(split, "near-split", files)
+    open_ = stored(wide.join(split, "band", "left_semi").select("band", "b", "node", "label", "low", "size", "shingles"), "near-open", files)
     discard(members, pairs, split)
     blocks, anew = _blocks(open_.where(F.col("size") <= HOT), regs), []
     if not (hot := open_.where(F.col("size") > HOT)).isEmpty():
-        anew = [_dealt_anew(hot, docs, classes, num, den)]
+        anew = [_dealt_anew(hot, docs, classes, num, den, files)]
         blocks = blocks.union(_blocks(anew[0], regs))
     near = stored(map_groups(blocks, ["band", "x", "y"], lambda r, at: _with_candidates(r, at, least, bands), _BLOCK), "near-candidates")
     discard(open_, *anew)
     if not near.isEmpty():
-        sets = _sets(docs, classes, near.select("node"))
+        sets = _sets(docs, classes, near.select("node"), files)
         more = stored(map_groups(near.join(sets, "node").select(*near.columns, "set"), ["band", "x", "y"], lambda r, at: _across(r, at, least, num, den, bands), "a long, b long"), "near-more")
         discard(sets)
         if not more.isEmpty():
@@ -344,7 +347,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, ba
     discard(links, near)
     linked = classes.join(labels, "node", "left").select("key", "first", F.coalesce("label", "node").alias("label"))
     smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_key = stored(linked.join(smallest, "label").select("key", "label", "component_id"), "near-labels")
+    by_key = stored(linked.join(smallest, "label").select("key", "label", "component_id"), "near-labels", files)
     discard(classes, labels)
     return rows, by_key
 

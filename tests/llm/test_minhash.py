@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 
+from dictspark import storage
 from dictspark.llm import common, minhash
 from dictspark.llm.common import components
 from tests.llm.helpers import clashing, docs, rng, sentence
@@ -175,3 +176,29 @@ def test_linked_sets_share_one_of_their_rarest_shingles():
         (p, early), (q, late) = (minhash._rarest(h, order, num, 100) for h in (x, y))
         assert len(np.intersect1d(p[:early], q[:late] if len(x) == len(y) else q))
     assert links > 500
+
+
+def test_small_tables_have_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are, but for what is written before its size is known or takes work beyond it."""
+    files = {}
+
+    def counted(df, name, *most):
+        out = storage.stored(df, name, *most)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    monkeypatch.setattr(common, "stored", counted)
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        minhash.near_duplicates(docs(spark, cases(0)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files["near-cc-edges"].pop(0)
+    few = {name: x for name, x in files.items() if name not in ("near-rows", "near-candidates", "near-more")}
+    assert {"near-classes", "near-members", "near-sets", "near-links", "near-labels", "near-cc-hook", "near-cc-jump"} <= set(few)
+    assert max(map(max, few.values())) == 1
