@@ -1,6 +1,11 @@
+import re
+from pathlib import Path
+from types import SimpleNamespace
+
+import numpy as np
 import pyarrow as pa
 
-from dictspark.llm.common import _STRETCH, alnum_words, discard, map_batches, pieces, shared_folder, space_words, stored, word_hashes
+from dictspark.llm.common import _STRETCH, alnum_words, discard, map_arrow, map_batches, pieces, shared_folder, space_words, stored, word_hashes
 from tests.llm.helpers import rng
 
 
@@ -51,3 +56,22 @@ def test_discarded_tables_are_gone(spark):
     assert second.count() == 5
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(first._stored_at)
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_workers_give_back_what_they_freed():
+    """A last small array that stays, as caches do, keeps malloc from giving back what lies below it by itself."""
+    kept, conf = [], SimpleNamespace(get=lambda *_: "1", set=lambda *_: None)
+
+    def run(batches):
+        for batch in batches:
+            held = [np.ones(12_000) for _ in range(2_000)]  # 192 MB
+            kept.append(held[-1])
+            del held
+            yield batch
+
+    taken = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1])
+    rows = pa.RecordBatch.from_pydict({"x": [1]})
+    worker = map_arrow(SimpleNamespace(sparkSession=SimpleNamespace(conf=conf), mapInArrow=lambda f, _: f), run, "x long")
+    before = taken()
+    assert list(worker(iter([rows]))) == [rows]
+    assert taken() - before < 50_000
