@@ -32,13 +32,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: In file:// folders no file has a second one with checksums beside it, which would cost its writer another process (chmod): Parquet's readers
+#: don't need it. Without a cache of file systems, or tasks would take the one that others have opened.
+_WRITE = {
+    "parquet.page.size.row.check.min": "1",
+    "parquet.block.size.row.check.min": "1",
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
+
+
 def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts the lineage and outlives lost executors. Pages and row groups are held
     to their sizes from the first row on; else a page waits for a hundred rows, which takes much memory where a row is large. files: the most
     tasks that write, for tables known to be small."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df if files is None else df.coalesce(files)).write.option("parquet.page.size.row.check.min", "1").option("parquet.block.size.row.check.min", "1").parquet(path)
+    (df if files is None else df.coalesce(files)).write.options(**_WRITE).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -75,3 +75,12 @@ def test_workers_give_back_what_they_freed():
     before = taken()
     assert list(worker(iter([rows]))) == [rows]
     assert taken() - before < 50_000
+
+
+def test_stored_tables_have_one_file_a_task(spark):
+    """None with checksums beside it, for each of which Hadoop's local file system starts a process."""
+    out = stored(spark.range(10).repartition(2).toDF("x"), "test")
+    names = [p.name for p in Path(out._stored_at.removeprefix("file:")).iterdir()]
+    assert sorted(r["x"] for r in out.collect()) == list(range(10))
+    assert sum(n.endswith(".parquet") for n in names) == 2 and not [n for n in names if n.endswith(".crc")]
+    discard(out)
