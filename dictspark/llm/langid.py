@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import OWN, map_arrow, pieces
+from dictspark.llm.common import OWN, give_back, map_arrow, pieces
 
 SEGMENT = 512
 #: Classes (the most frequent ones) that may have dense tables, and the bytes of these tables over all languages.
@@ -264,6 +264,7 @@ def _model(key: int, samples: dict[str, list[str]]) -> Model:
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = Model(samples)
+        give_back()  # what building took beside the automata, before the texts come
     return _MODELS[key]
 
 

@@ -176,3 +176,14 @@ def test_documents_stay_if_nothing_was_learned(spark):
     assert {x["doc_id"] for x in langid.keep_languages(d).collect()} == {0, 4, 5}
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert langid.keep_languages(docs(spark, [(i, "ka mo") for i in held])).count() == len(held)
+
+
+def test_building_leaves_no_more_than_the_model(monkeypatch):
+    """What was freed in building is given back once for each model, not for each batch of texts."""
+    given = []
+    monkeypatch.setattr(langid, "give_back", lambda: given.append(list(langid._MODELS)), raising=False)
+    monkeypatch.setattr(langid, "_MODELS", {})
+    model = langid._model(1, {"en": ["the"], "de": ["der"]})
+    assert langid._model(1, {}) is model and given == [[1]]
+    langid._model(2, {"en": ["the"]})
+    assert given == [[1], [2]]
