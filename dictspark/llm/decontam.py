@@ -34,6 +34,8 @@ GAP = 256
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 4 << 20
 #: Terms of the items that the index may be limited to; with more, it holds all terms of the documents.
 MOST_TERMS = 1 << 22
+#: Documents with a match for each file of their table, at least.
+FILE_FOUND = 1 << 12
 #: Places that are held against the lists at a time.
 _STRIP = 1 << 19
 
@@ -254,7 +256,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """One row per document: id, h (xxhash64 of the text), n_words, hits, items and near as matches() gives them, null where nothing was found."""
     own = index(docs, _terms(items, item_text), id_col, text_col)
     every = own.select("segment", F.posexplode(F.arrays_zip("ids", "h", "words")).alias("place", "d")).select("segment", "place", F.col("d.ids").alias("id"), F.col("d.h").alias("h"), F.col("d.words").cast("long").alias("n_words"))
-    found = stored(matches(own, items, item_id, item_text, window, slop, block_items), "matches")
+    found = stored(matches(own, items, item_id, item_text, window, slop, block_items), "matches", rows_a_file=FILE_FOUND)
     return every.join(found, ["segment", "place"], "left").select("id", "h", "n_words", "hits", "items", "near")
 
 
@@ -273,5 +275,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 8, slop: int
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which fewer than min_items items have an exact match, with their own columns."""
     found = search(docs, items, id_col, text_col, window=window).where(F.size("items") >= min_items)
-    gone = stored(found.select(F.col("id").alias(f"{OWN}id"), F.col("h").alias(f"{OWN}h")).distinct(), "contaminated")
+    gone = stored(found.select(F.col("id").alias(f"{OWN}id"), F.col("h").alias(f"{OWN}h")).distinct(), "contaminated", rows_a_file=FILE_FOUND)
     return few_join(docs, gone, F.col(id_col).cast("long").eqNullSafe(F.col(f"{OWN}id")) & (F.xxhash64(F.col(text_col)) == F.col(f"{OWN}h")), "left_anti")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dictspark.llm.common import EXACT, OWN, bytes_of, discard, few_join, map_batches, mixed, stored, words_at
+from dictspark.llm.common import EXACT, OWN, bytes_of, discard, few_join, held, map_batches, mixed, stored, words_at
 
 DEPTH = 3
 #: Share of a line's tokens that must be constant in a template, as a fraction.
@@ -34,6 +34,8 @@ BANDS = 8
 MASKS = [(a, b) for a in range(BANDS) for b in range(a, BANDS)]
 #: Of three groups of bands, a mask of two leaves one whole.
 _GROUPS = (0, 1, 2), (3, 4, 5), (6, 7)
+#: Documents that lose lines for each file of their table, at least.
+FILE_DOCS = 1 << 14
 
 _NUMBER = np.isin(np.arange(256), np.arange(0x30, 0x3A))
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # a fixed odd number
@@ -109,7 +111,7 @@ def _xor(*columns: str) -> Column:
 
 
 def _firsts(lines: DataFrame, min_docs: int) -> DataFrame:
-    """k1, k2, first: the templates that recur and the document that keeps them, as a stored table."""
+    """k1, k2, first: the templates that recur and the document that keeps them. Held, as all tables in it: lines, from which they are made, stays meanwhile."""
     keys, bands = ["k1", "k2"], [f"x{b}" for b in range(BANDS)]
     groups = [_xor(*(f"x{b}" for b in g)).alias(f"g{i}") for i, g in enumerate(_GROUPS)]
     slim = lines.select(*keys, "doc", "leaf", "n", (F.col("allowed") != 0).cast("int").alias("able"), *groups)
@@ -118,7 +120,7 @@ def _firsts(lines: DataFrame, min_docs: int) -> DataFrame:
     # Only short lines need the number of their documents; of others, two are enough.
     short = lines.where(f"n < {SHORT}") if min_docs <= 2 else lines
     docs = short.select(*keys, "doc").distinct().groupBy(*keys).agg(F.count("*").alias("docs"))
-    each = stored(each.join(docs, keys, "left").withColumn("docs", F.coalesce("docs", F.lit(1) + (F.col("first") < F.col("last")).cast("long"))), "line-each")
+    each = held(each.join(docs, keys, "left").withColumn("docs", F.coalesce("docs", F.lit(1) + (F.col("first") < F.col("last")).cast("long"))))
     enough = (F.col("first") < F.col("last")) & (F.col("docs") >= F.when(F.col("n") < SHORT, F.lit(max(MANY, min_docs))).otherwise(F.lit(min_docs)))
     plain = each.where(enough).select(*keys, "first")
     # Lines that share a leaf, and in it one of three groups of bands, with a line of another document.
@@ -126,15 +128,15 @@ def _firsts(lines: DataFrame, min_docs: int) -> DataFrame:
     leaves = each.where("able = 1").groupBy("leaf").agg(*spread).where("lines > 1 AND x < y").select("leaf")
     able = each.where("able = 1").join(leaves, "leaf").select(*keys, "leaf", "first", "last", F.posexplode(F.array("g0", "g1", "g2")).alias("g", "part"))
     grouped = able.groupBy("leaf", "g", "part").agg(*spread).where("lines > 1 AND x < y").select("leaf", "g", "part")
-    near = stored(able.join(grouped, ["leaf", "g", "part"], "left_semi").select(*keys).distinct(), "line-near")
+    near = held(able.join(grouped, ["leaf", "g", "part"], "left_semi").select(*keys).distinct())
     banded = few_join(lines.select(*keys, "allowed", *bands), near, keys, "left_semi").groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("allowed", *bands)))
     shown = F.array(*[F.when(F.shiftright("allowed", k).bitwiseAND(1) == 1, F.struct(F.lit(k).alias("mask"), _xor("k1", *dict.fromkeys((f"x{a}", f"x{b}"))).alias("shown"))) for k, (a, b) in enumerate(MASKS)])
     masked = banded.select(*keys, F.explode(F.filter(shown, lambda x: x.isNotNull())).alias("m")).join(each.select(*keys, "leaf", "n", "first", "last", "docs"), keys)
-    masked = stored(masked.select(*keys, "leaf", "n", "first", "last", "docs", "m.mask", "m.shown"), "line-masked")
+    masked = held(masked.select(*keys, "leaf", "n", "first", "last", "docs", "m.mask", "m.shown"))
     key = ["leaf", "n", "mask", "shown"]
     recurring = masked.groupBy(*key).agg(F.count("*").alias("lines"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("docs").alias("docs")).where("lines > 1").where(enough)
     wide = masked.drop("first", "last", "docs").join(recurring.select(*key, "first"), key).select(*keys, "first")
-    out = stored(plain.union(wide).groupBy(*keys).agg(F.min("first").alias("first")), "line-first")
+    out = held(plain.union(wide).groupBy(*keys).agg(F.min("first").alias("first")))
     discard(each, near, masked)
     return out
 
@@ -151,7 +153,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lines = stored(map_batches(keyed.select(f"{OWN}doc", f"{OWN}h", text_col), _lines, _LINES), "line-rows")
     first = _firsts(lines, min_docs)
     gone = lines.select("k1", "k2", "doc", "h", "at").join(first, ["k1", "k2"]).where("doc <> first").groupBy(F.col("doc").alias(f"{OWN}doc"), F.col("h").alias(f"{OWN}h")).agg(F.collect_set("at").alias(f"{OWN}gone"))
-    gone = stored(gone, "line-gone")
+    gone = stored(gone, "line-gone", rows_a_file=FILE_DOCS)
     discard(lines, first)
     rows = keyed.join(gone, [f"{OWN}doc", f"{OWN}h"], "left").select(*docs.columns, f"{OWN}gone")
     at, last = docs.columns.index(text_col), len(docs.columns)

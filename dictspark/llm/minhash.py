@@ -37,6 +37,8 @@ _ERRORS = 5
 BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 #: Documents for each file of a table in between, at least: every file costs its writer a process (chmod) with Hadoop's local file system.
 FILE_ROWS = 4096
+#: Documents (id, hash and two marks) for each file of the table of those that stay, at least.
+FILE_PLACES = 1 << 16
 #: The classes of larger buckets are dealt anew by their rarest shingles. FREQUENT is the most shingles whose counts go to the driver.
 HOT, FREQUENT = 2048, 1 << 17
 
@@ -334,7 +336,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, ba
     if not (hot := open_.where(F.col("size") > HOT)).isEmpty():
         anew = [_dealt_anew(hot, docs, classes, num, den, files)]
         blocks = blocks.union(_blocks(anew[0], regs))
-    near = stored(map_groups(blocks, ["band", "x", "y"], lambda r, at: _with_candidates(r, at, least, bands), _BLOCK), "near-candidates")
+    near = stored(map_groups(blocks, ["band", "x", "y"], lambda r, at: _with_candidates(r, at, least, bands), _BLOCK), "near-candidates", None, FILE_ROWS)
     discard(open_, *anew)
     if not near.isEmpty():
         sets = _sets(docs, classes, near.select("node"), files)
@@ -375,7 +377,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
     each = held.groupBy("label", "doc_id", "h").agg(F.count("*").alias("times"))
     best = each.groupBy("label").agg(F.min(place).alias("best"))
-    marked = stored(each.join(best, "label").select(F.col("doc_id").alias("__ds_id"), F.col("h").alias("__ds_h"), (place == F.col("best")).alias("stays"), "times"), "near-places")
+    marked = stored(each.join(best, "label").select(F.col("doc_id").alias("__ds_id"), F.col("h").alias("__ds_h"), (place == F.col("best")).alias("stays"), "times"), "near-places", None, FILE_PLACES)
     discard(rows, by_key)
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__ds_id")) & (F.xxhash64(F.col(text_col)) == F.col("__ds_h"))
     gone, twice = (marked.where(x).select("__ds_id", "__ds_h") for x in ("NOT stays", "stays AND times > 1"))

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,10 +43,16 @@ _WRITE = {
 }
 
 
-def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, files: int | None = None, rows_a_file: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts the lineage and outlives lost executors. Pages and row groups are held
     to their sizes from the first row on; else a page waits for a hundred rows, which takes much memory where a row is large. files: the most
-    tasks that write, for tables known to be small."""
+    tasks that write, for tables known to be small. rows_a_file: for tables of any size that are small beside what they are made from; df is
+    computed by all its tasks, and then written by one task for so many rows."""
+    if rows_a_file is not None:
+        made = held(df)
+        out = stored(made, name, max(1, made._rows // rows_a_file))
+        discard(made)
+        return out
     spark = df.sparkSession
     path = new_path(spark, name)
     (df if files is None else df.coalesce(files)).write.options(**_WRITE).parquet(path)
@@ -54,6 +61,15 @@ def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return out
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Computes df once and keeps it on the executors' disks until discard(), without a file in the shared folder, each of which costs a process
+    or two of a writer (chmod) on Hadoop's local file system. For tables that are read while their sources stay: the part that a lost executor
+    held is computed again."""
+    out = df.persist(StorageLevel.DISK_ONLY)
+    out._rows = out.count()
+    return out
+
+
 def _file_system(spark: SparkSession, path: str):
     context = spark.sparkContext
     at = context._jvm.org.apache.hadoop.fs.Path(path)
@@ -83,6 +99,9 @@ def version(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that stored() made. Only for those that nothing yet to run reads: what was stored after them is complete by itself."""
+    """Deletes tables that stored() or held() made. Only for those that nothing yet to run reads: what was stored after them is complete by itself."""
     for t in tables:
-        remove(t.sparkSession, t._stored_at)
+        if "_stored_at" in vars(t):
+            remove(t.sparkSession, t._stored_at)
+        else:
+            t.unpersist()

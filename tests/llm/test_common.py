@@ -4,8 +4,9 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from dictspark.llm.common import _STRETCH, alnum_words, discard, map_arrow, map_batches, pieces, shared_folder, space_words, stored, word_hashes
+from dictspark.llm.common import _STRETCH, alnum_words, discard, held, map_arrow, map_batches, pieces, shared_folder, space_words, stored, word_hashes
 from tests.llm.helpers import rng
 
 
@@ -84,3 +85,30 @@ def test_stored_tables_have_one_file_a_task(spark):
     assert sorted(r["x"] for r in out.collect()) == list(range(10))
     assert sum(n.endswith(".parquet") for n in names) == 2 and not [n for n in names if n.endswith(".crc")]
     discard(out)
+
+
+def test_small_tables_have_few_files(spark):
+    out = stored(spark.range(1_000).repartition(8).toDF("x"), "test", rows_a_file=500)
+    names = [p.name for p in Path(out._stored_at.removeprefix("file:")).iterdir()]
+    assert sorted(r["x"] for r in out.collect()) == list(range(1_000))
+    assert sum(n.endswith(".parquet") for n in names) == 2
+    discard(out)
+    empty = stored(spark.range(0).toDF("x"), "test", rows_a_file=500)
+    assert empty.isEmpty()
+    discard(empty)
+
+
+def test_held_tables_are_computed_once(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    def run(batch):
+        counted.add(batch.num_rows)
+        return batch
+
+    first = held(map_batches(spark.range(100).repartition(8), run, "id long"))
+    second = held(first.where("id >= 50"))
+    assert (first._rows, second._rows, counted.value) == (100, 50, 100)
+    assert first.alias("a").join(first.alias("b"), F.expr("a.id = b.id + 1")).count() == 99 and counted.value == 100
+    discard(first)
+    assert not first.is_cached and sorted(r["id"] for r in second.collect()) == list(range(50, 100)) and counted.value == 100
+    discard(second)

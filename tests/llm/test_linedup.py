@@ -115,3 +115,13 @@ def test_templates_do_not_depend_on_the_leaf(spark):
     same = [(700, "one and the same line in rows of one and the same document"), (700, "one and the same line in rows of one and the same document\nmore")]
     got = linedup.drop_recurring_lines(docs(spark, filled + other + tables + long + same)).select("doc_id", "text", "__ds_dropped").collect()
     assert {x["doc_id"] for x in got if x["__ds_dropped"]} == {*range(1, 40), 601, 602}
+
+
+def test_only_two_tables_are_written(spark, monkeypatch):
+    """Every file costs its writer a process; what is read only while the lines' table stays is held on the executors instead."""
+    written, plain = [], linedup.stored
+    monkeypatch.setattr(linedup, "stored", lambda df, name, *a, **b: written.append(name) or plain(df, name, *a, **b))
+    line = "one two three four five six seven eight nine"
+    out = linedup.without_recurring_lines(docs(spark, [f"{line}\nfirst of these", f"{line}\nanother text", "a third"]).repartition(3))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {0: f"{line}\nfirst of these", 1: "another text", 2: "a third"}
+    assert written == ["line-rows", "line-gone"]
