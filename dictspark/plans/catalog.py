@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dictspark.functions import misc, strings
+from dictspark.functions.arrow import word_counts
 from dictspark.operators import batch, graph
 from dictspark.operators.compat import compat
 from dictspark.operators.dictionary import Dictionary, build_map, build_set, map_from_lines, set_from_lines
@@ -20,10 +21,9 @@ from dictspark.operators.linesort import place_lines, ranked, sort_file
 from dictspark.operators.predicate import GreaterThan, LessThan, Lev, Osa, Predicate, Prefix, StartsWith, Str, Where
 from dictspark.operators.query import Bounds, filtered, fuzzy, hit_count, match, prefix, range_, result_lines, scan
 from dictspark.sources.text import line_count, line_report, read_lines
-from dictspark.storage import new_path, version
+from dictspark.storage import new_path, spread, version
 
 Query = Callable[[SparkSession, str], DataFrame]
-WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(lower, F.lit(WORD))).alias("key"))
+    """The words of the documents, each with its occurrences in a part of these."""
+    return word_counts(spread(_table(spark, sf_dir, "documents").select("text")))
 
 
 _SAVED: dict[tuple, str] = {}
@@ -49,7 +49,7 @@ def saved(spark: SparkSession, sf_dir: str, table: str, build: Callable[[SparkSe
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> Dictionary:
-    return Dictionary(_words(spark, sf_dir).groupBy("key").agg(F.count("*").alias("value")))
+    return Dictionary(_words(spark, sf_dir).groupBy("key").agg(F.sum("n").alias("value")))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> Dictionary:

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -98,6 +99,29 @@ def version(spark: SparkSession, path: str) -> tuple[int, int]:
     return fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength()
 
 
+#: Bytes of a table for each task that its rows are dealt out to; tables of less than two of these stay as they are.
+DEALT = 16 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a Parquet table for a pass that costs much more than reading. A row group is read by one task; where the table's files have fewer of
+    them than there are cores (writers that make one of a million rows do), the rows are dealt out to more tasks as they are read."""
+    spark = rows.sparkSession
+    files, cores = rows.inputFiles(), spark.sparkContext.defaultParallelism
+    if len(files) >= cores:
+        return rows
+    jvm, conf, groups, size = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0, 0
+    for name in files:
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf))
+        groups += reader.getRowGroups().size()
+        size += at.getFileSystem(conf).getFileStatus(at).getLen()
+        reader.close()
+    if groups >= cores or size < 2 * DEALT:
+        return rows
+    return rows.withColumn("__at", F.monotonically_increasing_id()).repartition(max(cores, size // DEALT), "__at").drop("__at")
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that stored() or held() made. Only for those that nothing yet to run reads: what was stored after them is complete by itself."""
     for t in tables:

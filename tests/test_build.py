@@ -1,11 +1,18 @@
+import os
 import random
+import re
+import subprocess
+import sys
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from dictspark.cli import main
-from dictspark.functions import misc
+from dictspark import storage
+from dictspark.functions import arrow, misc
 from dictspark.functions.strings import characters, is_ascii, parse_uint64, split_fields, trimmed, utf8_lengths
 from dictspark.operators.batch import fuzzy_join, lookup, members, strangers
 from dictspark.operators.dictionary import Dictionary, build_set, map_from_lines, refused, set_from_lines
@@ -62,6 +69,52 @@ def test_strict_builds_leave_out_what_is_out_of_order(spark, presorted):
         assert {r["key"] for r in set_from_lines(rows, presorted, strict=True).df.collect()} == set(strict_model(texts, presorted))
 
 
+def test_word_counts(spark, monkeypatch):
+    """The words of odd texts, and no row for each occurrence: one for each word and part."""
+    monkeypatch.setattr(arrow, "STRETCH", 50)
+    rng = random.Random(5)
+    marks = [" ", "\n", "-", "\x00", "\x1c", "\x7f", "@", "`", "{", "/", ":", "_"]
+    texts = ["".join(rng.choice(["The", "x1", "É", "é", "İ", "ſ", "中", "\u0085", "\u2028", "\U0001f600", *marks]) for _ in range(rng.randint(0, 200))) for _ in range(200)]
+    texts += [None, "", " ", "w " * 20_000, "long" * 500 + " end"]
+    want = Counter(w for t in texts for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for most in (10, 1 << 18):
+        rows = arrow.word_counts(docs, "text", most).collect()
+        got = Counter()
+        for r in rows:
+            got[r["key"]] += r["n"]
+        assert got == want
+    assert len(rows) <= 3 * len(want)
+    assert arrow.word_counts(docs.limit(0)).collect() == []
+    broken = spark.range(1).select(F.expr("CAST(x'4120C32078' AS STRING)").alias("text"))
+    assert sorted(map(tuple, arrow.word_counts(broken).collect())) == [("a", 1), ("x", 1), ("\ufffd", 1)]
+
+
+def test_one_row_group_is_dealt_out(spark, tmp_path, monkeypatch):
+    """All rows once, in as many tasks as there are cores; tables that are small or have as many files stay as they are."""
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("text"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "a table"))
+    rows.repartition(8).write.parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / name)) for name in ("a table", "many"))
+    assert storage.spread(one) is one
+    monkeypatch.setattr(storage, "DEALT", 1 << 10)
+    dealt = storage.spread(one)
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r[1] for r in sizes) < 500
+    assert sorted(r[0] for r in dealt.collect()) == sorted(map(str, range(1000)))
+    assert storage.spread(many) is many
+
+
+def test_workers_need_not_find_the_package(tmp_path):
+    code = f"""import sys
+sys.path.insert(0, {str(Path(__file__).parents[1])!r})
+from pyspark.sql import SparkSession
+from dictspark.functions.arrow import word_counts
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+print(word_counts(spark.createDataFrame([("a b a",)], "text string")).agg({{"n": "sum"}}).first()[0])"""
+    assert subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}).stdout.split()[-1] == "3"
+
+
 def test_refused_rows(spark):
     rows = spark.createDataFrame([(k, i) for i, k in enumerate(["b", "bc", "a", "b", "", "c"])], "key string, line_no long")
     assert [r["line_no"] for r in refused(rows, F.struct("line_no")).where("refused").orderBy("line_no").collect()] == [2, 4]
